@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from factorloom.llm import token_files, url_filters
+from factorloom.llm import mixing, packing, quality_rules, secrets, token_files, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op5_packing": packing.op5_packing,
         "op6_url_filters": url_filters.op6_url_filters,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_files": token_files.op9_token_files,
+        "op10_mix": mixing.op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": url_filters.op6_sql()}
+    return {"op6_url_filters": url_filters.op6_sql(), "op10_mix": mixing.op10_sql()}
