@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorloom.llm import mixing, packing, quality_rules, secrets, token_files, url_filters
+from factorloom.llm import mixing, packing, quality_rules, secrets, token_files, url_filters, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_url_filters": url_filters.op6_url_filters,
+        "op7_warc": warc.op7_warc,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_files": token_files.op9_token_files,
         "op10_mix": mixing.op10_mix,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": url_filters.op6_sql(), "op10_mix": mixing.op10_sql()}
+    return {"op6_url_filters": url_filters.op6_sql(), "op7_warc": warc.op7_sql(), "op10_mix": mixing.op10_sql()}
