@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factorloom.llm import mixing, packing, quality_rules, secrets, token_files, url_filters, warc
+from factorloom.llm import mixing, near_dedup, packing, quality_rules, secrets, token_files, url_filters, warc
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": near_dedup.op1_near_duplicates,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_url_filters": url_filters.op6_url_filters,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": url_filters.op6_sql(), "op7_warc": warc.op7_sql(), "op10_mix": mixing.op10_sql()}
+    return {"op1_near_duplicates": near_dedup.op1_sql(), "op6_url_filters": url_filters.op6_sql(), "op7_warc": warc.op7_sql(), "op10_mix": mixing.op10_sql()}
