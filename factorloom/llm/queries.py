@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factorloom.llm import mixing, near_dedup, packing, quality_rules, secrets, token_files, url_filters, warc
+from factorloom.llm import mixing, near_dedup, nearest, packing, quality_rules, secrets, token_files, url_filters, warc
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_nearest": nearest.op4_nearest,
         "op5_packing": packing.op5_packing,
         "op6_url_filters": url_filters.op6_url_filters,
         "op7_warc": warc.op7_warc,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": near_dedup.op1_sql(), "op6_url_filters": url_filters.op6_sql(), "op7_warc": warc.op7_sql(), "op10_mix": mixing.op10_sql()}
+    return {"op1_near_duplicates": near_dedup.op1_sql(), "op4_nearest": nearest.op4_sql(), "op6_url_filters": url_filters.op6_sql(), "op7_warc": warc.op7_sql(), "op10_mix": mixing.op10_sql()}
