@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factorloom.llm import mixing, near_dedup, nearest, packing, quality_rules, secrets, token_files, url_filters, warc
+from factorloom.llm import mixing, near_dedup, nearest, packing, quality_rules, rule_ensemble, secrets, token_files, url_filters, warc
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_rule_classifier": rule_ensemble.op3_rule_classifier,
         "op4_nearest": nearest.op4_nearest,
         "op5_packing": packing.op5_packing,
         "op6_url_filters": url_filters.op6_url_filters,
