@@ -36,9 +36,9 @@ MAX_BODY = 1 << 30
 RECORDS_PER_FILE = 20_000
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column."""
-    digest, letters = F.sha1(data), []
+def base32_of(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 given as 40 hex digits."""
+    letters = []
     for k in range(0, 40, 5):  # five hex digits are four letters
         part = F.conv(F.substring(digest, k + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(_BASE32), F.shiftright(part, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -55,7 +55,7 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip", records_p
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("body").cast("binary")))
+    rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary")))
     newest = rows.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("newest"))
     rows = rows.join(newest, F.col("digest") == F.col("d"))
     whole = F.col("page_id").eqNullSafe(F.col("newest"))
@@ -65,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip", records_p
         F.lit(MAGIC.decode()),
         F.lit("WARC-Type: "), F.when(whole, "response").otherwise("revisit"), F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id")),
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", ""),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_of(F.col("digest")),
         F.when(whole, "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: "), record_id(F.col("newest")))),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
