@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import table
+from factorloom.llm.common import materialize, table
 from factorloom.llm.words import _MIX_A, hash_words, mix, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -27,6 +27,8 @@ BUCKETS = 1 << 18
 SMOOTH = 4.0
 #: Mean log-ratio under which a document is rejected.
 MIN_SCORE = -0.2
+#: Up to so many trusted ids are sent to all tasks; more are joined, and whole texts are then shuffled once.
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def repeat_words(hashes: np.ndarray, window: int = REPEAT_WINDOW) -> int:
@@ -87,7 +89,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
         seen = np.flatnonzero(total[1])
         yield pa.record_batch([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["bucket", "trusted", "raw"])
 
-    ids = trusted.select(F.col("doc_id").alias("__t")).distinct()
+    ids = materialize(trusted.select(F.col("doc_id").alias("__t")).distinct(), "trusted")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__t"), "left")
     partial = flagged.select(F.col("__t").isNotNull(), "text").mapInArrow(count, "bucket long, trusted long, raw long")
     rows = partial.groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw")).toPandas()
