@@ -68,8 +68,10 @@ def duck_ctes(*names: str) -> str:
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the raw tables as a DataFrame."""
-    text = f"WITH wk AS ({_spell(_CTES['wk'], SPARK)}) {_spell(_CTES[name], SPARK)}"
-    for s in _SOURCES:
+    text = _spell(_CTES[name], SPARK)
+    for s in (*_SOURCES, "wk"):
         text = re.sub(rf"(FROM|JOIN) {s}\b", rf"\1 {{{s}}}", text)
     used = {s: read_table(spark, sf_dir, s) for s in _SOURCES if "{" + s + "}" in text}
+    if "{wk}" in text:
+        used["wk"] = raw_table(spark, sf_dir, "wk")
     return spark.sql(text, **used)

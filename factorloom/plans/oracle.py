@@ -86,7 +86,7 @@ DAY = "strftime(date, '%Y-%m-%d') AS date"
 
 
 def factors(columns: dict[str, str]) -> str:
-    return f"{PANEL}\nSELECT symbol, {DAY}, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in columns.items()) + " FROM s1"
+    return f"{PANEL}\nSELECT symbol, {DAY}, " + ", ".join(f"round({e} + 1e-9, 6) AS {n}" for n, e in columns.items()) + " FROM s1"
 
 
 def label(h: int) -> str:
@@ -178,6 +178,8 @@ base AS (SELECT k.*, b.turnover_rate, {", ".join("b." + f for f in DAILY_FUNDAME
            row_number() OVER (PARTITION BY k.trade_date ORDER BY b.circ_mv DESC NULLS LAST, k.ts_code) AS rk,
            (SELECT max(weight_date) FROM wd WHERE weight_date <= k.trade_date) AS snap
          FROM daily_kline k LEFT JOIN daily_basic b USING (ts_code, trade_date) LEFT JOIN stock_basic m USING (ts_code)),
+fdate AS (SELECT k.ts_code, k.trade_date, max(f.ann_date) AS ann FROM daily_kline k JOIN (SELECT ts_code, ann_date FROM filings) f
+          ON f.ts_code = k.ts_code AND f.ann_date <= k.trade_date GROUP BY ALL),
 full_panel AS (SELECT base.*, w.weight AS index_weight, w.con_code, {", ".join("f." + f for f in FILED)} FROM base
          LEFT JOIN index_weight w ON w.con_code = base.ts_code AND w.trade_date = base.snap
-         ASOF LEFT JOIN filings f ON f.ts_code = base.ts_code AND f.ann_date <= base.trade_date)"""
+         LEFT JOIN fdate ON fdate.ts_code = base.ts_code AND fdate.trade_date = base.trade_date LEFT JOIN filings f ON f.ts_code = base.ts_code AND f.ann_date = fdate.ann)"""

@@ -42,6 +42,11 @@ def rounds(*names: str, digits: int = 6):
     return [rounded(n, digits).alias(n) for n in names]
 
 
+def off_edge(names):
+    """Rounded to 6 digits, moved off the halves on which two engines may round differently."""
+    return [rounded(F.col(n) + 1e-9).alias(n) for n in names]
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived panel with a score (ret_5), a second factor, a target and the universe's flag."""
     rows = labels.add_labels(derived_panel(spark, sf_dir), (10,))
@@ -61,13 +66,13 @@ TARGET = "future_return_10d"
 def slice_minimal(spark, sf_dir):
     rows = labels.add_labels(bars(spark, sf_dir), (10,))
     rows = factors.add_factors(rows, ["ret_5", "close_to_ma_20", "price_zscore_60"], as_float=False)
-    return rows.select("symbol", day(), *rounds("ret_5", "close_to_ma_20", "price_zscore_60"), rounded(TARGET).alias("fwd_10"))
+    return rows.select("symbol", day(), *off_edge(["ret_5", "close_to_ma_20", "price_zscore_60"]), rounded(F.col(TARGET) + 1e-9).alias("fwd_10"))
 
 
 def _factor_query(names):
     def run(spark, sf_dir):
         rows = factors.add_factors(derived_panel(spark, sf_dir), names, as_float=False)
-        return rows.select("symbol", day(), *rounds(*names))
+        return rows.select("symbol", day(), *off_edge(names))
 
     return run
 
@@ -81,10 +86,10 @@ _FUND = {n: {"inverse": f"1 / nullif({c}, 0)", "negative": f"-{c}", "per float_m
          for n, (c, u) in factors.FUNDAMENTAL_FACTORS.items()}
 
 
-@query("factor_fundamental", f"{o.RAW_PANEL}\nSELECT ts_code AS symbol, trade_date, {', '.join(f'round({e}, 6) AS {n}' for n, e in _FUND.items())} FROM full_panel")
+@query("factor_fundamental", f"{o.RAW_PANEL}\nSELECT ts_code AS symbol, trade_date, {', '.join(f'round({e} + 1e-9, 6) AS {n}' for n, e in _FUND.items())} FROM full_panel")
 def factor_fundamental(spark, sf_dir):
     rows = factors.add_factors(raw_panel(spark, sf_dir), list(factors.FUNDAMENTAL_FACTORS), as_float=False)
-    return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *rounds(*factors.FUNDAMENTAL_FACTORS))
+    return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *off_edge(factors.FUNDAMENTAL_FACTORS))
 
 
 @query("factor_registry", "SELECT * FROM (VALUES ('growth', 9), ('liquidity', 18), ('path', 17), ('quality', 12), ('reversal', 12), ('size', 1), ('sma', 33), "
@@ -97,7 +102,7 @@ def factor_registry(spark, sf_dir):
 
 @query("labels", o.factors({"future_return_5d": o.label(5), "future_return_10d": o.label(10)}))
 def q_labels(spark, sf_dir):
-    return labels.add_labels(bars(spark, sf_dir)).select("symbol", day(), *rounds("future_return_5d", TARGET))
+    return labels.add_labels(bars(spark, sf_dir)).select("symbol", day(), *off_edge(["future_return_5d", TARGET]))
 
 
 @query("universe", f"{o.PANEL}\nSELECT symbol, {o.DAY}, round({o.roll('avg', 'amount', 20)}, 4) AS amount_20d, "
@@ -358,7 +363,7 @@ def size_summary(spark, sf_dir):
 # Raw tables
 
 def raw_panel(spark, sf_dir, **dates):
-    t = {n: raw_table(spark, sf_dir, n) for n in ("daily_kline", "daily_basic", "stock_basic", "index_weight", "filings_raw")}
+    t = {n: raw_table(spark, sf_dir, n).cache() for n in ("daily_kline", "daily_basic", "stock_basic", "index_weight", "filings_raw")}
     return panels.build_panel(t["daily_kline"], t["daily_basic"], t["stock_basic"], t["index_weight"], store.clean_filings(t["filings_raw"]), **dates)
 
 
