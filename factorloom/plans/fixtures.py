@@ -39,7 +39,7 @@ _CTES = {
   FROM (SELECT d, round(avg(close), 6) AS c FROM wk GROUP BY d)""",
     "filings_raw": f"""SELECT {_CODE} AS ts_code, YMD(q + INTERVAL '3' MONTH + INTERVAL '29' DAY) AS ann_date, YMD(q + INTERVAL '3' MONTH - INTERVAL '1' DAY) AS end_date,
   CAST(u AS STRING) AS update_flag, """
-    + ", ".join(f"CASE WHEN (s + {k}) % 4 <> 0 THEN CAST(round(a * {k + 1} + b + u, 4) AS STRING) ELSE 'n/a' END AS {f}" for k, f in enumerate(FILED))
+    + ", ".join(f"CASE WHEN (s + {k}) % 4 <> 0 THEN CAST(round(a * {k + 1} + b + u + 1e-7, 4) AS STRING) ELSE 'n/a' END AS {f}" for k, f in enumerate(FILED))
     + """ FROM (SELECT l_suppkey AS s, date_trunc('quarter', l_shipdate) AS q, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY 1, 2)
   CROSS JOIN (SELECT 0 AS u UNION ALL SELECT 1 AS u) WHERE u = 0 OR s % 2 = 0""",
 }

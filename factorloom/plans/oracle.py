@@ -86,7 +86,7 @@ DAY = "strftime(date, '%Y-%m-%d') AS date"
 
 
 def factors(columns: dict[str, str]) -> str:
-    return f"{PANEL}\nSELECT symbol, {DAY}, " + ", ".join(f"round({e} + 1e-9, 6) AS {n}" for n, e in columns.items()) + " FROM s1"
+    return f"{PANEL}\nSELECT symbol, {DAY}, " + ", ".join(f"round({e} + 1e-9, 6) + 0.0 AS {n}" for n, e in columns.items()) + " FROM s1"
 
 
 def label(h: int) -> str:
@@ -166,7 +166,7 @@ METRIC_COLUMNS = ("periods_per_year_est", "annual_return_est", "annual_vol_est",
 
 
 def rounds(names, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
 
 
 RAW_PANEL = f"""

@@ -92,8 +92,8 @@ def factor_fundamental(spark, sf_dir):
     return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *off_edge(factors.FUNDAMENTAL_FACTORS))
 
 
-@query("factor_registry", "SELECT * FROM (VALUES ('growth', 9), ('liquidity', 18), ('path', 17), ('quality', 12), ('reversal', 12), ('size', 1), ('sma', 33), "
-                          "('value', 4), ('volatility', 18)) t(family, features)")
+@query("factor_registry", "SELECT * FROM (VALUES ('growth', 9), ('liquidity', 16), ('path', 20), ('quality', 12), ('reversal', 12), ('size', 1), ('sma', 33), "
+                          "('value', 4), ('volatility', 17)) t(family, features)")
 def factor_registry(spark, sf_dir):
     return factors.registry(spark).groupBy("family").agg(F.count_distinct("feature").cast("int").alias("features"))
 
@@ -223,10 +223,10 @@ def universe_positions(spark, sf_dir):
     return portfolio.universe_positions(scored(spark, sf_dir), CONFIG.rebalance_weekday).select(day(), "symbol", rounded("target_weight", 8).alias("target_weight"))
 
 
-@query("trades", f"{o.POSITIONS}\nSELECT strftime(trade_date, '%Y-%m-%d') AS trade_date, symbol, round(entry_open, 6) AS entry_open, round(exit_open, 6) AS exit_open, round(wr, 8) AS weighted_ret FROM trd")
+@query("trades", f"{o.POSITIONS}\nSELECT strftime(trade_date, '%Y-%m-%d') AS trade_date, symbol, round(entry_open + 1e-9, 6) AS entry_open, round(exit_open + 1e-9, 6) AS exit_open, round(wr, 8) AS weighted_ret FROM trd")
 def q_trades(spark, sf_dir):
     rows, held, _ = _book(spark, sf_dir)
-    return portfolio.trades(rows, held, CONFIG).select(day("trade_date"), "symbol", *rounds("entry_open", "exit_open"), rounded("weighted_ret", 8).alias("weighted_ret"))
+    return portfolio.trades(rows, held, CONFIG).select(day("trade_date"), "symbol", *off_edge(["entry_open", "exit_open"]), rounded("weighted_ret", 8).alias("weighted_ret"))
 
 
 @query("backtest", f"{o.POSITIONS}\nSELECT {o.DAY}, {o.rounds(('portfolio_ret', 'equity'))} FROM bt")
@@ -371,17 +371,17 @@ _PANEL_COLUMNS = ("open", "high", "low", "close", "volume", "amount", "turnover_
 
 
 @query("panel", f"""{o.RAW_PANEL}, lim AS (SELECT *, close / nullif(open, 0) - 1 AS mv, CASE WHEN ts_code LIKE '300%' OR ts_code LIKE '688%' THEN 0.195 ELSE 0.098 END AS lm FROM full_panel)
-SELECT ts_code AS symbol, trade_date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(vol * 100, 6) AS volume,
-  round(amount * 1000, 6) AS amount, round(coalesce(turnover_rate, 0), 6) AS turnover_rate, round(coalesce(circ_mv * 10000, 0), 6) AS float_mv,
-  round(coalesce(index_weight, 0), 6) AS index_weight, round(pe_ttm, 6) AS pe_ttm, round(eps, 6) AS eps, round(roe, 6) AS roe, round(debt_to_assets, 6) AS debt_to_assets,
-  round(q_op_qoq, 6) AS q_op_qoq, coalesce(industry, 'UNKNOWN') AS industry,
+SELECT ts_code AS symbol, trade_date, round(open + 1e-9, 6) AS open, round(high + 1e-9, 6) AS high, round(low + 1e-9, 6) AS low, round(close + 1e-9, 6) AS close, round(vol * 100 + 1e-9, 6) AS volume,
+  round(amount * 1000 + 1e-9, 6) AS amount, round(coalesce(turnover_rate, 0) + 1e-9, 6) AS turnover_rate, round(coalesce(circ_mv * 10000, 0) + 1e-9, 6) AS float_mv,
+  round(coalesce(index_weight, 0) + 1e-9, 6) AS index_weight, round(pe_ttm + 1e-9, 6) AS pe_ttm, round(eps + 1e-9, 6) AS eps, round(roe + 1e-9, 6) AS roe, round(debt_to_assets + 1e-9, 6) AS debt_to_assets,
+  round(q_op_qoq + 1e-9, 6) AS q_op_qoq, coalesce(industry, 'UNKNOWN') AS industry,
   CASE WHEN list_date IS NULL THEN 9999 ELSE greatest(date_diff('day', strptime(list_date, '%Y%m%d'), strptime(trade_date, '%Y%m%d')), 0) END::INTEGER AS listed_days,
   coalesce(name, '') LIKE 'ST%' OR coalesce(name, '') LIKE '*ST%' OR coalesce(name, '') LIKE 'S*ST%' AS is_st, coalesce(mv >= lm, FALSE) AS is_limit_up,
   coalesce(mv <= -lm, FALSE) AS is_limit_down, CASE WHEN snap IS NOT NULL THEN con_code IS NOT NULL ELSE rk BETWEEN 801 AND 1800 END AS in_universe FROM lim""")
 def panel(spark, sf_dir):
     rows = raw_panel(spark, sf_dir)
     flags = ("industry", "listed_days", "is_st", "is_limit_up", "is_limit_down", "in_universe")
-    return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *rounds(*_PANEL_COLUMNS), *flags)
+    return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *off_edge(_PANEL_COLUMNS), *flags)
 
 
 @query("asof_snapshot", f"""WITH {duck_ctes("daily_kline", "index_weight")}
@@ -405,12 +405,12 @@ def asof_events(spark, sf_dir):
 
 @query("upsert", f"""WITH {duck_ctes("daily_kline")}, inc AS (SELECT ts_code, trade_date, close * 2 AS close FROM daily_kline WHERE trade_date >= '20000101'
   UNION ALL SELECT ts_code, '20991231', 1.0 FROM daily_kline GROUP BY ts_code)
-SELECT ts_code, trade_date, round(close, 6) AS close FROM inc UNION ALL SELECT ts_code, trade_date, round(close, 6) FROM daily_kline WHERE trade_date < '20000101'""")
+SELECT ts_code, trade_date, round(close + 1e-9, 6) AS close FROM inc UNION ALL SELECT ts_code, trade_date, round(close + 1e-9, 6) FROM daily_kline WHERE trade_date < '20000101'""")
 def q_upsert(spark, sf_dir):
     now = raw_table(spark, sf_dir, "daily_kline").select("ts_code", "trade_date", "close")
     later = now.where("trade_date >= '20000101'").withColumn("close", F.col("close") * 2)
     new = now.select("ts_code").distinct().withColumns({"trade_date": F.lit("20991231"), "close": F.lit(1.0)})
-    return store.upsert(now, later.unionByName(new), ("ts_code", "trade_date")).select("ts_code", "trade_date", rounded("close").alias("close"))
+    return store.upsert(now, later.unionByName(new), ("ts_code", "trade_date")).select("ts_code", "trade_date", *off_edge(["close"]))
 
 
 @query("clean_filings", f"""{o.RAW_PANEL}
