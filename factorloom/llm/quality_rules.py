@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import materialize, table
-from factorloom.llm.words import _MIX_A, hash_words, mix, window_hashes, words_of
+from factorloom.llm.words import _MIX_A, hash_words, mix, pieces_of, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_SHARE, REPEAT_WINDOW = 10, 20, 5
@@ -78,7 +78,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
     def count(batches):
         total = np.zeros((2, buckets), dtype=np.int64)
-        for batch in batches:
+        for batch in pieces_of(batches):
             for flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 if words:

@@ -18,6 +18,13 @@ _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT_A, _SHIFT_B = np.uint64(30), np.uint64(27)
 
 
+def pieces_of(batches, rows: int = 256):
+    """Record batches cut into short ones, so that a task holds few decoded texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[str]:
     """The matches of ``[^\\x20\\x09-\\x0D]+``."""
     if not text:
@@ -29,7 +36,7 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-_HASHES = _Bounded(lambda w: xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass")), 500_000)
+_HASHES = _Bounded(lambda w: xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass")), 150_000)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
