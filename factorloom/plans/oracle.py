@@ -171,7 +171,7 @@ def rounds(names, digits: int = 6) -> str:
 
 RAW_PANEL = f"""
 WITH {duck_ctes("daily_kline", "daily_basic", "stock_basic", "index_weight", "filings_raw")},
-filings AS (SELECT ts_code, ann_date, end_date, {", ".join(f"CAST(TRY_CAST({f} AS DOUBLE) AS FLOAT) AS {f}" for f in FILED)} FROM filings_raw
+filings AS (SELECT ts_code, ann_date, end_date, {", ".join(f"CAST(CAST(TRY_CAST({f} AS DOUBLE) AS FLOAT) AS DOUBLE) AS {f}" for f in FILED)} FROM filings_raw
             QUALIFY row_number() OVER (PARTITION BY ts_code, ann_date, end_date ORDER BY update_flag DESC) = 1),
 wd AS (SELECT DISTINCT trade_date AS weight_date FROM index_weight),
 base AS (SELECT k.*, b.turnover_rate, {", ".join("b." + f for f in DAILY_FUNDAMENTALS)}, b.circ_mv, m.name, m.industry, m.list_date,

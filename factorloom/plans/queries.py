@@ -47,6 +47,15 @@ def off_edge(names):
     return [rounded(F.col(n) + 1e-9).alias(n) for n in names]
 
 
+def squeezed(*names):
+    """Numbers of any size as sign times log, rounded: what overlapping returns compound to is huge."""
+    return [rounded(F.signum(n) * F.ln(1 + F.abs(n))).alias(n) for n in names]
+
+
+def sql_squeezed(*names: str) -> str:
+    return ", ".join(f"round(sign({n}) * ln(1 + abs({n})), 6) + 0.0 AS {n}" for n in names)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived panel with a score (ret_5), a second factor, a target and the universe's flag."""
     rows = labels.add_labels(derived_panel(spark, sf_dir), (10,))
@@ -229,10 +238,10 @@ def q_trades(spark, sf_dir):
     return portfolio.trades(rows, held, CONFIG).select(day("trade_date"), "symbol", *off_edge(["entry_open", "exit_open"]), rounded("weighted_ret", 8).alias("weighted_ret"))
 
 
-@query("backtest", f"{o.POSITIONS}\nSELECT {o.DAY}, {o.rounds(('portfolio_ret', 'equity'))} FROM bt")
+@query("backtest", f"{o.POSITIONS}\nSELECT {o.DAY}, {o.rounds(('portfolio_ret',))}, {sql_squeezed('equity')} FROM bt")
 def backtest(spark, sf_dir):
     rows, held, _ = _book(spark, sf_dir)
-    return portfolio.backtest(rows, held, CONFIG).select(day(), *rounds("portfolio_ret", "equity"))
+    return portfolio.backtest(rows, held, CONFIG).select(day(), *rounds("portfolio_ret"), *squeezed("equity"))
 
 
 @query("metrics", f"{o.POSITIONS},{o.metrics('bt')}\nSELECT status, periods, {o.rounds(o.METRIC_COLUMNS)} FROM mx")
@@ -250,12 +259,12 @@ ex AS (SELECT date, pf.portfolio_ret AS strategy_ret, r AS benchmark_ret, pf.por
        product(1 + pf.portfolio_ret - r) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM pf JOIN ub USING (date))"""
 
 
-@query("excess", f"{_EXCESS}\nSELECT {o.DAY}, {o.rounds(('strategy_ret', 'benchmark_ret', 'portfolio_ret', 'equity'))} FROM ex")
+@query("excess", f"{_EXCESS}\nSELECT {o.DAY}, {o.rounds(('strategy_ret', 'benchmark_ret', 'portfolio_ret'))}, {sql_squeezed('equity')} FROM ex")
 def excess(spark, sf_dir):
     rows, held, days = _book(spark, sf_dir)
     bench = portfolio.backtest(rows, portfolio.universe_positions(rows, dates=days), CONFIG)
     found = portfolio.excess(portfolio.backtest(rows, held, CONFIG), bench)
-    return found.select(day(), *rounds("strategy_ret", "benchmark_ret", "portfolio_ret", "equity"))
+    return found.select(day(), *rounds("strategy_ret", "benchmark_ret", "portfolio_ret"), *squeezed("equity"))
 
 
 _INDEX = f"""WITH {duck_ctes("index_daily")},
@@ -282,9 +291,9 @@ def index_metrics(spark, sf_dir):
 
 
 _INDEX_EXCESS = f"""{o.POSITIONS}, il AS (SELECT date, avg_close / lag(avg_close) OVER (ORDER BY date) - 1 AS r FROM (SELECT d AS date, round(avg(close), 6) AS avg_close FROM wk GROUP BY d)),
-ie AS (SELECT date, portfolio_ret AS strategy_ret, coalesce(r, 0) AS benchmark_ret, portfolio_ret - coalesce(r, 0) AS portfolio_ret FROM pf JOIN il USING (date))
-SELECT {o.DAY}, round(strategy_ret, 6) AS strategy_ret, round(benchmark_ret, 6) AS benchmark_ret, round(portfolio_ret, 6) AS portfolio_ret,
-  round(product(1 + portfolio_ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS equity FROM ie"""
+ie AS (SELECT date, portfolio_ret AS strategy_ret, coalesce(r, 0) AS benchmark_ret, portfolio_ret - coalesce(r, 0) AS portfolio_ret FROM pf JOIN il USING (date)),
+iq AS (SELECT *, product(1 + portfolio_ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM ie)
+SELECT {o.DAY}, {o.rounds(('strategy_ret', 'benchmark_ret', 'portfolio_ret'))}, {sql_squeezed('equity')} FROM iq"""
 
 
 @query("index_excess", _INDEX_EXCESS)
@@ -292,30 +301,30 @@ def index_excess(spark, sf_dir):
     rows, held, _ = _book(spark, sf_dir)
     index = panels.index_benchmark(raw_table(spark, sf_dir, "index_daily"))
     found = portfolio.excess(portfolio.backtest(rows, held, CONFIG), index, "benchmark_ret")
-    return found.select(day(), *rounds("strategy_ret", "benchmark_ret", "portfolio_ret", "equity"))
+    return found.select(day(), *rounds("strategy_ret", "benchmark_ret", "portfolio_ret"), *squeezed("equity"))
 
 
 _CURVES = f"""{o.SIGNAL}, un AS (UNPIVOT br ON Q1, Q2, Q3, Q4, Q5, long_short INTO NAME bucket VALUE portfolio_ret),
 gc AS (SELECT bucket, date, portfolio_ret, product(1 + portfolio_ret) OVER (PARTITION BY bucket ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM un),{o.metrics("gc", "bucket")}"""
 
 
-@query("group_backtest", f"{_CURVES}\nSELECT bucket, periods, {o.rounds(('annual_return_est', 'sharpe_est', 'max_drawdown'), 5)} FROM mx")
+@query("group_backtest", f"{_CURVES}\nSELECT bucket, periods, {sql_squeezed('annual_return_est')}, {o.rounds(('sharpe_est', 'max_drawdown'), 5)} FROM mx")
 def group_backtest(spark, sf_dir):
     _, curves, _ = portfolio.single_factor_backtest(scored(spark, sf_dir), "score", TARGET)
-    return curves.select("bucket", "periods", *rounds("annual_return_est", "sharpe_est", "max_drawdown", digits=5))
+    return curves.select("bucket", "periods", *squeezed("annual_return_est"), *rounds("sharpe_est", "max_drawdown", digits=5))
 
 
 @query("group_summary", f"""{_CURVES}, mm AS (SELECT count(*) AS coverage_dates, avg(Q1) AS a, avg(Q2) AS b, avg(Q3) AS c, avg(Q4) AS d, avg(Q5) AS e FROM br),
 rk AS (SELECT i, rank() OVER (ORDER BY v) AS r FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i, unnest([a, b, c, d, e]) AS v FROM mm))
 SELECT coverage_dates, b >= a AND c >= b AND d >= c AND e >= d AS bucket_return_monotonic_increasing, b <= a AND c <= b AND d <= c AND e <= d AS bucket_return_monotonic_decreasing,
   (SELECT round(corr(i, r), 6) FROM rk) AS bucket_return_spearman, (SELECT round(sharpe_est, 5) FROM mx WHERE bucket = 'long_short') AS long_short_sharpe_est,
-  (SELECT round(annual_return_est, 5) FROM mx WHERE bucket = 'long_short') AS long_short_annual_return_est,
-  (SELECT round(annual_return_est, 5) FROM mx WHERE bucket = 'Q5') AS top_bucket_annual_return_est,
-  (SELECT round(annual_return_est, 5) FROM mx WHERE bucket = 'Q1') AS bottom_bucket_annual_return_est FROM mm""")
+  (SELECT round(sign(annual_return_est) * ln(1 + abs(annual_return_est)), 6) FROM mx WHERE bucket = 'long_short') AS long_short_annual_return_est,
+  (SELECT round(sign(annual_return_est) * ln(1 + abs(annual_return_est)), 6) FROM mx WHERE bucket = 'Q5') AS top_bucket_annual_return_est,
+  (SELECT round(sign(annual_return_est) * ln(1 + abs(annual_return_est)), 6) FROM mx WHERE bucket = 'Q1') AS bottom_bucket_annual_return_est FROM mm""")
 def group_summary(spark, sf_dir):
     _, _, s = portfolio.single_factor_backtest(scored(spark, sf_dir), "score", TARGET)
-    est = ("long_short_sharpe_est", "long_short_annual_return_est", "top_bucket_annual_return_est", "bottom_bucket_annual_return_est")
-    return s.select("coverage_dates", "bucket_return_monotonic_increasing", "bucket_return_monotonic_decreasing", *rounds("bucket_return_spearman"), *rounds(*est, digits=5))
+    est = ("long_short_annual_return_est", "top_bucket_annual_return_est", "bottom_bucket_annual_return_est")
+    return s.select("coverage_dates", "bucket_return_monotonic_increasing", "bucket_return_monotonic_decreasing", *rounds("bucket_return_spearman"), *rounds("long_short_sharpe_est", digits=5), *squeezed(*est))
 
 
 _IND = f"""{o.POSITIONS}, si AS (SELECT p.date, coalesce(industry, 'UNKNOWN') AS industry, sum(w) AS strategy_weight FROM pos p LEFT JOIN sc USING (date, symbol) GROUP BY ALL),
