@@ -4,8 +4,9 @@ Unit vectors are quantised in small subspaces of 16 centres (four bits). The
 loss weighs the part of the residual parallel to the vector more than the part
 across it, since only the former changes large inner products. A coarse
 partition sends a query to the nearest of its lists; there the four-bit codes
-are scanned by table look-ups and the best are reranked exactly on the original
-vectors, in double precision.
+are scanned by table look-ups. The best give a first k-th score; every vector
+whose code error allows as much is then scored on the original, in double
+precision, so a visited list loses nothing. Equal vectors are scanned once.
 
 Codebooks and the partition are fitted on a bounded sample (``SAMPLE`` vectors
 of least id hash); every vector is indexed. How many lists a query visits is
@@ -32,8 +33,10 @@ SCORE_FROM = 0.2
 LIST_ROWS, MAX_LISTS, COVERAGE = 400, 1024, 0.98
 #: Rows of a list that one task scans, and queries it scans them for.
 CHUNK, QUERY_BLOCK = 20_000, 50_000
-#: Codes of a list that are reranked for each query.
+#: Codes of a list that are reranked first for each query, to bound the others.
 RERANK = 64
+#: More than the rounding of an inner product of unit vectors in double precision.
+ROUNDING = 1e-9
 
 
 def parallel_weight(dim: int, score_from: float = SCORE_FROM) -> float:
@@ -109,6 +112,10 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] << 4) | codes[:, 1::2]
 
 
+def unpack_codes(packed: np.ndarray, parts: int) -> np.ndarray:
+    return np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, :parts]
+
+
 def scan_codes(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate inner products (query, row) by look-ups, one subspace at a time."""
     out = np.zeros((tables.shape[0], len(packed)), dtype=np.float32)
@@ -187,6 +194,69 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([over, np.flatnonzero(scores == least)[: n - len(over)]])
 
 
+def _kth(scores: np.ndarray, times: np.ndarray, k: int) -> float:
+    """The ``k``-th largest score, each counted as often as ``times`` says; -inf if there are fewer."""
+    order = np.argsort(-scores)
+    at = np.searchsorted(np.cumsum(times[order]), k)
+    return scores[order[at]] if at < len(order) else -np.inf
+
+
+class _Chunk:
+    """Rows of a list: equal vectors are one candidate that holds its ids in order."""
+
+    def __init__(self, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, quantiser: Quantiser):
+        as_bytes = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8)))[:, 0]
+        _, first, group = np.unique(as_bytes, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, group))
+        self.ids, self.group, self.times = ids[order], group[order], np.bincount(group)
+        self.start = np.cumsum(self.times) - self.times
+        self.own_order = np.argsort(self.ids, kind="stable")
+        self.own_ids = self.ids[self.own_order]
+        self.x, self.packed, self.quantiser = x[first], packed[first], quantiser
+        self.unit = _unit(self.x)
+        # A code's error is ``along`` times the vector and, across it, a rest of length ``across``.
+        codes = quantiser.decode(unpack_codes(self.packed, len(quantiser.splits))).astype(np.float64)
+        error = self.unit - codes
+        self.along = (error * self.unit).sum(axis=1)
+        self.across = np.linalg.norm(error - self.along[:, None] * self.unit, axis=1)
+        self.slack = 2e-7 * (len(quantiser.splits) + 1) * (1 + np.linalg.norm(codes, axis=1).max())  # of single precision
+
+    def scan(self, queries: np.ndarray) -> np.ndarray:
+        return scan_codes(self.quantiser.tables(queries), self.packed)
+
+    def may_reach(self, approximate: np.ndarray, score: float) -> np.ndarray:
+        """Candidates whose inner product with a unit query can be ``score`` or more, by their codes.
+
+        With an inner product s, the codes' is at least s * (1 - along) - across * sqrt(1 - s * s),
+        which grows with s from 0 on.
+        """
+        if score == -np.inf:
+            return np.arange(len(approximate))
+        score = min(score, 1.0) - ROUNDING
+        side = np.sqrt(1 - score * score) if score >= 0 else 1.0
+        least = score * (1 - self.along) - self.across * side - self.slack
+        return np.flatnonzero((approximate >= least) | (self.along >= 1))
+
+    def best(self, query: np.ndarray, unit: np.ndarray, approximate: np.ndarray, own: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the ``k`` nearest without ``own``, exactly."""
+        a, b = np.searchsorted(self.own_ids, [own, own + 1])
+        times = self.times
+        if a < b:
+            times = times - np.bincount(self.group[self.own_order[a:b]], minlength=len(times))
+        at = _best(approximate, rerank + 1)
+        at = self.may_reach(approximate, _kth(self.unit[at] @ unit, times[at], k))
+        at = at[times[at] > 0]
+        scores = self.unit[at] @ unit
+        at = at[scores >= _kth(scores, times[at], k) - ROUNDING]
+        scores = exact_cosine(query, self.x[at]) if len(at) else np.empty(0)
+        members = [self.ids[s : s + n] for s, n in zip(self.start[at], self.times[at], strict=True)]
+        members = [m[m != own][:k] for m in members]
+        ids = np.concatenate(members) if members else self.ids[:0]
+        scores = np.repeat(scores, [len(m) for m in members])
+        first = np.lexsort((ids, -scores))[:k]
+        return ids[first], scores[first]
+
+
 def nearest(
     vectors: DataFrame,
     is_query,
@@ -203,7 +273,8 @@ def nearest(
     Order: score, then the smaller vec_id. Rows that repeat an id are candidates
     each; a repeated query id counts once, with its least vector. A list with
     more than ``CHUNK`` rows is cut by id hash, so a vector with many copies
-    spreads; queries are cut into blocks of ``QUERY_BLOCK``.
+    spreads; queries are cut into blocks of ``QUERY_BLOCK``. The lists that a
+    query visits are searched exactly; only those it does not visit are missed.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -256,20 +327,16 @@ def nearest(
     def scan(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
-            data = data.sort_values("vec_id", ignore_index=True)
-            ids = data["vec_id"].to_numpy()
             packed = np.frombuffer(b"".join(data["code"]), dtype=np.uint8).reshape(len(data), -1)
-            x = np.stack(data["embedding"].to_numpy()).astype(np.float64)
+            rows = _Chunk(data["vec_id"].to_numpy(), packed, np.stack(data["embedding"].to_numpy()).astype(np.float64), quantiser)
             q = np.stack(asked["query"].to_numpy()).astype(np.float64)
+            unit = _unit(q)
             step = max(1, 2_000_000 // len(data))
             for a in range(0, len(q), step):
-                found = scan_codes(quantiser.tables(_unit(q[a : a + step])), packed)
-                for row, query, own in zip(found, q[a : a + step], asked["query_id"].iloc[a : a + step].tolist(), strict=True):
-                    at = _best(row, rerank + 1)
-                    at = at[ids[at] != own]
-                    scores = exact_cosine(query, x[at])
-                    first = np.lexsort((ids[at], -scores))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][first], "score": scores[first]}))
+                found = rows.scan(unit[a : a + step])
+                for i, own in enumerate(asked["query_id"].iloc[a : a + step].tolist()):
+                    ids, scores = rows.best(q[a + i], unit[a + i], found[i], own, k, rerank)
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")

@@ -211,6 +211,44 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_chunk_with_copies_equals_brute_force():
+    """More copies of one vector, and near copies, than are reranked at first; repeated and own ids; opposite queries."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    x[200:500] = x[0] + 0.02 * rng.normal(size=16)
+    x[500:1200] = x[1] + 1e-3 * rng.normal(size=(700, 16))
+    x[1200:1210] = 3 * x[1]
+    ids = rng.permutation(2000)
+    ids[300:310] = ids[200]
+    quantiser = nearest.Quantiser.fit(nearest._unit(x))
+    packed = nearest.pack_codes(quantiser.encode(nearest._unit(x)))
+    rows = nearest._Chunk(ids, packed, x, quantiser)
+    asked = np.concatenate([x[[0, 1, 200, 300, 501, 700, 1201, 1500]], -x[[1, 1700]]])
+    found = rows.scan(nearest._unit(asked))
+    for i, (q, own) in enumerate(zip(asked, [*ids[[0, 1, 200, 300, 501, 700, 1201, 1500]], -1, 5000], strict=True)):
+        s = nearest.exact_cosine(q, x)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != own][:5]
+        got = rows.best(q, nearest._unit(q[None])[0], found[i], own, 5, nearest.RERANK)
+        assert got[0].tolist() == ids[order].tolist() and got[1].tolist() == s[order].tolist()
+    tiny = nearest._Chunk(ids[:1], packed[:1], x[:1], quantiser)
+    assert len(tiny.best(x[0], nearest._unit(x[:1])[0], tiny.scan(nearest._unit(x[:1]))[0], ids[0], 5, 64)[0]) == 0
+
+
+def test_nearest_with_a_third_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + 1e-3 * rng.normal(size=(1000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = nearest.exact_cosine(x[q], x)
+        hits += len(got[q] & {int(i) for i in np.argsort(-s, kind="stable") if i != q and s[i] >= np.sort(s[np.arange(3000) != q])[-5]})
+    assert hits / 300 >= 0.95
+
+
 def test_rules_compile_to_what_they_say(spark):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(FRUIT, 40)) + "." for _ in range(120)]
