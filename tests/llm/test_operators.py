@@ -67,6 +67,18 @@ def test_near_duplicates_equal_all_pairs(documents, size):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_texts_of_one_document_keep_all_their_links(spark):
+    """One doc_id with several texts, each with a near copy; among them a text without words."""
+    texts = {g: _text(50 + g, 60) for g in range(6)}
+    near = {g: t + " end" for g, t in texts.items()}
+    rows = [(5, texts[g]) for g in range(4)] + [(5, ""), (5, texts[0])]
+    rows += [(20 + g, near[g]) for g in range(4)] + [(2, near[3] + " more"), (7, ""), (8, texts[4]), (9, near[4]), (9, None), (9, texts[5]), (30, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, size=2).collect()}
+    want = {i: 2 for i in (2, 5, 20, 21, 22, 23)} | {7: 7, 8: 8, 9: 8, 30: 8}
+    assert got == {(i, c, i == c) for i, c in want.items()}
+
+
 def test_sets_within_a_sketch_share_a_kept_key():
     """Every two sets with a Jaccard of 0.8 meet in a list that neither leaves out, whatever the order of rarity."""
     rng = np.random.default_rng(4)
