@@ -33,6 +33,7 @@ class ResearchConfig:
     neutralize: bool = False
     portfolio: portfolio.PortfolioConfig = portfolio.PortfolioConfig()
     gate: scorecard.GateConfig = field(default_factory=scorecard.GateConfig)
+    boost: models.BoostConfig = models.BoostConfig()
 
     @property
     def target(self) -> str:
@@ -131,32 +132,93 @@ def splits(start: str, end: str, cfg: ResearchConfig) -> list[dict[str, str]]:
         at = add_months(at, cfg.step_months)
 
 
-def fit_split(panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig) -> tuple[DataFrame, models.RidgeFit, list[str]]:
-    """Scores of a split's test window, from features chosen on the first part of its training window."""
+def _selected(panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig) -> dict:
+    """A split's rows and the features, with directions, chosen on the first part of its training window; the rest validates."""
     rows = prepare(panel, features, cfg, split["train_start"], split["test_end"]).cache()
-    train, _ = models.chronological_split(window_dates(rows, split["train_start"], split["train_end"]), cfg.valid_ratio, cfg.embargo_rows)
+    window = window_dates(rows, split["train_start"], split["train_end"])
+    train, valid = models.chronological_split(window, cfg.valid_ratio, cfg.embargo_rows)
     train = train.where("tradable_universe")
-    found = xs.with_direction(xs.select_features(xs.feature_diagnostics(train, features, cfg.target), cfg.min_rank_ic, top_k=cfg.top_k))
+    found = xs.with_direction(xs.select_features(xs.feature_diagnostics(train, features, cfg.target), cfg.min_rank_ic, top_k=cfg.top_k)).cache()
     order = found.orderBy(F.abs("mean_rank_ic").desc_nulls_last(), "feature").collect()
     chosen = xs.drop_correlated(train, [r.feature for r in order], cfg.max_corr)
     directions = {r.feature: r.direction for r in order if r.feature in chosen}
-    fit = models.fit_ridge(xs.orient(train, directions), chosen, cfg.target, cfg.alpha)
-    test = xs.orient(window_dates(rows, split["train_end"], split["test_end"]), directions).withColumn("ridge_score", fit.column())
-    return (xs.neutralize(test, "ridge_score") if cfg.neutralize else test), fit, chosen
+    test = window_dates(rows, split["train_end"], split["test_end"])
+    sides = {"train": xs.orient(train, directions), "valid": xs.orient(valid, directions), "test": xs.orient(test, directions)}
+    return sides | {"diagnostics": found.where(F.col("feature").isin(chosen)), "chosen": chosen}
+
+
+def fit_split(panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig) -> tuple[DataFrame, models.RidgeFit, list[str]]:
+    """Ridge scores of a split's test window, from features chosen on the first part of its training window."""
+    got = _selected(panel, features, split, cfg)
+    fit = models.fit_ridge(got["train"], got["chosen"], cfg.target, cfg.alpha)
+    test = got["test"].withColumn("ridge_score", fit.column())
+    return (xs.neutralize(test, "ridge_score") if cfg.neutralize else test), fit, got["chosen"]
+
+
+def run_split(spark: SparkSession, panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig, index=None) -> dict | None:
+    """A split from its mining window to strategies on validation and test; None where one of its windows has nothing to work on.
+
+    Whitelist of the mining window -> diagnostics, de-dup and directions on the
+    training side -> ridge gate -> ridge and boosted scores.
+    """
+    mining = window_dates(panel, split["mining_start"], split["train_start"])
+    sides = window_dates(panel, split["train_start"], split["train_end"]), window_dates(panel, split["train_end"], split["test_end"])
+    if mining.isEmpty() or sides[1].isEmpty() or sides[0].select("date").distinct().limit(2).count() < 2:
+        return None
+    mined = single_factor_run(spark, panel, features, cfg, split["mining_start"], split["train_start"], index)
+    mined = {k: v.cache() for k, v in mined.items()}
+    listed = mined["whitelist"].orderBy("priority_rank").limit(cfg.top_k or len(features))
+    names = [r.feature for r in listed.select("feature", "priority_rank").orderBy("priority_rank").collect()]
+    got = _selected(panel, names, split, cfg)
+    screen = models.fit_ridge(got["train"], got["chosen"], cfg.target, cfg.alpha)
+    coefficients = spark.createDataFrame(list(screen.coefficients.items()), "feature string, coef double")
+    pool = scorecard.ranker_pool(coefficients, got["diagnostics"]).cache()
+    kept = sorted(r.feature for r in pool.select("feature").collect())
+    valid_labelled = got["valid"].where("tradable_universe")
+    fit = models.fit_ridge(got["train"], kept, cfg.target, cfg.alpha)
+    trees = models.fit_boosted(got["train"], kept, cfg.target, cfg.boost, valid_labelled)
+    importance = spark.createDataFrame(models.boosted_importance(trees, kept), "feature string, importance double")
+    out = mined | {"coefficients": coefficients, "ranker_pool": pool, "boosted_importance": importance}
+    for phase in ("valid", "test"):
+        scored = models.boosted_scores(trees, got[phase].withColumn("ridge_score", fit.column()), kept)
+        scores = ["ridge_score", "gbt_score"]
+        if cfg.neutralize:
+            scored = xs.neutralize(xs.neutralize(scored, "ridge_score"), "gbt_score")
+            scores += ["ridge_score_neutralized", "gbt_score_neutralized"]
+        out[f"{phase}_scores"] = scored
+        for score in scores:
+            out |= {f"{phase}_{score}_{k}": v for k, v in strategy(panel, scored, score, cfg, index).items()}
+    return out
 
 
 def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
-    """All splits: results by split, coefficients and their stability, selection frequency."""
-    results, rows = {}, []
+    """All splits: results by split; over them coefficients and their stability, selection frequencies, the final pool and the windows.
+
+    A split without rows to mine, train or test on is skipped, and ``windows`` says so.
+    """
     windows = splits(start, end, cfg)
-    for split in windows:
-        scored, fit, _ = fit_split(panel, features, split, cfg)
-        results[split["split_id"]] = strategy(panel, scored, "ridge_score", cfg, index)
-        rows += [(int(split["split_id"]), f, c) for f, c in fit.coefficients.items()]
-    coefficients = spark.createDataFrame(rows, "split_id int, feature string, coef double")
+    results = {s["split_id"]: run_split(spark, panel, features, s, cfg, index) for s in windows}
+    status = [(int(s["split_id"]), *(s[c] for c in ("mining_start", "train_start", "train_end", "test_end")), results[s["split_id"]] is None) for s in windows]
+    done = {k: v for k, v in results.items() if v is not None}
+
+    def over(name: str, schema: str) -> DataFrame:
+        """(split_id, ...) of a small table of every split."""
+        out = spark.createDataFrame([], f"split_id int, {schema}")
+        for k, v in done.items():
+            out = out.unionByName(v[name].select(F.lit(int(k)).alias("split_id"), *out.columns[1:]))
+        return out
+
+    n = max(1, len(done))
+    coefficients = over("coefficients", "feature string, coef double")
+    whitelisted = over("whitelist", "feature string, quality_score double").groupBy("feature").agg(
+        F.count_distinct("split_id").alias("whitelist_splits"), F.avg("quality_score").alias("quality_score")
+    )
+    stable, chosen = scorecard.coefficient_stability(coefficients), scorecard.selection_frequency(coefficients, n)
+    ranker = scorecard.selection_frequency(over("ranker_pool", "feature string"), n)
     return {
-        "splits": results, "coefficients": coefficients, "coefficient_stability": scorecard.coefficient_stability(coefficients),
-        "selection_frequency": scorecard.selection_frequency(coefficients, max(1, len(windows))),
+        "splits": done, "coefficients": coefficients, "coefficient_stability": stable, "selection_frequency": chosen, "ranker_frequency": ranker,
+        "final_pool": scorecard.final_pool(whitelisted, chosen, stable, ranker, min_ratio=0.5 if n > 1 else 1.0),
+        "windows": spark.createDataFrame(status, "split_id int, mining_start string, train_start string, train_end string, test_end string, skipped boolean"),
     }
 
 

@@ -1,5 +1,8 @@
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
+from factorloom.operators import models
 from factorloom.plans import cli, research
 from factorloom.plans.queries import MIN_AMOUNT, ORACLE, QUERIES
 from factorloom.sources.tables import derived_panel
@@ -29,6 +32,27 @@ def test_one_split_from_panel_to_metrics(spark):
     assert m.status == "ok" and -1 <= m.max_drawdown <= 0 and found["positions"].count() > 0
 
 
+def test_chain_mines_gates_and_scores_both_sides(spark):
+    cfg = replace(research.ResearchConfig(), mining_months=12, train_months=24, test_months=12, step_months=12, min_listed_days=60,
+                  min_amount=MIN_AMOUNT / 100, boost=models.BoostConfig(rounds=2, max_depth=2))
+    panel = derived_panel(spark, SF).cache()
+    names = ["ret_5", "close_to_ma_10", "trend_5_20"]
+    got = research.factor_chain_run(spark, panel, names, cfg, "1997-01-01", "2000-01-02")
+    assert [r.skipped for r in got["windows"].collect()] == [False] and list(got["splits"]) == ["1"]
+    split = got["splits"]["1"]
+    assert {r.year for r in split["annual_report"].select("year").collect()} == {1996}
+    listed = {r.feature for r in split["whitelist"].collect()}
+    chosen, pool = {r.feature for r in split["coefficients"].collect()}, {r.feature for r in split["ranker_pool"].collect()}
+    assert pool and pool <= chosen <= listed <= set(names) and len(pool) < max(2, len(chosen))
+    assert {r.feature for r in split["boosted_importance"].collect()} == pool
+    ends = {p: split[f"{p}_scores"].agg(F.min("date"), F.max("date"), F.count("gbt_score"), F.count("ridge_score")).head() for p in ("valid", "test")}
+    assert ends["valid"][1] < ends["test"][0] and str(ends["test"][0]) >= "1999-01-01" and all(e[2] and e[2] == e[3] for e in ends.values())
+    for key in ("valid_gbt_score_metrics", "test_ridge_score_metrics"):
+        assert split[key].count() == 1
+    final = {r.feature: r.pool_status for r in got["final_pool"].collect()}
+    assert set(final) == listed and all((final[f] in ("core_pool", "ranker_pool")) == (f in pool) for f in final)
+
+
 def test_command_line_options():
     cfg = cli.config(cli.parser().parse_args(["factor-chain-run", "--top-n", "5", "--bucket-count", "10", "--neutralize"]))
     assert cfg.portfolio.top_n == 5 and cfg.buckets == 10 and cfg.neutralize
