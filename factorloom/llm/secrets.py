@@ -2,8 +2,9 @@
 
 Two character-bigram models are trained from labelled samples, one of random
 strings (keys, tokens), one of ordinary identifiers. A run of key-like
-characters is reported when the log-likelihood ratio of the two, per
-transition and in all, passes both thresholds.
+characters, without what a fixed pattern has taken, is reported when the
+log-likelihood ratio of the two, per transition and in all, passes both
+thresholds; otherwise each stretch of it that passes them is.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ _CODE = np.full(128, -1, dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 #: Shorter runs give too little evidence either way.
 MIN_RUN = 16
-_RUN = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9+/_=-]{%d,}" % (MIN_RUN - 1))
+_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9+/_=-]{%d,}" % (MIN_RUN - 1))
 MIN_RATIO, MIN_TOTAL = 1.15, 18.0
+#: Characters that join the words of a run.
+_JOINTS = "=-_/+"
 
 #: Words that the sample identifiers are made of.
 _STEMS = (
@@ -109,18 +112,72 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no base span covers."""
+    for s, _, e in base:
+        if e > start and s < end:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
+def _best_stretch(steps: np.ndarray) -> tuple[int, int] | None:
+    """The stretch of transitions furthest above ``MIN_RATIO`` that passes both thresholds, if any does."""
+    sums = np.concatenate([[0.0], np.cumsum(steps - MIN_RATIO)])
+    for least in (MIN_RUN - 1, MIN_RUN):  # from MIN_RUN transitions on, MIN_RATIO implies MIN_TOTAL
+        if len(steps) < least:
+            return None
+        low = np.minimum.accumulate(sums[: len(sums) - least])
+        k = int(np.argmax(sums[least:] - low))
+        a, b = int(np.argmin(sums[: k + 1])), k + least
+        total = steps[a:b].sum()
+        if total >= MIN_TOTAL and total >= MIN_RATIO * (b - a):
+            return a, b
+    return None
+
+
+def random_stretches(run: str, ratios: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of a run that pass both thresholds: the run itself if it does.
+
+    A stretch is extended as far as that raises its total, then to whole
+    letter-and-digit words, so that no end of a value is left over.
+    """
+    found, todo = [], [(0, len(run))]
+    if len(run) < MIN_RUN:
+        return found
+    codes = _CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)]
+    steps = ratios[codes[:-1], codes[1:]]
+    if steps.sum() >= MIN_TOTAL and steps.sum() >= MIN_RATIO * len(steps):
+        return [(0, len(run))]
+    while todo:
+        start, end = todo.pop()
+        best = _best_stretch(steps[start : end - 1]) if end - start >= MIN_RUN else None
+        if best is None:
+            continue
+        a, b = start + best[0], start + best[1] + 1
+        a -= int(np.argmax(np.concatenate([[0.0], np.cumsum(steps[start:a][::-1])])))
+        b += int(np.argmax(np.concatenate([[0.0], np.cumsum(steps[b - 1 : end - 1])])))
+        while a > start and run[a - 1] not in _JOINTS and run[a] not in _JOINTS:
+            a -= 1
+        while b < end and run[b] not in _JOINTS and run[b - 1] not in _JOINTS:
+            b += 1
+        found.append((a, b))
+        todo += [(start, a), (b, end)]
+    return sorted(found)
+
+
 def find_spans(text: str | None, ratios: np.ndarray) -> tuple[list, list]:
     """The base spans, and those with what the models add beside them."""
     if not text:
         return [], []
     base, more = base_spans(text), []
     for m in _RUN.finditer(text):
-        run = m.group().rstrip("=-_/+")
-        if len(run) < MIN_RUN or any(s < m.end() and e > m.start() for s, _, e in base):
-            continue
-        ratio = log_ratio(ratios, run)
-        if ratio >= MIN_TOTAL and ratio >= MIN_RATIO * (len(run) - 1):
-            more.append((m.start(), 3, m.start() + len(run)))
+        for start, end in _uncovered(m.start(), m.end(), base):
+            piece = text[start:end].rstrip(_JOINTS)
+            start += len(piece) - len(piece.lstrip(_JOINTS))
+            more += [(start + a, 3, start + b) for a, b in random_stretches(piece.lstrip(_JOINTS), ratios)]
     return base, sorted(base + more)
 
 

@@ -137,6 +137,21 @@ def test_markov_models_tell_new_samples_apart():
     assert np.mean([hit(s) for s in random]) > 0.85 and not any(map(hit, plain))
 
 
+def test_random_values_glued_to_names_are_found():
+    ratios = secrets._ratios(None)
+    value, other = "q7ZxT2vKp9RwXb4LmQ8sYd3J", "Hk4Vz8Wq2Xn6Jb9Tf3Rc7Yp5"
+    name, path = "CUSTOMER_ACCOUNT_CONNECTION_PROPERTY=", "/customer/account/connection/property/manager/"
+    for text in (name + value, path + value, "_" + value, "é" + value, "password=hunter2/ " + value, f"{path}{value}{path}{other}/service_status"):
+        spans = secrets.find_spans(text, ratios)[1]
+        for v in [value, other] if other in text else [value]:
+            at = text.index(v)
+            assert any(s <= at and e >= at + len(v) for s, _, e in spans), text
+        assert all(v not in secrets.redact_text(text, spans, "[S]") for v in (value, other))
+    hexa = "0123456789abcdef01234567"
+    assert value not in secrets.redact_text(value + "/" + hexa, secrets.find_spans(value + "/" + hexa, ratios)[1], "[S]")
+    assert not any(secrets.random_stretches(s, ratios) for s in secrets.labelled_samples(1000, seed=123)[1])
+
+
 def test_word_cache_equals_the_library():
     from tokenizers import Tokenizer
 
