@@ -2,8 +2,9 @@
 
 Pieces are dealt evenly into blocks of bounded size. A block starts from
 best-fit by falling length; then documents move, or are exchanged one for one or
-two for one, from the emptiest bin to fuller ones, every exchange raising the
-sum of squared fills, until the bin is empty or nothing fits better.
+two for one, between underfull bins (out of the emptiest that can give any
+away), every exchange raising the sum of squared fills, until the block has no
+bin too many or no exchange is left.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from factorloom.llm.common import materialize, table
 from factorloom.llm.tokens import END_BYTES, default_tokenizer, encoder
 
 SEQUENCE = 4096
-#: Pieces that one task packs together; each block wastes less than a sequence.
+#: Pieces that one task packs together.
 BLOCK = 16384
-#: Exchanges tried for one block at most; packing stays whole if they run out.
-MAX_EXCHANGES = 20_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -80,39 +79,42 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(lengths: list[int], bins: list[list[int]], room: list[int], low: int, others: list[int]) -> bool:
-    """One move or exchange that takes words out of bin ``low``; whether one was found."""
+def _exchange(lengths: list[int], bins: list[list[int]], room: list[int], low: int, others: list[int]) -> int | None:
+    """One move or exchange that takes words out of bin ``low`` and raises the sum of squared fills; the other bin, if one was found."""
     items = sorted(bins[low], key=lambda i: -lengths[i])
     for x in items:  # move: into the fullest bin that takes it
-        fits = [b for b in others if room[b] >= lengths[x]]
+        fits = [b for b in others if room[b] >= lengths[x] > room[b] - room[low]]
         if fits:
-            _shift(lengths, bins, room, low, min(fits, key=lambda b: room[b]), [x], [])
-            return True
+            b = min(fits, key=lambda b: room[b])
+            _shift(lengths, bins, room, low, b, [x], [])
+            return b
     best, found = 0, None
     for b in others:
         free = room[b]
-        if not free:
+        least = max(best, free - room[low])  # an emptier bin must come out fuller than ``low`` was
+        if free <= least:
             continue
         own = {}
         for y in bins[b]:
             own.setdefault(lengths[y], y)
         for x in items:  # one for one: y out, a longer x in, by at most the room of b
-            for gain in range(min(free, lengths[x] - 1), best, -1):
-                if (y := own.get(lengths[x] - gain)) is not None:
-                    best, found = gain, (b, [x], [y])
-                    break
-        for y in bins[b]:  # two for one
+            for y in own:
+                if least < lengths[x] - y <= free:
+                    least = best = lengths[x] - y
+                    found = (b, [x], [own[y]])
+        for y in own:  # two for one
             for k, x in enumerate(items):
                 for x2 in items[k + 1 :]:
-                    gain = lengths[x] + lengths[x2] - lengths[y]
-                    if best < gain <= free:
-                        best, found = gain, (b, [x, x2], [y])
+                    gain = lengths[x] + lengths[x2] - y
+                    if least < gain <= free:
+                        least = best = gain
+                        found = (b, [x, x2], [own[y]])
         if best == free:
             break
     if found is None:
-        return False
+        return None
     _shift(lengths, bins, room, low, *found)
-    return True
+    return found[0]
 
 
 def _shift(lengths, bins, room, low, b, away, back) -> None:
@@ -127,24 +129,32 @@ def _shift(lengths, bins, room, low, b, away, back) -> None:
     room[low] += gain
 
 
-def pack_block(lengths: list[int], capacity: int = SEQUENCE, max_exchanges: int = MAX_EXCHANGES) -> list[list[int]]:
-    """Bins of item numbers, as few as best fit and exchanges between underfull bins find."""
+def pack_block(lengths: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
+    """Bins of item numbers, as few as best fit and exchanges between underfull bins find.
+
+    Ends at ceil(sum / capacity) bins, or where no exchange between any two
+    underfull bins raises the sum of squared fills.
+    """
     bins = best_fit(lengths, capacity)
     least = -(-sum(lengths) // capacity)
     room = [capacity - sum(lengths[i] for i in b) for b in bins]
-    left = max_exchanges
-    while len(bins) > least and left > 0:
-        underfull = [b for b in range(len(bins)) if room[b]]
-        low = max(underfull, key=lambda b: room[b])
-        others = sorted((b for b in underfull if b != low), key=lambda b: room[b])
-        if sum(room[b] for b in others) < capacity - room[low]:
-            break  # what is in the emptiest bin is more than all the room elsewhere
-        while bins[low] and left > 0 and _exchange(lengths, bins, room, low, others):
-            left -= 1
-            others = [b for b in others if room[b]]
-        if bins[low]:
+    count, now = len(bins), 1
+    changed, tried = [1] * count, [0] * count  # a bin without an exchange is tried again only with what changed since
+    while count > least:
+        underfull = sorted((b for b in range(len(bins)) if bins[b] and room[b]), key=lambda b: room[b])
+        # the emptiest bin that can give anything away; a bin once emptied takes nothing
+        for low in reversed(underfull):
+            since = tried[low] if changed[low] <= tried[low] else 0
+            others = [b for b in underfull if b != low and changed[b] > since]
+            b = _exchange(lengths, bins, room, low, others) if others else None
+            if b is not None:
+                now += 1
+                changed[low] = changed[b] = now
+                break
+            tried[low] = now
+        else:
             break
-        del bins[low], room[low]
+        count -= not bins[low]
     return [b for b in bins if b]
 
 

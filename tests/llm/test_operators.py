@@ -194,6 +194,24 @@ def test_exchanges_beat_best_fit():
         assert len(bins) <= len(packing.best_fit(lengths, 1000))
 
 
+def test_exchanges_pool_room_of_other_bins():
+    room = [300, 300, 3596]
+    lengths = [1000, 2796, 1200, 2596, 500]
+    bins = [[0, 1], [2, 3], [4]]
+    assert packing._exchange(lengths, bins, room, 2, [0, 1]) is None
+    assert any(packing._exchange(lengths, bins, room, low, [b for b in range(3) if b != low]) is not None for low in (1, 0))
+    assert sorted(room) == [100, 500, 3596] and packing._exchange(lengths, bins, room, 2, [0, 1]) in (0, 1) and not bins[2]
+    assert len(packing.pack_block(np.random.default_rng(500).integers(500, 3001, 500).tolist())) <= 219  # 220 from the emptiest bin alone
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        lengths = rng.integers(500, 3000, 120).tolist()
+        bins = packing.pack_block(lengths)
+        assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+        room = [4096 - sum(lengths[i] for i in b) for b in bins]
+        stuck = not any(packing._exchange(lengths, bins, room, low, [b for b in range(len(bins)) if b != low and room[b]]) is not None for low in range(len(bins)) if room[low])
+        assert len(bins) == -(-sum(lengths) // 4096) or stuck
+
+
 def test_mix_meets_targets(documents):
     docs = documents.drop("size")
     got = mixing.mix_sources(docs).toPandas()
