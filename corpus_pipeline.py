@@ -54,7 +54,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Sketches, Markov models and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
+#: Sketches, Markov models and tokenizers are beyond SQL; tests hold the redaction and packing stages against plain Python and
+#: check that the quality stage keeps rows whole. The near-duplicate and mixing stages and ``run`` are tested by their operators only.
 ORACLE_SQL = None
 
 
