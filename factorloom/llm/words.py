@@ -62,12 +62,12 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``size`` lower-cased words.
+    """Sorted hashes (63 bits) of the distinct runs of ``size`` lower-cased words.
 
     A text with fewer words, but some, has its whole sequence as its only
     shingle; one without words has none.
     """
     words = words_of(ascii_lower(text)) if text else []
     if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(window_hashes(hash_words(words), min(size, len(words))))
+        return np.empty(0, dtype=np.int64)
+    return np.unique((window_hashes(hash_words(words), min(size, len(words))) >> np.uint64(1)).view(np.int64))

@@ -79,19 +79,32 @@ def test_texts_of_one_document_keep_all_their_links(spark):
     assert got == {(i, c, i == c) for i, c in want.items()}
 
 
-def test_sets_within_a_sketch_share_a_kept_key():
-    """Every two sets with a Jaccard of 0.8 meet in a list that neither leaves out, whatever the order of rarity."""
+def test_large_groups_of_edited_copies_equal_all_pairs(spark):
+    """Copies of two texts with few and with many own edits, and copies of such copies: links that hubs see and links that they don't."""
     rng = np.random.default_rng(4)
-    for n in [*range(4, 40), 60, 100, 180, 250]:
-        for _ in range(12):
-            union = np.unique(rng.integers(0, 2**32, n, dtype=np.uint64))
-            d = int(0.2 * len(union))
-            out = rng.permutation(len(union))[:d]
-            cut = rng.integers(0, d + 1)
-            a, b = np.delete(union, out[:cut]), np.delete(union, out[cut:])
-            ka, kb = (set(near_dedup.run_keys(s.astype(np.uint32), len(s)).tolist()) for s in (a, b))
-            spare = max(0, -(-min(len(a), len(b)) // 5) - 4)
-            assert min(len(a), len(b)) < 4 or len(ka & kb) > spare
+    words = [f"{w}{i}" for w in FRUIT for i in range(40)]
+    rows = []
+
+    def edited(base, share):
+        return [words[rng.integers(0, len(words))] if rng.random() < share else w for w in base]
+
+    for base in (_text(71, 90).split(), _text(72, 420).split()):
+        for _ in range(60):
+            copy = edited(base, rng.choice([0.01, 0.03, 0.055, 0.07]))
+            rows.append(copy)
+            if rng.random() < 0.4:
+                rows.append(edited(copy, 0.03))
+    data = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    sets = [_shingles(t, 2) for _, t in data]
+    low = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and low[i] != low[j]:
+                x, y = sorted((low[i], low[j]))
+                low = [x if z == y else z for z in low]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, size=2, k=128).collect()}
+    assert got == dict(enumerate(low)) and 5 < len(set(low)) < len(low) - 40
 
 
 def test_quality_counts(documents, spark):
