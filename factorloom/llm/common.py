@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting to remove an execution's shuffle files at its end.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_SCRATCH: dict[str, str] = {}
 
 
@@ -33,11 +36,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files that outlive executors and keeps expensive
-    Python passes from running once per consumer.
+    Python passes from running once per consumer. The shuffle files of the
+    write go as soon as it ends: nothing else reads them.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(col):
