@@ -14,13 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spark's setting to remove an execution's shuffle files at its end.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MAX_BATCH_BYTES = 8 << 20
+
 _OWN_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_SCRATCH:
             _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="factorloom-")
@@ -32,6 +37,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the batches that go to Python workers to ``MAX_BATCH_BYTES``, so that long texts do not add up."""
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > MAX_BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, MAX_BATCH_BYTES)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -40,6 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     write go as soon as it ends: nothing else reads them.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    bound_batches(spark)
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
@@ -55,6 +67,7 @@ def ascii_lower(col):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

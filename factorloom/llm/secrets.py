@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import table
+from factorloom.llm.common import bound_batches, table
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -216,6 +216,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", samples: tuple[list[str],
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", samples=None) -> DataFrame:
     """Replace every secret in ``text`` by ``mark``; documents stay, null texts too."""
+    bound_batches(docs.sparkSession)
     ratios = _ratios(samples)
 
     @F.pandas_udf("string")

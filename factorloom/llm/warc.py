@@ -9,7 +9,9 @@ Reading: files are split at every occurrence of the magic. Each split names a
 *candidate* record and, by its Content-Length, the offset of its successor. A
 payload may hold the magic too, so candidates count only if the chain of
 successors from the start of the file reaches them: chains are followed inside
-each block of a file, then pointer jumping (doubling) links the blocks.
+each block of ``JUMP_BYTES`` of a file, then pointer jumping (doubling) links the
+blocks, whatever splits a file was read in. A body that crosses the bound of two
+splits is put together from the parts of just that body.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ MAGIC = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _ID = "<urn:page:"
-#: A candidate that claims a longer body is not a record.
-MAX_BODY = 1 << 30
+#: Candidates of so many bytes of a file are followed in one task; pointer jumping goes from there.
+JUMP_BYTES = 1 << 20
 RECORDS_PER_FILE = 20_000
 
 
@@ -99,7 +101,7 @@ class _Block:
         head = data.find(_END)
         fields = _fields(data[:head]) if head >= 0 else {}
         n = _digits(fields.get(b"content-length"))
-        if b"warc-type" in fields and n is not None and n <= MAX_BODY:
+        if b"warc-type" in fields and n is not None:
             row |= {"fields": fields, "body_at": begin + head + 4, "n": n, "size": len(MAGIC) + head + 4 + n + 4}
             self.open.append(row)
         else:
@@ -138,14 +140,14 @@ class _Block:
 
 
 _SCAN = (
-    "file string, block long, index long, rel long, span long, size long, complete boolean, type string, id string, uri string, "
+    "file string, block long, index long, rel long, span long, size long, body_at long, n long, complete boolean, type string, id string, uri string, "
     "refers string, stated string, payload_bytes long, payload_digest string"
 )
-_SCAN_TYPES = [pa.string(), *[pa.int64()] * 5, pa.bool_(), *[pa.string()] * 5, pa.int64(), pa.string()]
+_SCAN_TYPES = [pa.string(), *[pa.int64()] * 7, pa.bool_(), *[pa.string()] * 5, pa.int64(), pa.string()]
 
 
-def _candidates(lines: DataFrame, whole: bool, with_body: bool) -> DataFrame:
-    """A row per candidate; ``whole``: rows are whole files, not what lies between magics."""
+def _candidates(lines: DataFrame, with_body: bool) -> DataFrame:
+    """A row per candidate, from what lies between magics."""
     names = [f.split()[0] for f in _SCAN.split(", ")] + ["payload"] * with_body
     types = _SCAN_TYPES + [pa.binary()] * with_body
 
@@ -154,7 +156,7 @@ def _candidates(lines: DataFrame, whole: bool, with_body: bool) -> DataFrame:
         text = lambda k: f[k].decode("utf-8", "replace") if k in f else None
         digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if body is not None else None
         row = (
-            file, block, r["index"], r["rel"], r["span"], r.get("size"), r.get("complete", False), text(b"warc-type"), text(b"warc-record-id"),
+            file, block, r["index"], r["rel"], r["span"], r.get("size"), r.get("body_at"), r.get("n"), r.get("complete", False), text(b"warc-type"), text(b"warc-record-id"),
             text(b"warc-target-uri"), text(b"warc-refers-to"), text(b"warc-payload-digest"), None if body is None else len(body), digest,
         )
         return (*row, body) if with_body else row
@@ -172,13 +174,12 @@ def _candidates(lines: DataFrame, whole: bool, with_body: bool) -> DataFrame:
                     if block is not None:
                         out += [as_row(*key, r) for r in block.close()]
                     key, block = (file, start), _Block(with_body)
-                for part in data.as_py().split(MAGIC) if whole else (data.as_py(),):
-                    found = [as_row(*key, r) for r in block.feed(part)]
-                    out += found
-                    held += sum(r[4] for r in found) if with_body else 1000 * len(found)
-                    if held > 8 << 20:
-                        yield batch()
-                        out, held = [], 0
+                found = [as_row(*key, r) for r in block.feed(data.as_py())]
+                out += found
+                held += sum(r[4] for r in found) if with_body else 1000 * len(found)
+                if held > 8 << 20:
+                    yield batch()
+                    out, held = [], 0
         if block is not None:
             out += [as_row(*key, r) for r in block.close()]
         yield batch()
@@ -186,11 +187,25 @@ def _candidates(lines: DataFrame, whole: bool, with_body: bool) -> DataFrame:
     return lines.mapInArrow(scan, _SCAN + ", payload binary" * with_body)
 
 
-def _lines(spark: SparkSession, paths, whole: bool) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", "part-*")
-    reader = reader.option("wholetext", True) if whole else reader.option("lineSep", MAGIC.decode())
-    start = F.lit(0).cast("long") if whole else F.col("_metadata.file_block_start")
-    return reader.text(paths).select(F.col("value").cast("binary"), F.col("_metadata.file_path"), start)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between magics, with its file and split."""
+    reader = spark.read.option("pathGlobFilter", "part-*").option("lineSep", MAGIC.decode())
+    return reader.text(path).select(F.col("value").cast("binary"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(file, block, index, data) of the lines, numbered as the candidates are."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index = None, 0
+        for rows in batches:
+            numbers = []
+            for at in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                key, index = (at, 0) if at != key else (key, index + 1)
+                numbers.append(index)
+            yield pa.record_batch([rows.column(1), rows.column(2), pa.array(numbers, pa.int64()), rows.column(0)], names=["file", "block", "index", "data"])
+
+    return lines.mapInArrow(number, "file string, block long, index long, data binary")
 
 
 def _walk(pdf: pd.DataFrame) -> np.ndarray:
@@ -220,58 +235,102 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
         while k is not None and succ[k] == succ[k] and succ[k] is not None:
             keep.append(k)
             k = at.get(int(succ[k]))
-    return pdf.loc[sorted(set(keep)), ["file", "block", "index"]]
+    return pdf.loc[sorted(set(keep)), ["file", "split", "index"]]
+
+
+def _blocks(light: DataFrame) -> DataFrame:
+    """(file, block, base, bytes) of the splits: where each begins. A row per split of a file meets its others."""
+    sums = light.groupBy("file", "block").agg(F.sum("span").alias("bytes"))
+    return sums.withColumn("base", F.sum("bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("bytes"))
 
 
-def _reachable(light: DataFrame) -> DataFrame:
-    """(file, block, index) of the candidates that the chain from their file's start reaches.
+def _reachable(light: DataFrame, blocks: DataFrame, jump_bytes: int = JUMP_BYTES) -> DataFrame:
+    """(file, split, index) of the candidates that the chain from their file's start reaches.
 
-    One row per block meets its file's others; one block's candidates, small
-    rows of offsets, meet in one task.
+    One block's candidates, small rows of offsets, meet in one task; the number
+    of rounds is the logarithm of a file's blocks.
     """
-    sums = light.groupBy("file", "block").agg(F.sum("span").alias("bytes"))
-    base = sums.withColumn("base", F.sum("bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("bytes")).drop("bytes")
     offset = F.col("base") + F.col("rel") - len(MAGIC)
-    rows = light.join(base, ["file", "block"]).select("file", "block", "index", offset.alias("offset"), "size")
+    rows = light.join(blocks.select("file", "block", "base"), ["file", "block"]).select("file", F.col("block").alias("split"), "index", offset.alias("offset"), "size")
     rows = rows.where("offset >= 0").withColumn("successor", F.col("offset") + F.col("size")).drop("size")
+    rows = materialize(rows.withColumn("block", F.floor(F.col("offset") / jump_bytes)), "warc-offsets")
     entries = rows.where("offset = 0").select("file", "offset")
-    if base.groupBy("file").count().agg(F.max("count")).head()[0] not in (None, 1):
-        rows = materialize(rows, "warc-offsets")
-        exits = materialize(rows.groupBy("file", "block").applyInPandas(_exits, "file string, block long, offset long, exit long"), "warc-exits")
-        goals = exits.select("file", F.col("exit").alias("offset")).distinct()
-        jumps = exits.join(goals.unionByName(entries).distinct(), ["file", "offset"]).select("file", "offset", F.col("exit").alias("jump"))
-        reached, n = materialize(entries, "warc-reached"), -1
-        while n != (n := reached.count()):
-            jumps = materialize(jumps, "warc-jumps")
-            nearer = reached.join(jumps, ["file", "offset"]).select("file", F.col("jump").alias("offset"))
-            reached = materialize(reached.unionByName(nearer).distinct(), "warc-reached")
-            onward = jumps.select("file", F.col("offset").alias("jump"), F.col("jump").alias("to"))
-            jumps = jumps.join(onward, ["file", "jump"], "left").select("file", "offset", F.coalesce("to", "jump").alias("jump"))
-        entries = reached
-    marked = rows.join(entries.withColumn("entry", F.lit(True)), ["file", "offset"], "left").fillna(False, "entry")
-    return marked.groupBy("file", "block").applyInPandas(_mark, "file string, block long, index long")
-
-
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    exits = materialize(rows.select("file", "block", "offset", "successor").groupBy("file", "block").applyInPandas(_exits, "file string, block long, offset long, exit long"), "warc-exits")
+    goals = exits.select("file", F.col("exit").alias("offset")).distinct()
+    jumps = exits.join(goals.unionByName(entries).distinct(), ["file", "offset"]).select("file", "offset", F.col("exit").alias("jump"))
+    reached, n = materialize(entries, "warc-reached"), -1
+    while n != (n := reached.count()):
+        jumps = materialize(jumps, "warc-jumps")
+        nearer = reached.join(jumps, ["file", "offset"]).select("file", F.col("jump").alias("offset"))
+        reached = materialize(reached.unionByName(nearer).distinct(), "warc-reached")
+        onward = jumps.select("file", F.col("offset").alias("jump"), F.col("jump").alias("to"))
+        jumps = jumps.join(onward, ["file", "jump"], "left").select("file", "offset", F.coalesce("to", "jump").alias("jump"))
+    marked = rows.join(reached.withColumn("entry", F.lit(True)), ["file", "offset"], "left").fillna(False, "entry")
+    return marked.groupBy("file", "block").applyInPandas(_mark, "file string, split long, index long")
+
+
+_TORN = "file string, block long, index long, payload_bytes long, payload_digest string"
+
+
+def _torn(lines: DataFrame, light: DataFrame, blocks: DataFrame, records: DataFrame, with_payload: bool) -> DataFrame:
+    """The bodies of reachable records that cross the bound of two splits, from the lines they lie in; no digest if the body has not its end.
+
+    At most one such record crosses a bound, so a split meets two of them at most.
+    """
+    open_ = records.where("not complete").join(blocks.select("file", "block", "base"), ["file", "block"])
+    open_ = open_.select("file", F.col("block").alias("b"), F.col("index").alias("i"), (F.col("base") + F.col("body_at")).alias("from"), F.col("n"))
+    open_ = open_.withColumn("to", F.col("from") + F.col("n") + len(_END))
+    parts = blocks.join(open_, "file").where((F.col("base") < F.col("to")) & (F.col("base") + F.col("bytes") > F.col("from")) & (F.col("block") >= F.col("b")))
+    at = F.col("base") + F.col("rel")
+    inside = light.select("file", "block", "index", "rel", "span").join(parts, ["file", "block"]).where((at < F.col("to")) & (at + F.col("span") > F.col("from")))
+    inside = materialize(inside.select("file", "block", "index", "b", "i", "n", (at - F.col("from")).alias("at")), "warc-torn")
+
+    def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        n = int(pdf["n"].iloc[0]) + len(_END)
+        body = b"".join(d + MAGIC for d in pdf["data"])[max(0, -int(pdf["at"].iloc[0])) :][:n]
+        good = len(body) == n and body.endswith(_END)
+        body = body[: -len(_END)] if good else None
+        out = pdf[["file", "b", "i"]].head(1).rename(columns={"b": "block", "i": "index"})
+        out = out.assign(payload_bytes=len(body) if good else None, payload_digest=base64.b32encode(hashlib.sha1(body).digest()).decode() if good else None)
+        out["payload_bytes"] = out["payload_bytes"].astype("Int64")
+        return out.assign(payload=[body]) if with_payload else out
+
+    data = _numbered(lines).join(inside, ["file", "block", "index"])
+    return data.groupBy("file", "b", "i").applyInPandas(put_together, _TORN + ", payload binary" * with_payload)
+
+
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, jump_bytes: int = JUMP_BYTES) -> DataFrame:
     """The records of the archives in ``path``, with their payloads if asked for.
 
     Columns: file, type, id, uri, refers, stated (the header's digest),
     payload_bytes, payload_digest and payload. A file that does not begin with a
-    record has none. A body with the magic inside that also crosses the bound of
-    two blocks is read with its whole file in one piece.
+    record has none; one that breaks off, or holds a record whose body has not
+    its end, has those before.
     """
-    light = materialize(_candidates(_lines(spark, path, False), False, False), "warc-candidates")
-    kept = materialize(_reachable(light), "warc-kept")
-    on = ["file", "block", "index"]
-    records = light.join(kept, on)
-    torn = [r.file for r in records.where("not complete").select("file").distinct().collect()]
-    rows = _candidates(_lines(spark, path, False), False, True).join(kept, on) if with_payload else records
-    if torn:
-        again = materialize(_candidates(_lines(spark, torn, True), True, False), "warc-candidates")
-        kept_again = materialize(_reachable(again), "warc-kept")
-        more = (_candidates(_lines(spark, torn, True), True, True) if with_payload else again).join(kept_again, on)
-        rows = rows.where(~F.col("file").isin(torn)).unionByName(more)
-    return rows.where("complete").drop("block", "index", "rel", "span", "size", "complete")
+    lines, on = _lines(spark, path), ["file", "block", "index"]
+    light = materialize(_candidates(lines, False), "warc-candidates")
+    blocks = materialize(_blocks(light), "warc-blocks")
+    broken = None
+    while True:
+        known = light if broken is None else light.join(broken.withColumn("bad", F.lit(True)), on, "left").withColumn("size", F.when(F.col("bad").isNull(), F.col("size"))).drop("bad")
+        kept = _reachable(known, blocks, jump_bytes).withColumnRenamed("split", "block")
+        records = materialize(known.join(kept, on), "warc-kept")
+        torn = None
+        if records.where("not complete").isEmpty():
+            break
+        torn = materialize(_torn(lines, light, blocks, records, with_payload), "warc-torn-bodies")
+        bad = torn.where("payload_digest is null").select(*on)
+        if bad.isEmpty():
+            break
+        broken = materialize(bad if broken is None else bad.unionByName(broken), "warc-broken")
+    names = ["file", "type", "id", "uri", "refers", "stated", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
+    rows = _candidates(lines, True).join(records.select(*on), on) if with_payload else records
+    out = rows.where("complete").select(*names)
+    if torn is not None:
+        heads = records.where("not complete").select(*on, "type", "id", "uri", "refers", "stated")
+        out = out.unionByName(heads.join(torn, on).select(*names))
+    return out
 
 
 def page_records(records: DataFrame) -> DataFrame:
