@@ -1,10 +1,11 @@
-"""Best-fit packing of token sequences, improved by exchanges between bins.
-
-Pieces are dealt evenly into blocks of bounded size. A block starts from
-best-fit by falling length; then documents move, or are exchanged one for one or
-two for one, between underfull bins (out of the emptiest that can give any
-away), every exchange raising the sum of squared fills, until the block has no
-bin too many or no exchange is left.
+"""Packing of token sequences by swap-based local search.
+
+Pieces are dealt evenly into blocks of bounded size. A block starts from bins
+filled in order of arrival. Then documents move, or are exchanged one for one or
+two for one, between underfull bins, every step raising the sum of squared
+fills: the emptiest bins give away what they can until they are empty, and so on
+until the block has no bin too many or no step is left. Only a block that ends above
+its least number of bins starts once more, from best fit by falling length.
 """
 
 from __future__ import annotations
@@ -79,83 +80,123 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(lengths: list[int], bins: list[list[int]], room: list[int], low: int, others: list[int]) -> int | None:
-    """One move or exchange that takes words out of bin ``low`` and raises the sum of squared fills; the other bin, if one was found."""
-    items = sorted(bins[low], key=lambda i: -lengths[i])
-    for x in items:  # move: into the fullest bin that takes it
-        fits = [b for b in others if room[b] >= lengths[x] > room[b] - room[low]]
-        if fits:
-            b = min(fits, key=lambda b: room[b])
-            _shift(lengths, bins, room, low, b, [x], [])
-            return b
-    best, found = 0, None
-    for b in others:
-        free = room[b]
-        least = max(best, free - room[low])  # an emptier bin must come out fuller than ``low`` was
-        if free <= least:
-            continue
-        own = {}
-        for y in bins[b]:
-            own.setdefault(lengths[y], y)
-        for x in items:  # one for one: y out, a longer x in, by at most the room of b
-            for y in own:
-                if least < lengths[x] - y <= free:
-                    least = best = lengths[x] - y
-                    found = (b, [x], [own[y]])
-        for y in own:  # two for one
-            for k, x in enumerate(items):
-                for x2 in items[k + 1 :]:
-                    gain = lengths[x] + lengths[x2] - y
-                    if least < gain <= free:
-                        least = best = gain
-                        found = (b, [x, x2], [own[y]])
-        if best == free:
-            break
-    if found is None:
-        return None
-    _shift(lengths, bins, room, low, *found)
-    return found[0]
+def arrival_order(lengths: list[int], capacity: int) -> np.ndarray:
+    """The bin of each item: the last bin while it takes the next item, then a new one."""
+    bins, at, used = np.zeros(len(lengths), dtype=np.int64), 0, 0
+    for i, n in enumerate(lengths):
+        if used + n > capacity and used:
+            at, used = at + 1, 0
+        bins[i] = at
+        used += n
+    return bins
 
 
-def _shift(lengths, bins, room, low, b, away, back) -> None:
-    for i in away:
-        bins[low].remove(i)
-        bins[b].append(i)
-    for i in back:
-        bins[b].remove(i)
-        bins[low].append(i)
-    gain = sum(lengths[i] for i in away) - sum(lengths[i] for i in back)
-    room[b] -= gain
-    room[low] += gain
+def fullest_first(lengths: list[int], capacity: int) -> np.ndarray:
+    """The bin of each item by best fit."""
+    bins = np.zeros(len(lengths), dtype=np.int64)
+    for b, items in enumerate(best_fit(lengths, capacity)):
+        bins[items] = b
+    return bins
+
+
+class _Search:
+    """Bins of one block, and the steps between them; bin_of and room are kept up to date."""
+
+    def __init__(self, lengths: list[int], capacity: int, bin_of: np.ndarray):
+        self.size, self.bin_of = np.asarray(lengths, dtype=np.int64), bin_of
+        fill = np.bincount(bin_of, weights=self.size).astype(np.int64)
+        self.room, self.capacity = capacity - fill, capacity
+        self.members = [[] for _ in fill]
+        for i, b in enumerate(bin_of.tolist()):
+            self.members[b].append(i)
+        #: A bin is tried again only if a bin with room has changed since.
+        self.now, self.tried = 1, np.zeros(len(fill), dtype=np.int64)
+
+    def shift(self, item: int, to: int) -> None:
+        old, n = int(self.bin_of[item]), int(self.size[item])
+        self.members[old].remove(item)
+        self.members[to].append(item)
+        self.bin_of[item] = to
+        self.room[old] += n
+        self.room[to] -= n
+        self.now += 1
+
+    def move(self, low: int) -> bool:
+        """Give items of ``low`` to the fullest bins that take them; whether any went."""
+        went = False
+        for x in sorted(self.members[low], key=lambda i: -self.size[i]):
+            n = self.size[x]
+            takes = (self.room >= n) & (self.room < self.room[low] + n) & (self.room < self.capacity)
+            takes[low] = False
+            if takes.any():
+                self.shift(x, int(np.where(takes, self.room, self.capacity + 1).argmin()))
+                went = True
+        return went
+
+    def exchange(self, low: int) -> bool:
+        """The exchange of one or two items of ``low`` for one of another underfull bin that moves the most tokens out of ``low``."""
+        free = self.room[self.bin_of]
+        items = np.flatnonzero((free > 0) & (free < self.capacity) & (self.bin_of != low))
+        if not len(items):
+            return False
+        size, free = self.size[items], free[items]
+        least = np.maximum(0, free - self.room[low])  # an emptier bin must come out fuller than ``low`` was
+        mine = self.members[low]
+        best, found = 0, None
+        pairs = [(x,) for x in mine] + [(x, y) for k, x in enumerate(mine) for y in mine[k + 1 :]]
+        seen = set()
+        for out in pairs:
+            total = int(self.size[list(out)].sum())
+            if (total, len(out)) in seen:
+                continue
+            seen.add((total, len(out)))
+            gain = total - size
+            gain = np.where((gain > least) & (gain <= free), gain, 0)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, found = int(gain[k]), (out, int(items[k]))
+        if found is None:
+            return False
+        out, back = found
+        other = int(self.bin_of[back])
+        self.shift(back, low)
+        for x in out:
+            self.shift(x, other)
+        return True
+
+    def step(self, least: int) -> bool:
+        """One round over the underfull bins, emptiest first; whether anything changed."""
+        changed = False
+        for low in np.argsort(-self.room, kind="stable").tolist():
+            if not 0 < self.room[low] < self.capacity or self.tried[low] == self.now:
+                continue
+            while self.members[low] and (self.move(low) or self.exchange(low)):
+                changed = True
+            self.tried[low] = self.now
+            if int((self.room < self.capacity).sum()) <= least:
+                return False
+        return changed
 
 
 def pack_block(lengths: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
-    """Bins of item numbers, as few as best fit and exchanges between underfull bins find.
+    """Bins of item numbers, as few as moves and exchanges between underfull bins find.
 
-    Ends at ceil(sum / capacity) bins, or where no exchange between any two
-    underfull bins raises the sum of squared fills.
+    Ends at ceil(sum / capacity) bins, or where no step between any two
+    underfull bins raises the sum of squared fills; then the search starts once
+    more, from best fit, and the better end counts. Ties go to the first item
+    and bin, so the same lengths always give the same bins.
     """
-    bins = best_fit(lengths, capacity)
-    least = -(-sum(lengths) // capacity)
-    room = [capacity - sum(lengths[i] for i in b) for b in bins]
-    count, now = len(bins), 1
-    changed, tried = [1] * count, [0] * count  # a bin without an exchange is tried again only with what changed since
-    while count > least:
-        underfull = sorted((b for b in range(len(bins)) if bins[b] and room[b]), key=lambda b: room[b])
-        # the emptiest bin that can give anything away; a bin once emptied takes nothing
-        for low in reversed(underfull):
-            since = tried[low] if changed[low] <= tried[low] else 0
-            others = [b for b in underfull if b != low and changed[b] > since]
-            b = _exchange(lengths, bins, room, low, others) if others else None
-            if b is not None:
-                now += 1
-                changed[low] = changed[b] = now
-                break
-            tried[low] = now
-        else:
+    if not lengths:
+        return []
+    least, ends = -(-sum(lengths) // capacity), []
+    for start in (arrival_order, fullest_first):
+        search = _Search(lengths, capacity, start(lengths, capacity))
+        while int((search.room < capacity).sum()) > least and search.step(least):
+            pass
+        ends.append([sorted(b) for b in search.members if b])
+        if len(ends[-1]) <= least:
             break
-        count -= not bins[low]
-    return [b for b in bins if b]
+    return min(ends, key=len)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
@@ -163,7 +204,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = BLOCK)
 
     Rows are dealt by number into ``ceil(rows / block)`` blocks, so repeated
     documents and ids spread evenly; every piece is packed once, offsets in a
-    sequence leave no gap. An empty table gives no rows.
+    sequence leave no gap. Null ids are packed like others, an empty table gives
+    no rows, and columns named ``__n`` or ``__block`` are the caller's to rename.
     """
     numbered = materialize(pieces.withColumn("__n", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, -(-numbered.count() // block))

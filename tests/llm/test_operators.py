@@ -198,31 +198,40 @@ def test_packing_is_whole_and_tight(documents):
     assert len(bins) <= -(-got["length"].sum() // 128) + 2 * (len(got) // 64 + 1)
 
 
-def test_exchanges_beat_best_fit():
+def test_pieces_equal_the_library(documents):
+    """Every piece's start, length and checksum against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(tokens.default_tokenizer()), []
+    for r in documents.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 128):
+            part = np.array(ids[k : k + 128], dtype="<u4")
+            want.append((r.doc_id, k // 128, k, len(part), zlib.crc32(part.tobytes())))
+    got = packing.pack_documents(documents, capacity=128).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert packing.pack_documents(documents.limit(0)).count() == 0
+
+
+def test_local_search_is_as_tight_as_best_fit():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        lengths = rng.integers(200, 700, 60).tolist()
-        bins = packing.pack_block(lengths, 1000)
-        assert sorted(i for b in bins for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= 1000 for b in bins)
-        assert len(bins) <= len(packing.best_fit(lengths, 1000))
+    for low, high, n, capacity in [(200, 700, 60, 1000)] * 20 + [(500, 3000, 400, 4096)] * 4 + [(1, 900, 500, 4096)] * 4:
+        lengths = rng.integers(low, high, n).tolist()
+        bins = packing.pack_block(lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= capacity for b in bins)
+        assert len(bins) <= len(packing.best_fit(lengths, capacity))
+        assert len(bins) < packing.arrival_order(lengths, capacity).max() + 1
+    assert packing.pack_block([5, 5, 5], 5) == [[0], [1], [2]] and packing.pack_block([]) == []
 
 
 def test_exchanges_pool_room_of_other_bins():
-    room = [300, 300, 3596]
+    """Two bins with room 300 each, and one with a single 500: an exchange between the two makes room for it."""
     lengths = [1000, 2796, 1200, 2596, 500]
-    bins = [[0, 1], [2, 3], [4]]
-    assert packing._exchange(lengths, bins, room, 2, [0, 1]) is None
-    assert any(packing._exchange(lengths, bins, room, low, [b for b in range(3) if b != low]) is not None for low in (1, 0))
-    assert sorted(room) == [100, 500, 3596] and packing._exchange(lengths, bins, room, 2, [0, 1]) in (0, 1) and not bins[2]
-    assert len(packing.pack_block(np.random.default_rng(500).integers(500, 3001, 500).tolist())) <= 219  # 220 from the emptiest bin alone
-    rng = np.random.default_rng(3)
-    for _ in range(5):
-        lengths = rng.integers(500, 3000, 120).tolist()
-        bins = packing.pack_block(lengths)
-        assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
-        room = [4096 - sum(lengths[i] for i in b) for b in bins]
-        stuck = not any(packing._exchange(lengths, bins, room, low, [b for b in range(len(bins)) if b != low and room[b]]) is not None for low in range(len(bins)) if room[low])
-        assert len(bins) == -(-sum(lengths) // 4096) or stuck
+    search = packing._Search(lengths, 4096, np.array([0, 0, 1, 1, 2]))
+    assert not search.move(2) and not search.exchange(2)
+    assert search.exchange(1) or search.exchange(0)
+    assert sorted(search.room) == [100, 500, 3596] and search.move(2) and sorted(search.room) == [0, 100, 4096]
+    assert len(packing.pack_block(lengths)) == 2
 
 
 def test_mix_meets_targets(documents):
