@@ -61,6 +61,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, limit: int):
+    """About ``limit`` rows (all, if there are no more) for the driver, in order of ``key``: those under a hash bound of it.
+
+    The bound comes from the count, so tasks send nothing but the sample. Rows
+    that share a key stay or go together; twice the limit is the most.
+    """
+    n, span = df.count(), 1 << 40
+    if n > limit:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(span)) < int(span * limit / n))
+    return df.limit(2 * limit).toPandas().sort_values(key, kind="stable", ignore_index=True)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

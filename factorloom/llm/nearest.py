@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, table
+from factorloom.llm.common import bounded_sample, materialize, table
 
 SAMPLE, BOOK_SAMPLE = 20_000, 8_192
 CENTRES = 16
@@ -166,8 +166,14 @@ def _in_order(products: np.ndarray) -> np.ndarray:
     return np.cumsum(products, axis=1)[:, -1]
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which changes no digit of a cosine but keeps squares within the range of doubles."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def exact_cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    q = query[None, :]
+    q, rows = _in_range(query[None, :]), _in_range(rows)
     return _in_order(rows * q) / (np.sqrt(_in_order(q * q)) * np.sqrt(_in_order(rows * rows)))
 
 
@@ -273,15 +279,17 @@ def nearest(
     Order: score, then the smaller vec_id. Rows that repeat an id are candidates
     each; a repeated query id counts once, with its least vector. A list with
     more than ``CHUNK`` rows is cut by id hash, so a vector with many copies
-    spreads; queries are cut into blocks of ``QUERY_BLOCK``. The lists that a
-    query visits are searched exactly; only those it does not visit are missed.
+    spreads; a list's queries are cut into blocks of ``QUERY_BLOCK``. The lists
+    that a query visits are searched exactly; only those it does not visit are
+    missed, and it visits more than usual where they hold too few candidates.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable_vectors(vectors, id_col, vector)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    picked = bounded_sample(rows, "vec_id", sample)
     if picked.empty:
         return empty
+    picked = picked.sample(frac=1.0, random_state=3)
     fit_on = _unit(np.stack(picked["embedding"].to_numpy()).astype(np.float64))
     dim, total = fit_on.shape[1], rows.count()
     lists = max(1, min(MAX_LISTS, total // LIST_ROWS, len(fit_on)))
@@ -309,15 +317,18 @@ def nearest(
     chunks = [max(1, -(-sizes.get(i, 0) // CHUNK)) for i in range(lists)]
     queries = indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
     queries = materialize(queries, "ann-queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    most = indexed.groupBy("vec_id").count().agg(F.max("count")).head()[0]
+    held = np.array([sizes.get(i, 0) for i in range(lists)])
 
     def route(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = _unit(_matrix(batch.column(1), dim))
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = [(i, lst, c) for i, ls in enumerate(near.tolist()) for lst in ls for c in range(chunks[lst])]
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")
+            # its own rows are no candidates: lists are visited until they hold k others in any case
+            visits = np.maximum(probes, (np.cumsum(held[near], axis=1) < k + most).sum(axis=1) + 1)
+            at = [(i, lst, c) for i, ls in enumerate(near.tolist()) for lst in ls[: visits[i]] for c in range(chunks[lst])]
             i, lst, c = (np.array(z, dtype=np.int64) for z in zip(*at, strict=True))
             yield pa.record_batch(
                 [pa.array(lst, pa.int32()), pa.array(c, pa.int32()), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))],
@@ -339,10 +350,14 @@ def nearest(
                     out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    asked = queries.mapInArrow(route, "list int, chunk int, query_id long, query array<double>").withColumn("block", block("query_id"))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(c) for c in chunks]), F.col("list") + 1)).cast("int")
-    data = indexed.withColumns({"chunk": chunk, "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    asked = materialize(queries.mapInArrow(route, "list int, chunk int, query_id long, query array<double>"), "ann-routes")
+    asks = {r.list: r["count"] for r in asked.where("chunk = 0").groupBy("list").count().collect()}  # a row per list at most
+    of_list = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("list") + 1)
+    blocks = of_list([-(-asks.get(i, 0) // QUERY_BLOCK) for i in range(lists)])
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
+    chunk = F.pmod(F.xxhash64("vec_id"), of_list(chunks)).cast("int")
+    # a list that no query visits is not read again, one that many visit as often as it has blocks of queries
+    data = indexed.where(blocks > 0).withColumns({"chunk": chunk, "block": F.explode(F.sequence(F.lit(0), blocks - 1))})
     keys = ["list", "chunk", "block"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

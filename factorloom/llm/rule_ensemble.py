@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, table
+from factorloom.llm.common import bounded_sample, materialize, table
 from factorloom.llm.quality_rules import dup_lines, repeat_words
 from factorloom.llm.words import hash_words, words_of
 
@@ -172,10 +172,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_quality(stats: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> RuleModel:
-    """Fit on the labelled rows that are not held out, at most ``limit`` of them, by order of id hash."""
+    """Fit on the labelled rows that are not held out, about ``limit`` of them under a bound of the id's hash.
+
+    A document with several labels counts by its best; rows that repeat a doc_id
+    are examples each. Without labels the score is 0.5.
+    """
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("l")).agg(F.max("quality").alias("quality"))
     rows = stats.join(known, F.col("doc_id") == F.col("l")).where(~held_out(F.col("doc_id")))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(limit).select("quality", *STATISTICS).toPandas()
+    rows = bounded_sample(rows.select("doc_id", "quality", *STATISTICS), "doc_id", limit).sort_values(["doc_id", *STATISTICS])
     return fit_rules(rows[list(STATISTICS)].to_numpy(dtype=np.float64), rows["quality"].to_numpy(dtype=np.float64))
 
 
@@ -183,7 +187,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
     Scores come from the statistics of the whole text alone; null and empty
-    texts have those of no text at all.
+    texts have those of no text at all. Repeated rows are scored each, an empty
+    table gives no rows, and other columns of ``docs`` are not read.
     """
     stats = materialize(with_statistics(docs), "statistics")
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), train_quality(stats, labels).column().alias("score"))

@@ -3,14 +3,22 @@
 Two character-bigram models are trained from labelled samples, one of random
 strings (keys, tokens), one of ordinary identifiers. A run of key-like
 characters, without what a fixed pattern has taken, is reported when the
-log-likelihood ratio of the two, per transition and in all, passes both
-thresholds; otherwise each stretch of it that passes them is.
+log-likelihood ratio of the two, per transition and in all, passes its
+thresholds; otherwise each stretch of it that passes the stricter ones is. Runs
+of one class of characters (lower case, upper case, digits) are words or numbers
+and never reported.
+
+A fifth of the samples is held out from training. It sets the thresholds: a run
+must reach what 99 % of the held-out random strings reach, a stretch also more
+than any stretch of a held-out identifier.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,7 +42,12 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 #: Shorter runs give too little evidence either way.
 MIN_RUN = 16
 _RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9+/_=-]{%d,}" % (MIN_RUN - 1))
-MIN_RATIO, MIN_TOTAL = 1.15, 18.0
+#: Log-likelihood ratio of a whole run: the evidence that one secret in about 10 million runs would need.
+MIN_TOTAL = 16.0
+#: Share of the held-out random strings that must be found.
+RECALL = 0.99
+#: Rows that samples from a table may have at most.
+MAX_SAMPLES = 50_000
 #: Characters that join the words of a run.
 _JOINTS = "=-_/+"
 
@@ -123,37 +136,87 @@ def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterat
         yield start, end
 
 
-def _best_stretch(steps: np.ndarray) -> tuple[int, int] | None:
-    """The stretch of transitions furthest above ``MIN_RATIO`` that passes both thresholds, if any does."""
-    sums = np.concatenate([[0.0], np.cumsum(steps - MIN_RATIO)])
-    for least in (MIN_RUN - 1, MIN_RUN):  # from MIN_RUN transitions on, MIN_RATIO implies MIN_TOTAL
-        if len(steps) < least:
-            return None
-        low = np.minimum.accumulate(sums[: len(sums) - least])
-        k = int(np.argmax(sums[least:] - low))
-        a, b = int(np.argmin(sums[: k + 1])), k + least
-        total = steps[a:b].sum()
-        if total >= MIN_TOTAL and total >= MIN_RATIO * (b - a):
-            return a, b
-    return None
+@dataclass(frozen=True)
+class Model:
+    """Log-ratios of transitions, the thresholds, and the shares found of held-out random strings and identifiers."""
 
+    ratios: np.ndarray
+    run_ratio: float
+    stretch_ratio: float
+    recall: float
+    false_alarms: float
 
-def random_stretches(run: str, ratios: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of a run that pass both thresholds: the run itself if it does.
+
+def fit_model(samples: tuple[list[str], list[str]] | None = None) -> Model:
+    """Train on four fifths of (random strings, identifiers), set the thresholds on the others."""
+    random, plain = samples or labelled_samples()
+    cut = lambda xs, held: [x for x in xs if (zlib.crc32(x.encode()) % 5 == 0) == held]
+    ratios = train_markov(cut(random, False)) - train_markov(cut(plain, False))
+    mean = lambda xs: [log_ratio(ratios, x) / (len(x) - 1) for x in map(_clean, xs) if len(x) >= MIN_RUN]
+    good, bad = mean(cut(random, True)), mean(cut(plain, True))
+    run_ratio = max(float(np.quantile(good, 1 - RECALL)) if good else 1.0, max(bad, default=0.0) + 0.1)
+    worst = max((_highest(ratios, _clean(x)) for x in cut(plain, True)), default=0.0)
+    model = Model(ratios, run_ratio, max(run_ratio, worst + 0.1), 0.0, 0.0)
+    share = lambda xs: float(np.mean([bool(random_stretches(x, model)) for x in map(_clean, xs) if len(x) >= MIN_RUN] or [0.0]))
+    return Model(ratios, run_ratio, model.stretch_ratio, share(cut(random, True)), share(cut(plain, True)))
+
+
+def samples_from(table_: DataFrame, text: str = "text", label: str = "is_random", limit: int = MAX_SAMPLES) -> tuple[list[str], list[str]]:
+    """Labelled samples of a table, for ``fit_model``: those of least hash where there are more than ``limit`` of them."""
+    rows = table_.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("boolean").alias("r"))
+    n = rows.count()
+    if n > limit:  # a hash bound keeps about ``limit`` rows before anything goes to the driver
+        rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * limit / n))
+    found = sorted({(r.t, r.r) for r in rows.limit(2 * limit).collect()})
+    return [t for t, r in found if r], [t for t, r in found if not r]
+
+
+def _clean(sample: str) -> str:
+    return "".join(c for c in sample if c in ALPHABET)
+
+
+def _mixed(piece: str) -> bool:
+    """Whether a piece holds two classes of characters or more."""
+    return any(c.islower() for c in piece) + any(c.isupper() for c in piece) + any(c.isdigit() for c in piece) > 1
+
+
+def _highest(ratios: np.ndarray, run: str) -> float:
+    """The highest mean ratio of a stretch of ``MIN_RUN`` characters."""
+    if len(run) < MIN_RUN:
+        return -np.inf
+    codes = _CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)]
+    sums = np.concatenate([[0.0], np.cumsum(ratios[codes[:-1], codes[1:]])])
+    return float((sums[MIN_RUN - 1 :] - sums[: len(sums) - MIN_RUN + 1]).max()) / (MIN_RUN - 1)
+
+
+def _best_stretch(steps: np.ndarray, ratio: float) -> tuple[int, int] | None:
+    """The stretch of transitions furthest above ``ratio`` that passes both thresholds, if any does."""
+    sums = np.concatenate([[0.0], np.cumsum(steps - ratio)])
+    low, ends = np.inf, None
+    for b in range(MIN_RUN - 1, len(sums)):
+        if sums[b - MIN_RUN + 1] < low:
+            low, a = sums[b - MIN_RUN + 1], b - MIN_RUN + 1
+        if sums[b] >= low and steps[a:b].sum() >= MIN_TOTAL and (ends is None or sums[b] - low > ends[0]):
+            ends = (sums[b] - low, a, b)
+    return ends and ends[1:]
+
+
+def random_stretches(run: str, model: Model) -> list[tuple[int, int]]:
+    """Stretches of a run that pass the thresholds: the run itself if it does.
 
     A stretch is extended as far as that raises its total, then to whole
     letter-and-digit words, so that no end of a value is left over.
     """
     found, todo = [], [(0, len(run))]
-    if len(run) < MIN_RUN:
+    if len(run) < MIN_RUN or not _mixed(run):
         return found
     codes = _CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)]
-    steps = ratios[codes[:-1], codes[1:]]
-    if steps.sum() >= MIN_TOTAL and steps.sum() >= MIN_RATIO * len(steps):
+    steps = model.ratios[codes[:-1], codes[1:]]
+    if steps.sum() >= MIN_TOTAL and steps.sum() >= model.run_ratio * len(steps):
         return [(0, len(run))]
     while todo:
         start, end = todo.pop()
-        best = _best_stretch(steps[start : end - 1]) if end - start >= MIN_RUN else None
+        best = _best_stretch(steps[start : end - 1], model.stretch_ratio) if end - start >= MIN_RUN else None
         if best is None:
             continue
         a, b = start + best[0], start + best[1] + 1
@@ -163,12 +226,13 @@ def random_stretches(run: str, ratios: np.ndarray) -> list[tuple[int, int]]:
             a -= 1
         while b < end and run[b] not in _JOINTS and run[b - 1] not in _JOINTS:
             b += 1
-        found.append((a, b))
+        if _mixed(run[a:b]):
+            found.append((a, b))
         todo += [(start, a), (b, end)]
     return sorted(found)
 
 
-def find_spans(text: str | None, ratios: np.ndarray) -> tuple[list, list]:
+def find_spans(text: str | None, model: Model) -> tuple[list, list]:
     """The base spans, and those with what the models add beside them."""
     if not text:
         return [], []
@@ -177,7 +241,7 @@ def find_spans(text: str | None, ratios: np.ndarray) -> tuple[list, list]:
         for start, end in _uncovered(m.start(), m.end(), base):
             piece = text[start:end].rstrip(_JOINTS)
             start += len(piece) - len(piece.lstrip(_JOINTS))
-            more += [(start + a, 3, start + b) for a, b in random_stretches(piece.lstrip(_JOINTS), ratios)]
+            more += [(start + a, 3, start + b) for a, b in random_stretches(piece.lstrip(_JOINTS), model)]
     return base, sorted(base + more)
 
 
@@ -191,24 +255,22 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _ratios(samples: tuple[list[str], list[str]] | None) -> np.ndarray:
-    random, plain = samples or labelled_samples()
-    return train_markov(random) - train_markov(plain)
-
-
 def scan_secrets(docs: DataFrame, text: str = "text", samples: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Add ``secrets``: spans (array of kind, start, end) and base (those of the fixed patterns).
 
     Positions are code points, ends exclusive; spans lie in order of start,
-    then kind. Null and empty texts have none. One map-side pass.
+    then kind. Null and empty texts have none; rows that repeat are scanned each;
+    a column named ``secrets`` is replaced. One map-side pass. ``samples`` are
+    labelled (random strings, identifiers), of a caller's own (``samples_from``)
+    or those of ``labelled_samples``.
     """
-    ratios = _ratios(samples)
+    model = fit_model(samples)
     named = lambda found: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
 
     @F.pandas_udf("base array<struct<kind string, start long, end long>>, spans array<struct<kind string, start long, end long>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [find_spans(t, ratios) for t in texts]
+            found = [find_spans(t, model) for t in texts]
             yield pd.DataFrame({"base": [named(b) for b, _ in found], "spans": [named(a) for _, a in found]})
 
     return docs.withColumn("secrets", scan(F.col(f"`{text}`").cast("string")))
@@ -217,12 +279,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", samples: tuple[list[str],
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", samples=None) -> DataFrame:
     """Replace every secret in ``text`` by ``mark``; documents stay, null texts too."""
     bound_batches(docs.sparkSession)
-    ratios = _ratios(samples)
+    model = fit_model(samples)
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([redact_text(t, find_spans(t, ratios)[1], mark) if t else t for t in texts], dtype=object)
+            yield pd.Series([redact_text(t, find_spans(t, model)[1], mark) if t else t for t in texts], dtype=object)
 
     return docs.withColumn(text, clean(F.col(f"`{text}`").cast("string")))
 

@@ -29,10 +29,10 @@ def test_quality_stage_keeps_rows_whole(spark, docs, tmp_path):
 
 
 def test_secret_stage(spark, docs):
-    plain, ratios = docs.drop("secrets"), secrets._ratios(None)
+    plain, model = docs.drop("secrets"), secrets.fit_model()
     want = []
     for i, t, lang, source, n, q in (tuple(r) for r in plain.collect()):
-        c = secrets.redact_text(t, secrets.find_spans(t, ratios)[1], "[SECRET]") if t else t
+        c = secrets.redact_text(t, secrets.find_spans(t, model)[1], "[SECRET]") if t else t
         want.append((i, c, lang, source, None if c is None else len(c), q))
     got = corpus_pipeline.secret_stage(spark, plain, "")
     assert _rows(got, *plain.columns) == sorted(want, key=repr) and not got.where(F.col("text").contains("hunter2x")).count()
