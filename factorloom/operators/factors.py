@@ -256,3 +256,23 @@ def registry(spark: SparkSession, names=STANDARD_FACTORS) -> DataFrame:
         "calc_source string, production_ready boolean, direction_hint string, status string, notes string"
     )
     return spark.createDataFrame(rows, schema)
+
+
+def registry_report(rows: DataFrame) -> DataFrame:
+    """One row on a registry: its size, the features it holds twice, those not computed here or not ready, and ``ok`` or ``error``."""
+    needed = ["feature", "family", "subfamily", "template", "expression", "params", "data_dependencies", "calc_source", "production_ready", "direction_hint", "status"]
+    missing = [c for c in needed if c not in rows.columns]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in missing})
+    per = rows.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(~F.col("calc_source").eqNullSafe("internal")).alias("foreign"),
+        F.max(~F.coalesce(F.col("production_ready").cast("boolean"), F.lit(False))).alias("unready"),
+    )
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("feature"))))
+    out = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("feature_count"), names(F.col("n") > 1).alias("duplicated_features"),
+        names(F.col("foreign")).alias("invalid_calc_source"), names(F.col("unready")).alias("not_production_ready"),
+    )
+    out = out.withColumn("missing_columns", F.array(*map(F.lit, missing)).cast("array<string>"))
+    wrong = F.size("missing_columns") + F.size("duplicated_features") + F.size("invalid_calc_source") + F.size("not_production_ready")
+    return out.withColumn("status", F.when(wrong == 0, "ok").otherwise("error"))

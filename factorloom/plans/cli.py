@@ -13,8 +13,8 @@ from factorloom.sources import panel as panels
 from factorloom.sources import store
 
 COMMANDS = (
-    "single-factor-run", "factor-chain-run", "family-lab", "export-panel", "export-index-benchmark", "update-raw", "rebuild-fina-indicator", "prune-db",
-    "factor-registry",
+    "single-factor-run", "factor-chain-run", "family-lab", "export-panel", "export-index-benchmark", "update-raw", "update-index-weight",
+    "update-index-daily", "rebuild-fina-indicator", "prune-db", "tune-lgbm", "factor-registry", "check-registry",
 )
 
 
@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--factor-min-rank-ic", type=float, default=0.0)
     p.add_argument("--factor-max-corr", type=float, default=0.9)
     p.add_argument("--neutralize", action="store_true")
+    p.add_argument("--train-end")
+    p.add_argument("--tune-trials", type=int, default=20)
     p.add_argument("--execute", action="store_true")
     return p
 
@@ -50,6 +52,11 @@ def main(argv: list[str] | None = None) -> None:
     code = args.index_code or panels.DEFAULT_INDEX
     if args.command == "factor-registry":
         panels.write_results({"factor_registry": factors.registry(spark, args.features)}, args.output)
+    elif args.command == "check-registry":
+        panels.write_results({"factor_registry_check": factors.registry_report(factors.registry(spark, args.features))}, args.output, "json")
+    elif args.command in ("update-index-weight", "update-index-daily"):
+        name = args.command.removeprefix("update-").replace("-", "_")
+        print(store.format_status(store.update_raw(spark, {name: spark.read.parquet(args.incoming)})))
     elif args.command == "export-panel":
         raw = {n: spark.table(n) for n in ("daily_kline", "daily_basic", "stock_basic")}
         more = {n: spark.table(n) if spark.catalog.tableExists(n) else None for n in ("index_weight", "fina_indicator_clean")}
@@ -72,6 +79,11 @@ def main(argv: list[str] | None = None) -> None:
         panel = panels.load_panel(spark, panels.resolve_input(args.input))
         if args.command == "single-factor-run":
             panels.write_results(research.single_factor_run(spark, panel, args.features, cfg, args.start, args.end, index), args.output)
+        elif args.command == "tune-lgbm":
+            if not (args.start and args.train_end and args.end):
+                raise ValueError("tune-lgbm requires --start, --train-end and --end")
+            trials = research.tune_run(spark, panel, args.features, cfg, args.start, args.train_end, args.end, args.tune_trials)
+            panels.write_results({"tuning": trials}, args.output)
         elif args.command == "family-lab":
             panels.write_results({"family_registry": research.family_lab(spark, panel, args.family, cfg, args.start, args.end, index)}, args.output)
         else:

@@ -31,6 +31,8 @@ class ResearchConfig:
     max_corr: float = 0.9
     alpha: float = 1.0
     neutralize: bool = False
+    data_start: str | None = None
+    data_end: str | None = None
     portfolio: portfolio.PortfolioConfig = portfolio.PortfolioConfig()
     gate: scorecard.GateConfig = field(default_factory=scorecard.GateConfig)
     boost: models.BoostConfig = models.BoostConfig()
@@ -48,6 +50,15 @@ def add_months(day: date, months: int) -> date:
     return date(y, m + 1, min(day.day, calendar.monthrange(y, m + 1)[1]))
 
 
+def clamp(split: dict[str, str], first: str | None = None, last: str | None = None) -> dict[str, str]:
+    """A split's bounds within the data: none before ``first``, none after the day that follows ``last``."""
+    from datetime import timedelta
+
+    out = {k: max(v, first[:10]) if first and k != "split_id" else v for k, v in split.items()}
+    stop = (date.fromisoformat(last[:10]) + timedelta(days=1)).isoformat() if last else None
+    return {k: min(v, stop) if stop and k != "split_id" else v for k, v in out.items()}
+
+
 def prepare(panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str | None = None, end: str | None = None) -> DataFrame:
     """Factors, label and universe of a window, computed with its warm-up and cut afterwards."""
     if start:
@@ -191,12 +202,26 @@ def run_split(spark: SparkSession, panel: DataFrame, features: list[str], split:
     return out
 
 
+def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, middle: str, end: str, trials: int = 20, seed: int = 42) -> DataFrame:
+    """Random search of the boosted trees: fitted on [start, middle), judged on [middle, end); a row per trial, the best first."""
+    from dataclasses import asdict
+    from json import dumps
+
+    rows = prepare(panel, features, cfg, start, end).where("tradable_universe").cache()
+    try:
+        found = models.tune_boosted(window_dates(rows, start, middle), window_dates(rows, middle, end), features, cfg.target, trials, seed)
+    finally:
+        rows.unpersist()
+    table = [(k + 1, dumps(asdict(t["config"]), sort_keys=True), int(t["trees"]), t["ndcg_20"], t["ndcg_50"]) for k, t in enumerate(found)]
+    return spark.createDataFrame(table, "place int, config string, trees int, ndcg_20 double, ndcg_50 double")
+
+
 def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
     """All splits: results by split; over them coefficients and their stability, selection frequencies, the final pool and the windows.
 
     A split without rows to mine, train or test on is skipped, and ``windows`` says so.
     """
-    windows = splits(start, end, cfg)
+    windows = [clamp(s, cfg.data_start, cfg.data_end) for s in splits(start, end, cfg)]
     results = {s["split_id"]: run_split(spark, panel, features, s, cfg, index) for s in windows}
     status = [(int(s["split_id"]), *(s[c] for c in ("mining_start", "train_start", "train_end", "test_end")), results[s["split_id"]] is None) for s in windows]
     done = {k: v for k, v in results.items() if v is not None}

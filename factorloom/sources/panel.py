@@ -165,12 +165,28 @@ def benchmark_on(benchmark: DataFrame, dates: DataFrame) -> DataFrame:
     return rows.withColumn("benchmark_equity", cumulative_product(1 + F.coalesce("benchmark_ret", F.lit(0.0)), Window.orderBy("date")))
 
 
-def write_results(frames: dict[str, DataFrame], folder: str, fmt: str = "csv") -> None:
-    """Each result under its name: CSV with a header, JSON lines or Parquet."""
+def official_benchmark(spark: SparkSession, dates: DataFrame, index_code: str = DEFAULT_INDEX, path: str | None = None, table: str = "index_daily") -> DataFrame:
+    """The index on the given dates: from its exported file, else from the raw table, else an empty table of that shape."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.parquet(path or benchmark_path(index_code)).select(F.col("date").cast("timestamp").alias("date"), "benchmark_ret")
+    except AnalysisException:
+        if not spark.catalog.tableExists(table):
+            return spark.createDataFrame([], "date timestamp, benchmark_ret double, benchmark_equity double")
+        found = index_benchmark(spark.table(table), index_code)
+    return benchmark_on(found, dates)
+
+
+def write_results(frames: dict[str, DataFrame], folder: str, fmt: str = "csv", one_file: bool = True) -> None:
+    """Each result under its name: CSV with a header, JSON lines or Parquet.
+
+    ``one_file`` is for reports of bounded size; without it large results are written by all tasks.
+    """
     for name, frame in frames.items():
         nested = [f.name for f in frame.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
         flat = frame.withColumns({c: F.to_json(c) for c in nested}) if fmt == "csv" else frame
-        getattr(flat.coalesce(1).write.mode("overwrite"), fmt)(f"{folder}/{name}", **({"header": True} if fmt == "csv" else {}))
+        getattr((flat.coalesce(1) if one_file else flat).write.mode("overwrite"), fmt)(f"{folder}/{name}", **({"header": True} if fmt == "csv" else {}))
 
 
 def write_run_config(cfg, path: str) -> None:

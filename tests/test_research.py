@@ -2,8 +2,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import models
+from factorloom.operators import factors, models
 from factorloom.plans import cli, research
+from factorloom.sources import panel as panels
 from factorloom.plans.queries import MIN_AMOUNT, ORACLE, QUERIES
 from factorloom.sources.tables import derived_panel
 
@@ -17,7 +18,7 @@ def test_every_query_but_the_trees_has_sql():
 def test_splits_step_and_stop():
     cfg = replace(research.ResearchConfig(), train_months=12, test_months=6, step_months=6)
     got = research.splits("2020-01-31", "2021-12-31", cfg)
-    assert [s["test_end"] for s in got] == ["2021-07-31", "2022-01-31"][: len(got)] and got[0]["mining_start"] == "2015-01-31"
+    assert [s["test_end"] for s in got] == ["2021-07-31"] and got[0]["mining_start"] == "2015-01-31"
     assert str(research.add_months(research.date(2024, 5, 31), -3)) == "2024-02-29"
 
 
@@ -56,3 +57,40 @@ def test_chain_mines_gates_and_scores_both_sides(spark):
 def test_command_line_options():
     cfg = cli.config(cli.parser().parse_args(["factor-chain-run", "--top-n", "5", "--bucket-count", "10", "--neutralize"]))
     assert cfg.portfolio.top_n == 5 and cfg.buckets == 10 and cfg.neutralize
+
+
+def test_bounds_stay_within_the_data():
+    split = {"split_id": "1", "mining_start": "2015-01-31", "train_start": "2020-01-31", "train_end": "2021-01-31", "test_end": "2021-07-31"}
+    assert research.clamp(split) == split
+    got = research.clamp(split, "2016-01-01", "2021-06-30")
+    assert (got["split_id"], got["mining_start"], got["train_start"], got["test_end"]) == ("1", "2016-01-01", "2020-01-31", "2021-07-01")
+
+
+def test_registry_report(spark):
+    good = factors.registry_report(factors.registry(spark)).head()
+    assert good.status == "ok" and good.feature_count == len(factors.STANDARD_FACTORS) and good.missing_columns == []
+    rows = factors.registry(spark, ["ret_5", "trend_5_20"])
+    bad = rows.unionByName(rows.where("feature = 'ret_5'")).withColumn("calc_source", F.when(F.col("feature") == "ret_5", "vendor").otherwise(F.col("calc_source")))
+    got = factors.registry_report(bad.drop("status").withColumn("production_ready", F.lit(None).cast("boolean"))).head()
+    assert got.status == "error" and got.duplicated_features == ["ret_5"] and got.invalid_calc_source == ["ret_5"]
+    assert got.not_production_ready == ["ret_5", "trend_5_20"] and got.missing_columns == ["status"] and got.feature_count == 3
+    assert factors.registry_report(rows.limit(0)).head().feature_count == 0
+
+
+def test_benchmark_from_file_then_table_then_nothing(spark, tmp_path):
+    dates = spark.sql("select explode(array(timestamp'2024-01-02', timestamp'2024-01-04')) as date")
+    path = str(tmp_path / "none.parquet")
+    assert panels.official_benchmark(spark, dates, path=path, table="no_such_table").count() == 0
+    spark.createDataFrame([(panels.DEFAULT_INDEX, "20240102", 11.0, 10.0), (panels.DEFAULT_INDEX, "20240103", 12.0, 11.0), ("x", "20240104", 5.0, 1.0)],
+                          "ts_code string, trade_date string, close double, pre_close double").createOrReplaceTempView("index_for_test")
+    got = panels.official_benchmark(spark, dates, path=path, table="index_for_test").collect()
+    assert [(round(r.benchmark_ret, 9), round(r.benchmark_equity, 9)) for r in got] == [(0.1, 1.1)]
+    spark.sql("select date, 0.5D as benchmark_ret from (select explode(array(timestamp'2024-01-04', timestamp'2024-01-05')) as date)").write.parquet(path)
+    assert [r.benchmark_equity for r in panels.official_benchmark(spark, dates, path=path, table="index_for_test").collect()] == [1.5]
+
+
+def test_tuning_orders_its_trials(spark):
+    cfg = replace(research.ResearchConfig(), min_listed_days=60, min_amount=MIN_AMOUNT / 100)
+    got = research.tune_run(spark, derived_panel(spark, SF), ["ret_5", "trend_5_20"], cfg, "1998-01-01", "1999-01-01", "1999-07-01", trials=1).collect()
+    assert [r.place for r in got] == [1] and 0 <= got[0].ndcg_20 <= 1 and "max_depth" in got[0].config
+    assert {"update-index-weight", "update-index-daily", "tune-lgbm", "check-registry"} <= set(cli.COMMANDS)
