@@ -138,7 +138,13 @@ def judge_column(text: Column, ratios: np.ndarray, min_score: float = MIN_SCORE)
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH, min_score: float = MIN_SCORE
 ) -> DataFrame:
-    """Add ``quality``, the struct of ``judge_column``, to every row of ``docs`` (doc_id, text)."""
+    """Add ``quality``, the struct of ``judge_column``, to every row of ``docs`` (doc_id, text).
+
+    A column of that name is replaced. Repeated rows count and are judged each;
+    trusted ids count once, null ones and those of no document not at all.
+    Without trusted text all scores are 0; an empty table gives no rows. A score
+    that equals ``min_score`` is kept.
+    """
     ratios = log_ratios(ngram_counts(docs, trusted, buckets), smooth)
     return docs.withColumn("quality", judge_column(F.col("text"), ratios, min_score))
 
