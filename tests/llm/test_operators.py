@@ -407,3 +407,7 @@ def test_rules_compile_to_what_they_say(spark):
     assert np.mean([got[i].predicted == int(i < 120) for i in range(180) if got[i].held_out]) > 0.95
     assert got[900].score == got[901].score
     assert rule_ensemble.fit_rules(np.empty((0, len(rule_ensemble.STATISTICS))), np.empty(0)).intercept == 0.0
+
+
+def test_near_duplicates_of_nothing(spark, documents):
+    assert near_dedup.near_duplicates(documents.limit(0)).count() == 0
