@@ -411,3 +411,28 @@ def test_rules_compile_to_what_they_say(spark):
 
 def test_near_duplicates_of_nothing(spark, documents):
     assert near_dedup.near_duplicates(documents.limit(0)).count() == 0
+
+
+def test_components_again_with_more_edges(spark):
+    """A path, a hub, a cycle and loose ends against plain merging; results given again as edges, with and without new ones."""
+    from factorloom.llm.components import connected_components
+
+    def merged(edges):
+        part = {}
+        for a, b in edges:
+            x, y = part.setdefault(a, {a}), part.setdefault(b, {b})
+            for node in (both := x | y):
+                part[node] = both
+        return {(node, min(group)) for node, group in part.items()}
+
+    first = [(k, k + 1) for k in range(100, 130)] + [(7, 200 + k) for k in range(40)] + [(5, 6), (6, 4), (4, 5), (9, 9), (5, 6)]
+    more = [(115, 7), (6, 300), (300, 301)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    found = connected_components(frame(first))
+    want = merged([e for e in first if e[0] != e[1]])
+    assert rows(found) == want and found.count() == len(want)
+    again = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    assert rows(connected_components(again)) == want
+    assert rows(connected_components(again.unionByName(frame(more)))) == merged([*want, *more])
+    assert rows(connected_components(frame([]))) == set()
