@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorloom.llm import mixing, near_dedup, nearest, packing, quality_rules, rule_ensemble, secrets, token_files, url_filters, warc
+from factorloom.llm import alignment, mixing, near_dedup, nearest, packing, quality_rules, rule_ensemble, secrets, token_files, url_filters, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_files": token_files.op9_token_files,
         "op10_mix": mixing.op10_mix,
+        "op11_token_alignment": alignment.op11_token_alignment,
     }
 
 
