@@ -124,33 +124,35 @@ def index_metrics(index: DataFrame) -> DataFrame:
     return metrics(index.select("date", F.col("benchmark_ret").alias("portfolio_ret"), F.col("benchmark_equity").alias("equity")))
 
 
-def group_curves(returns: DataFrame, q: int) -> DataFrame:
-    """(bucket, date, portfolio_ret, equity) of every bucket and of long_short."""
+def group_curves(returns: DataFrame, q: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bucket, date, portfolio_ret, equity) of every bucket and of long_short."""
     names = [*(f"Q{b}" for b in range(1, q + 1)), "long_short"]
-    long = returns.select("date", *names).unpivot(["date"], names, "bucket", "portfolio_ret")
-    return with_equity(long.withColumn("portfolio_ret", F.coalesce("portfolio_ret", F.lit(0.0))), keys=("bucket",))
+    long = returns.select(*keys, "date", *names).unpivot([*keys, "date"], names, "bucket", "portfolio_ret")
+    return with_equity(long.withColumn("portfolio_ret", F.coalesce("portfolio_ret", F.lit(0.0))), keys=(*keys, "bucket"))
 
 
-def group_summary(returns: DataFrame, q: int) -> DataFrame:
-    """One row: coverage, estimates of the end buckets and long_short, order of the buckets' means.
+def group_summary(returns: DataFrame, q: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (per key): coverage, estimates of the end buckets and long_short, order of the buckets' means.
 
     Daily returns over several days overlap, so the estimates are scores and not
     returns to be had.
     """
     names = [f"Q{b}" for b in range(1, q + 1)]
-    m = metrics(group_curves(returns, q), ("bucket",))
+    m = metrics(group_curves(returns, q, keys), (*keys, "bucket"))
     pick = lambda b, c: F.max(F.when(F.col("bucket") == b, F.col(c)))
-    est = m.agg(
+    est = m.groupBy(*keys).agg(
         pick("long_short", "annual_return_est").alias("long_short_annual_return_est"), pick("long_short", "sharpe_est").alias("long_short_sharpe_est"),
         pick(names[-1], "annual_return_est").alias("top_bucket_annual_return_est"), pick(names[0], "annual_return_est").alias("bottom_bucket_annual_return_est"),
     )
-    means = returns.agg(F.count(F.lit(1)).alias("coverage_dates"), *[F.avg(n).alias(n) for n in names])
+    means = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("coverage_dates"), *[F.avg(n).alias(n) for n in names])
     steps = [F.col(b) - F.col(a) for a, b in zip(names, names[1:], strict=False)]
     every = lambda test: F.coalesce(F.forall(F.array(*steps), test), F.lit(False)) if steps else F.lit(False)
-    order = means.select(F.posexplode(F.array(*names)).alias("i", "v")).withColumn("r", average_rank("v", [F.lit(1)]))
-    spearman = order.where("v is not null").agg(correlation("i", "r").alias("bucket_return_spearman"))
-    flat = means.select("coverage_dates", every(lambda s: s >= 0).alias("bucket_return_monotonic_increasing"),
+    order = means.select(*keys, F.posexplode(F.array(*names)).alias("i", "v")).withColumn("r", average_rank("v", list(keys) or [F.lit(1)]))
+    spearman = order.where("v is not null").groupBy(*keys).agg(correlation("i", "r").alias("bucket_return_spearman"))
+    flat = means.select(*keys, "coverage_dates", every(lambda s: s >= 0).alias("bucket_return_monotonic_increasing"),
                         every(lambda s: s <= 0).alias("bucket_return_monotonic_decreasing"))
+    if keys:
+        return flat.join(est, list(keys), "left").join(spearman, list(keys), "left")
     return flat.crossJoin(est).crossJoin(spearman)  # one row each
 
 

@@ -138,12 +138,12 @@ def importance_summary(importance: DataFrame) -> DataFrame:
     return rows.withColumn("abs_mean_importance", F.abs("mean_importance"))
 
 
-def coefficient_table(coefficients: DataFrame, directions: DataFrame) -> DataFrame:
-    """Oriented coefficients (feature, coef) times the direction give those of the original factor; ranked by size."""
-    rows = coefficients.join(directions.select("feature", "direction"), "feature", "left")
+def coefficient_table(coefficients: DataFrame, directions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Oriented coefficients (keys, feature, coef) times the direction give those of the original factor; ranked by size within ``keys``."""
+    rows = coefficients.join(directions.select(*keys, "feature", "direction"), [*keys, "feature"], "left")
     rows = rows.withColumn("direction", F.coalesce("direction", F.lit(1)))
     rows = rows.withColumns({"original_coef": F.col("coef") * F.col("direction"), "abs_coef": F.abs("coef")})
-    return rows.withColumn("coef_rank", F.row_number().over(Window.orderBy(F.desc("abs_coef"), "feature")))
+    return rows.withColumn("coef_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("abs_coef"), "feature")))
 
 
 def selection_frequency(selected: DataFrame, splits: int) -> DataFrame:
@@ -161,25 +161,56 @@ def coefficient_stability(rows: DataFrame) -> DataFrame:
     return out.withColumn("coef_cv", ratio("std_coef", "mean_abs_coef"))
 
 
-def ranker_pool(coefficients: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Features of a split whose pool_score (.60 coefficient, .25 rank IC ratio, .15 positive share) is at or over the median."""
-    rows = coefficients.select("feature", F.abs("coef").alias("abs_coef")).join(diagnostics.drop("coef"), "feature", "left")
+def ranker_pool(coefficients: DataFrame, diagnostics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Features of a split whose pool_score (.60 coefficient, .25 rank IC ratio, .15 positive share) is at or over the median of ``keys``."""
+    rows = coefficients.select(*keys, "feature", F.abs("coef").alias("abs_coef")).join(diagnostics.drop("coef"), [*keys, "feature"], "left")
     rows = rows.withColumn("abs_ir", F.abs("rank_ic_ir"))
-    score = 0.60 * percent_rank_average("abs_coef") + 0.25 * percent_rank_average("abs_ir") + 0.15 * F.coalesce("positive_rank_ic_ratio", F.lit(0.0))
-    rows = rows.withColumn("pool_score", score)
-    cut = rows.agg(F.percentile("pool_score", 0.5).alias("__cut"))
-    return rows.crossJoin(F.broadcast(cut)).where("pool_score >= __cut").drop("__cut")  # one row
-
-
-def final_pool(whitelisted: DataFrame, frequency: DataFrame, coef: DataFrame, ranker: DataFrame, min_ratio=0.5, max_cv=1.5, min_positive=0.5) -> DataFrame:
-    """Whitelisted features with their evidence over splits and a pool_status."""
-    rows = whitelisted.join(frequency, "feature", "left").join(coef, "feature", "left")
-    rows = rows.join(ranker.select("feature", F.col("selection_ratio").alias("ranker_ratio")), "feature", "left")
-    chosen = F.coalesce("selection_ratio", F.lit(0.0)) >= min_ratio
-    steady = chosen & (F.coalesce("coef_cv", F.lit(float("inf"))) <= max_cv) & (F.coalesce("positive_coef_ratio", F.lit(0.0)) >= min_positive)
-    used = F.coalesce("ranker_ratio", F.lit(0.0)) >= min_ratio
-    status = F.when(steady & used, "core_pool").when(steady, "linear_pool").when(used, "ranker_pool").otherwise("research_pool")
-    return rows.withColumns({"pass_ridge_screen": steady, "pool_status": status})
+    part = [F.col(k) for k in keys] or None
+    score = 0.60 * percent_rank_average("abs_coef", part) + 0.25 * percent_rank_average("abs_ir", part) + 0.15 * F.coalesce("positive_rank_ic_ratio", F.lit(0.0))
+    cut = F.percentile("pool_score", 0.5).over(Window.partitionBy(*keys))  # one row per factor
+    return rows.withColumn("pool_score", score).withColumn("__cut", cut).where("pool_score >= __cut").drop("__cut")
+
+
+@dataclass(frozen=True)
+class RidgeGate:
+    min_selection_rate_multi: float = 0.5
+    min_selection_rate_single: float = 1.0
+    max_original_coef_cv: float = 1.5
+
+
+def whitelist_summary(whitelists: DataFrame, splits: int) -> DataFrame:
+    """Per feature of the splits' whitelists: in how many, their share, mean quality score and mean latest excess."""
+    rows = whitelists.groupBy("feature").agg(
+        F.count_distinct("split_id").alias("whitelist_count"), F.avg("quality_score").alias("whitelist_quality_score_mean"),
+        F.avg(f"latest_{_EXCESS}").alias("whitelist_latest_top_bucket_excess_mean"),
+    )
+    return rows.withColumn("whitelist_rate", ratio("whitelist_count", F.lit(max(1, splits))))
+
+
+def ridge_screen(summary: DataFrame, selected: DataFrame, stability: DataFrame, splits: int, gate: RidgeGate = RidgeGate()) -> DataFrame:
+    """Whitelisted features with how often they were selected, how steady their original coefficient is, and ``pass_ridge_gate``.
+
+    A coefficient without a variation (one split) counts as steady; a feature
+    that was never selected has a rate of 0.
+    """
+    least = gate.min_selection_rate_multi if splits > 1 else gate.min_selection_rate_single
+    rows = summary.join(selected.select("feature", F.col("selected_splits").alias("selection_count"), F.col("selection_ratio").alias("selection_rate")), "feature", "left")
+    steady = stability.select(
+        "feature", F.col("mean_coef").alias("ridge_original_coef_mean"), F.col("std_coef").alias("ridge_original_coef_std"),
+        F.col("mean_abs_coef").alias("ridge_original_abs_coef_mean"), F.col("coef_cv").alias("ridge_original_coef_cv"),
+    )
+    rows = rows.join(steady, "feature", "left").withColumn("selection_rate", F.coalesce("selection_rate", F.lit(0.0)))
+    passed = (F.col("selection_rate") >= least) & (F.coalesce("ridge_original_coef_cv", F.lit(0.0)) <= gate.max_original_coef_cv)
+    return rows.withColumns({"pass_ridge_gate": passed, "quality_score": F.col("whitelist_quality_score_mean")})
+
+
+def final_pool(screen: DataFrame, used: DataFrame) -> DataFrame:
+    """The screened features that the ranker used in some split, with in how many and their share.
+
+    Column names and the status are those of the survey's artefact, whatever ranker is behind them.
+    """
+    rows = used.select("feature", F.col("selected_splits").alias("lgbm_selection_count"), F.col("selection_ratio").alias("lgbm_selection_rate"))
+    return screen.join(rows, "feature").where("lgbm_selection_count > 0").withColumn("final_status", F.lit("used_by_lgbm"))
 
 
 def best_per_phase(summary: DataFrame, metric: str = "sharpe_est") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factorloom.operators.factors import STANDARD_WINDOWS
 from factorloom.plans.fixtures import duck_ctes
 from factorloom.sources.panel import DAILY_FUNDAMENTALS, FILED
 
@@ -82,6 +83,9 @@ SINGLE = {
     "amount_trend_5": rel(mean("amount", 5), mean("amount", 20)), "float_mv_log": "ln(greatest(float_mv, 1))",
 }
 
+#: Every factor that needs bars only: the registered names with windows, and the single ones.
+EVERY = {f"{t}_{w}": FACTOR[t](*w.split("_")) for t, ws in STANDARD_WINDOWS.items() for w in ws.split()} | SINGLE
+
 DAY = "strftime(date, '%Y-%m-%d') AS date"
 
 
@@ -149,17 +153,17 @@ pf AS (SELECT trade_date AS date, sum(wr) AS portfolio_ret FROM trd GROUP BY tra
 bt AS (SELECT *, product(1 + portfolio_ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM pf)"""
 
 
-def metrics(source: str, keys: str = "") -> str:
-    """Metrics over (date, portfolio_ret, equity)."""
+def metrics(source: str, keys: str = "", tag: str = "") -> str:
+    """Metrics over (date, portfolio_ret, equity); ``mx`` and the tag name the result."""
     part = f"PARTITION BY {keys} " if keys else ""
     k, lead_ = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
     return f"""
-mg AS (SELECT *, date_diff('day', lag(date) OVER ({part}ORDER BY date), date) AS gap, max(equity) OVER ({part}ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM {source}),
-ma AS (SELECT {k}count(*) AS periods, median(gap) AS g, arg_max(equity, date) AS e, avg(portfolio_ret) AS m, stddev_pop(portfolio_ret) AS s,
-         min(equity / nullif(peak, 0) - 1) AS max_drawdown FROM mg {lead_}),
-mt AS (SELECT {k}periods, CASE WHEN g > 0 THEN 365.25 / g ELSE 52.0 END AS ppy, e, m, s, max_drawdown FROM ma),
-mx AS (SELECT {k}'ok' AS status, periods, ppy AS periods_per_year_est, CASE WHEN e > 0 THEN pow(e, ppy / periods) - 1 ELSE -1.0 END AS annual_return_est,
-         s * sqrt(ppy) AS annual_vol_est, coalesce(m / nullif(s, 0), 0.0) * sqrt(ppy) AS sharpe_est, max_drawdown FROM mt)"""
+mg{tag} AS (SELECT *, date_diff('day', lag(date) OVER ({part}ORDER BY date), date) AS gap, max(equity) OVER ({part}ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM {source}),
+ma{tag} AS (SELECT {k}count(*) AS periods, median(gap) AS g, arg_max(equity, date) AS e, avg(portfolio_ret) AS m, stddev_pop(portfolio_ret) AS s,
+         min(equity / nullif(peak, 0) - 1) AS max_drawdown FROM mg{tag} {lead_}),
+mt{tag} AS (SELECT {k}periods, CASE WHEN g > 0 THEN 365.25 / g ELSE 52.0 END AS ppy, e, m, s, max_drawdown FROM ma{tag}),
+mx{tag} AS (SELECT {k}'ok' AS status, periods, ppy AS periods_per_year_est, CASE WHEN e > 0 THEN pow(e, ppy / periods) - 1 ELSE -1.0 END AS annual_return_est,
+         s * sqrt(ppy) AS annual_vol_est, coalesce(m / nullif(s, 0), 0.0) * sqrt(ppy) AS sharpe_est, max_drawdown FROM mt{tag})"""
 
 
 METRIC_COLUMNS = ("periods_per_year_est", "annual_return_est", "annual_vol_est", "sharpe_est", "max_drawdown")
@@ -183,3 +187,44 @@ fdate AS (SELECT k.ts_code, k.trade_date, max(f.ann_date) AS ann FROM daily_klin
 full_panel AS (SELECT base.*, w.weight AS index_weight, w.con_code, {", ".join("f." + f for f in FILED)} FROM base
          LEFT JOIN index_weight w ON w.con_code = base.ts_code AND w.trade_date = base.snap
          LEFT JOIN fdate ON fdate.ts_code = base.ts_code AND fdate.trade_date = base.trade_date LEFT JOIN filings f ON f.ts_code = base.ts_code AND f.ann_date = fdate.ann)"""
+
+
+_YEARLY_FACTORS = {
+    "ret_5": ret(5), "price_zscore_20": f"CASE WHEN symbol % 3 <> 0 THEN {zs('close', 20)} END", "gap_1": "gap_1", "vol_10": vol(10),
+}
+_MEANS = ", ".join(f"avg(target) FILTER (b = {k}) AS Q{k}" for k in range(1, 6))
+
+#: The yearly report of four factors: daily statistics, directions, curves of the buckets in that direction, excess over the index.
+YEARLY = f"""{PANEL}, {duck_ctes("index_daily")[len(duck_ctes()) + 2 :]},
+ix AS (SELECT strptime(trade_date, '%Y%m%d') AS date, coalesce(close / nullif(pre_close, 0) - 1, 0) AS benchmark_ret FROM index_daily),
+s4 AS (SELECT symbol, date, {label(10)} AS target, coalesce(listed_days >= 140 AND {roll("avg", "amount", 20)} >= 30000, FALSE) AS ok,
+         {", ".join(f"{e} AS {n}" for n, e in _YEARLY_FACTORS.items())} FROM s1),
+lf AS (SELECT symbol, date, target, feature, value FROM s4 UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(_YEARLY_FACTORS)})) WHERE ok),
+qu AS (SELECT date, feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM lf WHERE value IS NOT NULL GROUP BY ALL),
+lt AS (SELECT symbol, date, feature, target, value, CASE WHEN value IS NOT NULL THEN least(greatest(value, lo), hi) END AS x FROM lf LEFT JOIN qu USING (date, feature) WHERE target IS NOT NULL),
+rf AS (SELECT *, count(*) OVER (PARTITION BY date, feature) AS rows, count(value) OVER (PARTITION BY date, feature) AS n,
+         rank() OVER (PARTITION BY date, feature ORDER BY target) + (count(*) OVER (PARTITION BY date, feature, target) - 1) / 2.0 AS tr,
+         CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY date, feature, value IS NULL ORDER BY value) + (count(*) OVER (PARTITION BY date, feature, value) - 1) / 2.0 END AS vr,
+         row_number() OVER (PARTITION BY date, feature, value IS NULL ORDER BY value, symbol) AS r0, row_number() OVER (PARTITION BY date, feature, value IS NULL ORDER BY x, symbol) AS r1,
+         row_number() OVER (PARTITION BY date, feature, value IS NULL ORDER BY x DESC, symbol) AS r2 FROM lt),
+bf AS (SELECT *, year(date) AS year, {", ".join(BUCKET.format(q=5).replace("((r -", f"((r{k} -") + f" AS b{k}" for k in range(3))} FROM rf),
+fd AS (SELECT year, date, feature, CASE WHEN min(value) < max(value) THEN covar_pop(value, target) / nullif(stddev_pop(value) * stddev_pop(target) FILTER (value IS NOT NULL), 0) END AS pearson_ic,
+         CASE WHEN min(vr) < max(vr) THEN covar_pop(vr, tr) / nullif(stddev_pop(vr) * stddev_pop(tr) FILTER (vr IS NOT NULL), 0) END AS rank_ic,
+         avg(target) FILTER (value IS NOT NULL AND b0 = 5 AND n >= 5) - avg(target) FILTER (value IS NOT NULL AND b0 = 1 AND n >= 5) AS top_bottom_spread
+       FROM bf WHERE rows >= 2 AND n > 0 GROUP BY ALL),
+yr AS (SELECT year, feature, avg(rank_ic) AS mean_rank_ic, {info_ratio("rank_ic")} AS rank_ic_ir, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_rank_ic_ratio,
+         avg(top_bottom_spread) AS mean_top_bottom_spread, CASE WHEN avg(rank_ic) < 0 THEN -1 ELSE 1 END AS direction FROM fd GROUP BY ALL),
+br AS (SELECT *, Q5 - Q1 AS long_short FROM (SELECT year, feature, date, {_MEANS}
+       FROM (SELECT bf.*, CASE WHEN direction < 0 THEN b2 ELSE b1 END AS b FROM bf JOIN yr USING (year, feature) WHERE value IS NOT NULL AND n >= 5) GROUP BY ALL)),
+un AS (SELECT year, feature, date, bucket, portfolio_ret FROM br UNPIVOT (portfolio_ret FOR bucket IN (Q1, Q2, Q3, Q4, Q5, long_short))),
+gc AS (SELECT *, product(1 + portfolio_ret) OVER (PARTITION BY year, feature, bucket ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM un),{metrics("gc", "year, feature, bucket")},
+ob AS (SELECT year, feature, date, Q5 - benchmark_ret AS portfolio_ret FROM br JOIN ix USING (date)),
+oc AS (SELECT *, product(1 + portfolio_ret) OVER (PARTITION BY year, feature ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM ob),{metrics("oc", "year, feature", "o")},
+mm AS (SELECT year, feature, count(*) AS coverage_dates, avg(Q1) AS a, avg(Q2) AS b, avg(Q3) AS c, avg(Q4) AS d, avg(Q5) AS e FROM br GROUP BY ALL),
+sp AS (SELECT year, feature, corr(i, r) AS spearman FROM (SELECT year, feature, i, rank() OVER (PARTITION BY year, feature ORDER BY v) AS r
+       FROM (SELECT year, feature, unnest([1, 2, 3, 4, 5]) AS i, unnest([a, b, c, d, e]) AS v FROM mm)) GROUP BY ALL),
+ls AS (SELECT year, feature, max(annual_return_est) FILTER (bucket = 'long_short') AS ls, max(sharpe_est) FILTER (bucket = 'long_short') AS lsh,
+         max(annual_return_est) FILTER (bucket = 'Q5') AS tb, max(annual_return_est) FILTER (bucket = 'Q1') AS bb FROM mx GROUP BY ALL),
+an AS (SELECT yr.*, direction < 0 AS sign_flipped, coverage_dates, ls, lsh, tb, bb, o.annual_return_est AS ex, o.sharpe_est AS exs, spearman AS sp,
+         coalesce(b >= a AND c >= b AND d >= c AND e >= d, FALSE) AS mi, coalesce(b <= a AND c <= b AND d <= c AND e <= d, FALSE) AS md
+       FROM yr LEFT JOIN mm USING (year, feature) LEFT JOIN sp USING (year, feature) LEFT JOIN ls USING (year, feature) LEFT JOIN mxo o USING (year, feature))"""

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.windows import rounded
 from factorloom.operators import crosssection as xs
-from factorloom.operators import factors, labels, models, portfolio, scorecard
+from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
 from factorloom.plans import oracle as o
+from factorloom.plans import research
 from factorloom.plans.fixtures import duck_ctes, raw_table
 from factorloom.sources import panel as panels
 from factorloom.sources import store
@@ -463,42 +466,50 @@ def q_normalize(spark, sf_dir):
 
 # Yearly scorecard
 
-_YEARLY = f"""{o.FEATURES}, yr AS (SELECT feature, year(date) AS year, avg(rank_ic) AS mean_rank_ic, {o.info_ratio("rank_ic")} AS rank_ic_ir,
-  avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_rank_ic_ratio, avg(top_bottom_spread) AS mean_top_bottom_spread FROM fd GROUP BY ALL),
-an AS (SELECT *, CASE WHEN mean_rank_ic < 0 THEN -1 ELSE 1 END AS direction, mean_rank_ic < 0 AS sign_flipped, mean_top_bottom_spread * 25 AS ls, rank_ic_ir * 5 AS lsh,
-  mean_rank_ic * 2 AS ex, positive_rank_ic_ratio * 2 - 1 AS sp, mean_rank_ic > 0.01 AS mi FROM yr),
-st AS (SELECT feature, count(DISTINCT year) AS years_covered, avg(mean_rank_ic) AS mean_rank_ic_mean, stddev_samp(mean_rank_ic) AS mean_rank_ic_std, avg(rank_ic_ir) AS rank_ic_ir_mean,
-  CASE WHEN sum(direction) > 0 THEN 1 ELSE -1 END AS direction, bool_or(sign_flipped) AS sign_flipped, avg(ls) AS ls_mean, stddev_samp(ls) AS ls_std, avg(sp) AS spearman_mean,
-  avg(CASE WHEN mi THEN 1.0 ELSE 0.0 END) AS monotonic_year_ratio, avg(CASE WHEN mean_rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_ic_year_ratio,
-  avg(CASE WHEN ls > 0 THEN 1.0 ELSE 0.0 END) AS positive_ls, avg(CASE WHEN ex > 0 THEN 1.0 ELSE 0.0 END) AS positive_ex, max(year) AS latest_year,
-  arg_max(ex, year) AS latest_ex, arg_max(sp, year) AS latest_sp FROM an GROUP BY feature)"""
+YEARLY_FACTORS = ("ret_5", "price_zscore_20", "gap_1", "vol_10")
 
-_ANNUAL = {
-    "long_short_annual_return_est": "mean_top_bottom_spread * 25", "long_short_sharpe_est": "rank_ic_ir * 5",
-    "top_bucket_official_index_excess_annual_return_est": "mean_rank_ic * 2", "bucket_return_spearman": "positive_rank_ic_ratio * 2 - 1",
-    "bucket_return_monotonic_increasing": "mean_rank_ic > 0.01",
+
+def annual_report(spark, sf_dir):
+    """The yearly report of four factors (one with gaps) over all of the derived panel, held against the derived index."""
+    rows = labels.add_universe(labels.add_labels(derived_panel(spark, sf_dir), (10,)), MIN_DAYS, MIN_AMOUNT)
+    rows = factors.add_factors(rows, list(YEARLY_FACTORS), as_float=False)
+    rows = rows.withColumn("price_zscore_20", F.when(F.col("symbol") % 3 != 0, F.col("price_zscore_20")))
+    return research.yearly_report(rows, list(YEARLY_FACTORS), research.ResearchConfig(), panels.index_benchmark(raw_table(spark, sf_dir, "index_daily")))
+
+
+_ESTIMATES = {
+    "ls": "long_short_annual_return_est", "tb": "top_bucket_annual_return_est", "bb": "bottom_bucket_annual_return_est",
+    "ex": "top_bucket_official_index_excess_annual_return_est",
 }
+_REPORT = ("mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")
 
 
-def annual_report(spark, sf_dir):
-    """Yearly diagnostics in the shape of the yearly report; the estimates stand in for those of backtests."""
-    daily = xs.feature_daily(_gappy(spark, sf_dir), ["ret_5", "price_zscore_20"], TARGET)
-    from factorloom.functions.windows import information_ratio, positive_share
+@query("yearly_report", f"""{o.YEARLY}
+SELECT year, feature, direction, sign_flipped, coverage_dates, {o.rounds(_REPORT)}, {", ".join(f"round(sign({k}) * ln(1 + abs({k})), 6) + 0.0 AS {v}" for k, v in _ESTIMATES.items())},
+  round(lsh, 5) AS long_short_sharpe_est, round(exs, 5) AS top_bucket_official_index_excess_sharpe_est, round(sp, 6) AS bucket_return_spearman, mi AS bucket_return_monotonic_increasing,
+  md AS bucket_return_monotonic_decreasing FROM an""")
+def q_yearly_report(spark, sf_dir):
+    same = ("year", "feature", "direction", "sign_flipped", "coverage_dates", "bucket_return_monotonic_increasing", "bucket_return_monotonic_decreasing")
+    return annual_report(spark, sf_dir).select(
+        *same, *rounds(*_REPORT, "bucket_return_spearman"), *squeezed(*_ESTIMATES.values()), *rounds("long_short_sharpe_est", "top_bucket_official_index_excess_sharpe_est", digits=5)
+    )
 
-    rows = daily.groupBy("feature", F.year("date").alias("year")).agg(
-        F.avg("rank_ic").alias("mean_rank_ic"), information_ratio("rank_ic").alias("rank_ic_ir"), positive_share("rank_ic").alias("positive_rank_ic_ratio"),
-        F.avg("top_bottom_spread").alias("mean_top_bottom_spread"),
-    )
-    rows = xs.with_direction(rows).withColumn("sign_flipped", F.col("mean_rank_ic") < 0)
-    return rows.withColumns({k: F.expr(v) for k, v in _ANNUAL.items()})
 
+_STABLE = f"""{o.YEARLY},
+st AS (SELECT feature, count(DISTINCT year) AS years_covered, avg(mean_rank_ic) AS mean_rank_ic_mean, stddev_samp(mean_rank_ic) AS mean_rank_ic_std, avg(rank_ic_ir) AS rank_ic_ir_mean,
+  CASE WHEN sum(direction) > 0 THEN 1 ELSE -1 END AS direction, bool_or(sign_flipped) AS sign_flipped, avg(ls) AS ls_mean, stddev_samp(ls) AS ls_std, avg(sp) AS spearman_mean,
+  avg(CASE WHEN mi THEN 1.0 ELSE 0.0 END) AS monotonic_year_ratio, avg(CASE WHEN mean_rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_ic_year_ratio,
+  avg(CASE WHEN ls > 0 THEN 1.0 ELSE 0.0 END) AS positive_ls, avg(CASE WHEN ex > 0 THEN 1.0 ELSE 0.0 END) AS positive_ex, max(year) AS latest_year,
+  arg_max(ex, year) AS latest_ex, arg_max(sp, year) AS latest_sp FROM an GROUP BY feature)"""
 
 _EX = "top_bucket_official_index_excess_annual_return_est"
 
 
-@query("stability", f"""{_YEARLY}
-SELECT feature, years_covered, direction, sign_flipped, latest_year, {o.rounds(("mean_rank_ic_mean", "mean_rank_ic_std", "rank_ic_ir_mean", "ls_mean", "ls_std", "spearman_mean", "monotonic_year_ratio",
-  "positive_ic_year_ratio", "positive_ls", "positive_ex", "latest_ex", "latest_sp"))} FROM st""")
+_SHARES = ("mean_rank_ic_mean", "mean_rank_ic_std", "rank_ic_ir_mean", "monotonic_year_ratio", "positive_ic_year_ratio")
+
+
+@query("stability", f"""{_STABLE}
+SELECT feature, years_covered, direction, sign_flipped, latest_year, {o.rounds((*_SHARES, "spearman_mean", "positive_ls", "positive_ex", "latest_sp"))}, {sql_squeezed("ls_mean", "ls_std", "latest_ex")} FROM st""")
 def q_stability(spark, sf_dir):
     s = scorecard.stability(annual_report(spark, sf_dir))
     new = {
@@ -506,15 +517,18 @@ def q_stability(spark, sf_dir):
         "positive_ls": "positive_long_short_year_ratio", "positive_ex": "positive_top_bucket_excess_year_ratio", "latest_ex": f"latest_{_EX}",
         "latest_sp": "latest_bucket_return_spearman",
     }
-    same = ("mean_rank_ic_mean", "mean_rank_ic_std", "rank_ic_ir_mean", "monotonic_year_ratio", "positive_ic_year_ratio")
-    return s.select("feature", "years_covered", "direction", "sign_flipped", "latest_year", *rounds(*same), *[rounded(v).alias(k) for k, v in new.items()])
+    s = s.withColumnsRenamed({v: k for k, v in new.items()})
+    plain = (*_SHARES, "spearman_mean", "positive_ls", "positive_ex", "latest_sp")
+    return s.select("feature", "years_covered", "direction", "sign_flipped", "latest_year", *rounds(*plain), *squeezed("ls_mean", "ls_std", "latest_ex"))
 
 
-def _pct(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END"
+def _pct(c: str, key: str = "") -> str:
+    """Average percent rank of ``c``, within ``key`` where given."""
+    k, within = (f"{key}, ", f"PARTITION BY {key}") if key else ("", "")
+    return f"CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY {k}{c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}{c}) - 1) / 2.0) / count({c}) OVER ({within}) END"
 
 
-_SCORE = f"""{_YEARLY}, rg AS (SELECT unnest(['ret_5', 'price_zscore_20', 'gap_1', 'vol_10']) AS feature), ev AS (SELECT feature, st.* EXCLUDE (feature), abs(rank_ic_ir_mean) AS air, abs(mean_rank_ic_mean) AS aic
+_SCORE = f"""{_STABLE}, rg AS (SELECT unnest(['ret_5', 'price_zscore_20', 'gap_1', 'vol_10', 'amp_5']) AS feature), ev AS (SELECT feature, st.* EXCLUDE (feature), abs(rank_ic_ir_mean) AS air, abs(mean_rank_ic_mean) AS aic
   FROM rg LEFT JOIN st USING (feature)),
 qs AS (SELECT *, round(0.30 * {_pct("air")} + 0.20 * {_pct("aic")} + 0.15 * {_pct("spearman_mean")} + 0.15 * {_pct("positive_ex")} + 0.10 * {_pct("latest_ex")} + 0.05 * {_pct("monotonic_year_ratio")}
   + 0.05 * {_pct("positive_ic_year_ratio")} - 0.10 * {_pct("mean_rank_ic_std")}, 6) AS quality_score FROM ev),
@@ -524,7 +538,7 @@ qt AS (SELECT *, CASE WHEN quality_score >= (SELECT quantile_cont(quality_score,
 
 
 def _evaluation(spark, sf_dir):
-    names = ("ret_5", "price_zscore_20", "gap_1", "vol_10")
+    names = (*YEARLY_FACTORS, "amp_5")  # the last has no report
     return scorecard.evaluate(annual_report(spark, sf_dir), factors.registry(spark, names).select("feature"))
 
 
@@ -542,7 +556,7 @@ def q_whitelist(spark, sf_dir):
     return scorecard.whitelist(_evaluation(spark, sf_dir), cfg).select("feature", "priority_rank", "selected_reason")
 
 
-@query("family_registry", f"""{_YEARLY} SELECT feature, 'reversal' AS family,
+@query("family_registry", f"""{_STABLE} SELECT feature, 'reversal' AS family,
   CASE WHEN latest_ex > 0 AND latest_sp >= 0.5 AND positive_ex >= 2.0 / 3 AND years_covered >= 4 THEN 'keep' WHEN latest_ex > 0 AND latest_sp >= 0.5 THEN 'recent_only' ELSE 'discard' END AS status,
   CASE WHEN coalesce(latest_sp, 0) < 0.5 THEN 'weak_bucket_ordering' WHEN coalesce(latest_ex, -1) <= 0 THEN 'recently_ineffective'
     WHEN positive_ex >= 2.0 / 3 AND years_covered >= 4 THEN 'stable_excess_and_recent_effective' ELSE 'recent_effective_but_long_term_unstable' END AS reason FROM st""")
@@ -550,19 +564,105 @@ def family_registry(spark, sf_dir):
     return scorecard.family_registry(scorecard.stability(annual_report(spark, sf_dir)), "reversal").select("feature", "family", "status", "reason")
 
 
-# Summaries over splits (years stand for splits, mean rank IC for a coefficient)
+# Models solved from moments
 
-_SPLITS = f"{_YEARLY}, co AS (SELECT feature, year AS split_id, mean_rank_ic AS coef, rank_ic_ir, positive_rank_ic_ratio FROM an)"
+_MODEL_FACTORS = ("ret_5", "price_zscore_20")
+TRAIN_DATES = 52
 
 
-def _splits(spark, sf_dir):
-    return annual_report(spark, sf_dir).select("feature", F.col("year").alias("split_id"), F.col("mean_rank_ic").alias("coef"), "rank_ic_ir", "positive_rank_ic_ratio")
+def _rows_for_models(spark, sf_dir):
+    return scored(spark, sf_dir).where(F.col("tradable_universe"))
 
 
-@query("coefficient_stability", f"""{_SPLITS} SELECT feature, count(DISTINCT split_id) AS splits, round(avg(coef), 6) AS mean_coef, round(stddev_samp(coef), 6) AS std_coef, round(avg(abs(coef)), 6) AS mean_abs_coef,
-  round(avg(CASE WHEN coef > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_coef_ratio, round(stddev_samp(coef) / nullif(avg(abs(coef)), 0), 5) AS coef_cv FROM co GROUP BY feature""")
+def _sums(over: str = "") -> str:
+    """n and sums of two features and the target, as aggregates or over a window."""
+    terms = {"n": "n", "sy": "y", "s1": "x1", "s2": "x2", "p1": "p1", "p2": "p2", "q11": "q11", "q22": "q22", "q12": "q12"}
+    return ", ".join(f"sum({v}) {over} AS {k}" for k, v in terms.items())
+
+
+def _solved(source: str, alpha: float = 1.0) -> str:
+    """Ridge of two features from sums, in closed form: the normal equations of centred values."""
+    return f"""cn AS (SELECT *, q11 - s1 * s1 / n + {alpha} AS a11, q22 - s2 * s2 / n + {alpha} AS a22, q12 - s1 * s2 / n AS a12, p1 - s1 * sy / n AS c1, p2 - s2 * sy / n AS c2 FROM {source}),
+so AS (SELECT *, (c1 * a22 - c2 * a12) / (a11 * a22 - a12 * a12) AS b1, (c2 * a11 - c1 * a12) / (a11 * a22 - a12 * a12) AS b2 FROM cn),
+fi AS (SELECT *, sy / n - b1 * s1 / n - b2 * s2 / n AS intercept FROM so)"""
+
+
+_DATE_SUMS = f"""{o.SCORED}, tr AS (SELECT date, symbol, coalesce(score, 0) AS x1, coalesce(z, 0) AS x2, target AS y FROM sc WHERE ok AND target IS NOT NULL),
+ds AS (SELECT date, count(*)::DOUBLE AS n, sum(y) AS y, sum(x1) AS x1, sum(x2) AS x2, sum(x1 * y) AS p1, sum(x2 * y) AS p2, sum(x1 * x1) AS q11, sum(x2 * x2) AS q22, sum(x1 * x2) AS q12 FROM tr GROUP BY date)"""
+_ROLLING = f"""{_DATE_SUMS}, ro AS (SELECT date, row_number() OVER (ORDER BY date) AS k, {_sums(f"OVER (ORDER BY date ROWS BETWEEN {TRAIN_DATES} PRECEDING AND 1 PRECEDING)")} FROM ds),
+rk AS (FROM ro WHERE k > {TRAIN_DATES} AND n >= 100),{_solved("rk")}"""
+
+
+@query("rolling_ridge", f"{_ROLLING} SELECT {o.DAY}, n::BIGINT AS n, round(intercept, 6) AS intercept, round(b1, 6) AS ret_5, round(b2, 6) AS price_zscore_20 FROM fi")
+def rolling_ridge(spark, sf_dir):
+    rows = _rows_for_models(spark, sf_dir)
+    fits = moments.rolling_ridge(rows, list(_MODEL_FACTORS), TARGET, rows.select("date").distinct(), TRAIN_DATES, 100)
+    return fits.select(day(), "n", rounded("intercept").alias("intercept"), *[rounded(F.col("coefficients")[k]).alias(f) for k, f in enumerate(_MODEL_FACTORS)])
+
+
+@query("rolling_scores", f"{_ROLLING} SELECT symbol, {o.DAY.replace('date,', 'tr.date,')}, round(intercept + b1 * tr.x1 + b2 * tr.x2, 6) AS ridge_score FROM tr JOIN fi USING (date)")
+def rolling_scores(spark, sf_dir):
+    cfg = replace(research.ResearchConfig(), train_dates=TRAIN_DATES, min_rows=100, portfolio=CONFIG)
+    found = research.rolling_scores(_rows_for_models(spark, sf_dir), list(_MODEL_FACTORS), cfg)
+    return found["scores"].select("symbol", day(), rounded("ridge_score").alias("ridge_score"))
+
+
+_EVERY = ", ".join(f"'{n}'" for n in o.EVERY)
+
+
+@query("correlation_matrix", f"""{o.PANEL}, fx AS (SELECT symbol, date, {", ".join(f"{e} AS {n}" for n, e in o.EVERY.items())} FROM s1),
+nm AS (SELECT unnest([{_EVERY}]) AS feature, unnest(range({len(o.EVERY)})) AS k),
+lw AS (SELECT symbol, date, feature, k, value FROM (FROM fx UNPIVOT (value FOR feature IN ({", ".join(o.EVERY)}))) JOIN nm USING (feature)),
+cx AS (SELECT a.feature AS a, b.feature AS b, CASE WHEN stddev_pop(a.value) > 1e-9 AND stddev_pop(b.value) > 1e-9 THEN corr(a.value, b.value) END AS corr
+       FROM lw a JOIN lw b ON a.symbol = b.symbol AND a.date = b.date AND a.k < b.k GROUP BY ALL)
+SELECT x.feature AS a, y.feature AS b, round(corr, 6) + 0.0 AS corr FROM nm x JOIN nm y ON x.k < y.k LEFT JOIN cx ON cx.a = x.feature AND cx.b = y.feature""")
+def correlation_matrix(spark, sf_dir):
+    """Every two of the factors that need no fundamentals, over all rows of the derived panel."""
+    rows = factors.add_factors(derived_panel(spark, sf_dir), list(o.EVERY), as_float=False)
+    return moments.pair_correlations(rows, list(o.EVERY)).select("a", "b", rounded("corr").alias("corr"))
+
+
+# Splits: years, each with a ridge fit on its rows and the factors' diagnostics of that year
+
+_SPLITS = f"""{_DATE_SUMS}, ys AS (SELECT year(date) AS split_id, {_sums()} FROM ds GROUP BY ALL),{_solved("ys")},
+cf AS (SELECT split_id, unnest(['ret_5', 'price_zscore_20']) AS feature, unnest([b1, b2]) AS coef FROM fi),
+l2 AS (SELECT symbol, date, target, 'ret_5' AS feature, score AS value FROM sc WHERE ok AND target IS NOT NULL
+       UNION ALL SELECT symbol, date, target, 'price_zscore_20', z FROM sc WHERE ok AND target IS NOT NULL),
+v2 AS (SELECT *, count(*) OVER (PARTITION BY date, feature) AS rows,
+         CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY date, feature, value IS NULL ORDER BY value) + (count(*) OVER (PARTITION BY date, feature, value) - 1) / 2.0 END AS vr,
+         rank() OVER (PARTITION BY date, feature ORDER BY target) + (count(*) OVER (PARTITION BY date, feature, target) - 1) / 2.0 AS tr FROM l2),
+f2 AS (SELECT year(date) AS split_id, date, feature,
+         CASE WHEN min(vr) < max(vr) THEN covar_pop(vr, tr) / nullif(stddev_pop(vr) * stddev_pop(tr) FILTER (vr IS NOT NULL), 0) END AS rank_ic
+       FROM v2 WHERE rows >= 2 GROUP BY ALL HAVING count(value) > 0),
+dg AS (SELECT split_id, feature, {o.info_ratio("rank_ic")} AS rank_ic_ir, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_rank_ic_ratio,
+         CASE WHEN avg(rank_ic) < 0 THEN -1 ELSE 1 END AS direction FROM f2 GROUP BY ALL),
+co AS (SELECT split_id, feature, coef, coef * direction AS original_coef, direction, rank_ic_ir, positive_rank_ic_ratio FROM cf JOIN dg USING (split_id, feature))"""
+
+
+def _splits(spark, sf_dir):
+    """(split_id, feature, coef, original_coef, direction, rank_ic_ir, positive_rank_ic_ratio): years as splits."""
+    rows = _rows_for_models(spark, sf_dir)
+    names = list(_MODEL_FACTORS)
+    years = rows.select(F.year("date").alias("split_id")).distinct()
+    bound = lambda c: F.make_timestamp(c, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    windows = years.select("split_id", bound(F.col("split_id")).alias("start"), bound(F.col("split_id") + 1).alias("end"))
+    fits = moments.fit_coefficients(moments.window_ridge(rows, names, TARGET, windows), names, "split_id")
+    daily = xs.feature_daily(rows, names, TARGET).withColumn("split_id", F.year("date"))
+    found = xs.with_direction(xs.feature_means(daily, ("split_id", "feature")))
+    both = fits.join(found.select("split_id", "feature", "direction", "rank_ic_ir", "positive_rank_ic_ratio"), ["split_id", "feature"])
+    return both.withColumn("original_coef", F.col("coef") * F.col("direction"))
+
+
+@query("split_coefficients", f"{_SPLITS} SELECT split_id, feature, direction, {o.rounds(('coef', 'original_coef'))} FROM co")
+def split_coefficients(spark, sf_dir):
+    return _splits(spark, sf_dir).select("split_id", "feature", "direction", *rounds("coef", "original_coef"))
+
+
+@query("coefficient_stability", f"""{_SPLITS} SELECT feature, count(DISTINCT split_id) AS splits, round(avg(original_coef), 6) AS mean_coef, round(stddev_samp(original_coef), 6) AS std_coef,
+  round(avg(abs(original_coef)), 6) AS mean_abs_coef, round(avg(CASE WHEN original_coef > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_coef_ratio,
+  round(stddev_samp(original_coef) / nullif(avg(abs(original_coef)), 0), 5) AS coef_cv FROM co GROUP BY feature""")
 def coefficient_stability(spark, sf_dir):
-    s = scorecard.coefficient_stability(_splits(spark, sf_dir))
+    s = scorecard.coefficient_stability(_splits(spark, sf_dir).select("split_id", "feature", F.col("original_coef").alias("coef")))
     return s.select("feature", "splits", *rounds("mean_coef", "std_coef", "mean_abs_coef", "positive_coef_ratio"), rounded("coef_cv", 5).alias("coef_cv"))
 
 
@@ -577,25 +677,27 @@ def importance_summary(spark, sf_dir):
     return scorecard.importance_summary(_splits(spark, sf_dir).withColumnRenamed("coef", "importance")).select("feature", *rounds("mean_importance", "abs_mean_importance"))
 
 
-@query("coefficient_table", f"""{_SPLITS}, c AS (SELECT feature, coef, CASE WHEN coef < 0 THEN -1 ELSE 1 END AS direction FROM co WHERE split_id = 1999)
-SELECT feature, round(coef, 6) AS coef, round(coef * direction, 6) AS original_coef, row_number() OVER (ORDER BY abs(coef) DESC, feature)::INTEGER AS coef_rank FROM c""")
+@query("coefficient_table", f"""{_SPLITS} SELECT split_id, feature, round(coef, 6) AS coef, round(original_coef, 6) AS original_coef,
+  row_number() OVER (PARTITION BY split_id ORDER BY abs(coef) DESC, feature)::INTEGER AS coef_rank FROM co""")
 def coefficient_table(spark, sf_dir):
-    rows = _splits(spark, sf_dir).where("split_id = 1999")
-    dirs = xs.with_direction(rows.select("feature", F.col("coef").alias("mean_rank_ic")))
-    return scorecard.coefficient_table(rows.select("feature", "coef"), dirs).select("feature", *rounds("coef", "original_coef"), "coef_rank")
+    rows = _splits(spark, sf_dir)
+    found = scorecard.coefficient_table(rows.select("split_id", "feature", "coef"), rows, ("split_id",))
+    return found.select("split_id", "feature", *rounds("coef", "original_coef"), "coef_rank")
 
 
-@query("ranker_pool", f"""{_SPLITS}, r AS (SELECT feature || split_id AS feature, abs(coef) AS ac, abs(rank_ic_ir) AS ai, positive_rank_ic_ratio AS p FROM co),
-s AS (SELECT feature, 0.60 * {_pct("ac")} + 0.25 * {_pct("ai")} + 0.15 * coalesce(p, 0) AS pool_score FROM r)
-SELECT feature, round(pool_score, 6) AS pool_score FROM s WHERE pool_score >= (SELECT quantile_cont(pool_score, 0.5) FROM s)""")
+@query("ranker_pool", f"""{_SPLITS}, r AS (SELECT split_id, feature, abs(coef) AS ac, abs(rank_ic_ir) AS ai, positive_rank_ic_ratio AS p FROM co),
+s AS (SELECT split_id, feature, 0.60 * {_pct("ac", "split_id")} + 0.25 * {_pct("ai", "split_id")} + 0.15 * coalesce(p, 0) AS pool_score FROM r),
+c AS (SELECT split_id, quantile_cont(pool_score, 0.5) AS cut FROM s GROUP BY split_id)
+SELECT split_id, feature, round(pool_score, 6) AS pool_score FROM s JOIN c USING (split_id) WHERE pool_score >= cut""")
 def ranker_pool(spark, sf_dir):
-    rows = _splits(spark, sf_dir).withColumn("feature", F.concat("feature", F.col("split_id").cast("string")))
-    return scorecard.ranker_pool(rows.select("feature", "coef"), rows).select("feature", rounded("pool_score").alias("pool_score"))
+    rows = _splits(spark, sf_dir)
+    found = scorecard.ranker_pool(rows.select("split_id", "feature", "coef"), rows.drop("original_coef", "direction"), ("split_id",))
+    return found.select("split_id", "feature", rounded("pool_score").alias("pool_score"))
 
 
-@query("best_per_phase", f"{_SPLITS} SELECT split_id, 'test' AS phase, arg_max(feature, coef) AS feature, round(max(coef), 6) AS sharpe_est FROM co GROUP BY split_id")
+@query("best_per_phase", f"{_SPLITS} SELECT split_id, 'train' AS phase, arg_max(feature, rank_ic_ir) AS feature, round(max(rank_ic_ir), 6) AS sharpe_est FROM co GROUP BY split_id")
 def best_per_phase(spark, sf_dir):
-    rows = _splits(spark, sf_dir).select("feature", "split_id", F.lit("test").alias("phase"), F.col("coef").alias("sharpe_est"))
+    rows = _splits(spark, sf_dir).select("feature", "split_id", F.lit("train").alias("phase"), F.col("rank_ic_ir").alias("sharpe_est"))
     return scorecard.best_per_phase(rows).select("split_id", "phase", "feature", rounded("sharpe_est").alias("sharpe_est"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators import crosssection as xs
-from factorloom.operators import factors, labels, models, portfolio, scorecard
+from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
 from factorloom.sources.panel import benchmark_on, window_dates
 
 
@@ -31,10 +31,16 @@ class ResearchConfig:
     max_corr: float = 0.9
     alpha: float = 1.0
     neutralize: bool = False
+    neutralize_industry: bool = True
+    neutralize_size: bool = True
+    train_dates: int = 504
+    min_rows: int = 20_000
+    fallback_top_n: int = 50
     data_start: str | None = None
     data_end: str | None = None
     portfolio: portfolio.PortfolioConfig = portfolio.PortfolioConfig()
     gate: scorecard.GateConfig = field(default_factory=scorecard.GateConfig)
+    ridge_gate: scorecard.RidgeGate = scorecard.RidgeGate()
     boost: models.BoostConfig = models.BoostConfig()
 
     @property
@@ -92,27 +98,32 @@ def strategy(panel: DataFrame, scored: DataFrame, score: str, cfg: ResearchConfi
     return out
 
 
-def yearly_report(rows: DataFrame, features: list[str], cfg: ResearchConfig, index: DataFrame | None = None) -> DataFrame:
-    """One row per year and feature, in the shape that ``scorecard`` reads: diagnostics, then bucket curves of the oriented factor."""
-    parts = []
-    years = [r.y for r in rows.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
-    for year in years:
-        part = rows.where(F.year("date") == year)
-        found = xs.with_direction(xs.feature_diagnostics(part, features, cfg.target))
-        for r in found.collect():  # one row per feature
-            oriented = xs.standardize(xs.orient(part, {r.feature: r.direction}), r.feature, "sf_score")
-            returns, _, summary = portfolio.single_factor_backtest(oriented, "sf_score", cfg.target, cfg.buckets)
-            top = returns.select("date", F.col(f"Q{cfg.buckets}").alias("portfolio_ret"))
-            bench = benchmark_on(index, returns) if index is not None else returns.select("date", F.lit(0.0).alias("benchmark_ret"))
-            gain = portfolio.metrics(portfolio.excess(top, bench, "benchmark_ret"))
-            kept = {c: getattr(r, c) for c in ("feature", "direction", "mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")}
-            row = summary.crossJoin(gain.select(F.col("annual_return_est").alias("top_bucket_official_index_excess_annual_return_est")))  # one row each
-            row = row.withColumns({k: F.lit(v) for k, v in kept.items()} | {"year": F.lit(year), "sign_flipped": F.lit(r.direction < 0)})
-            parts.append(row)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def yearly_report(rows: DataFrame, features: list[str], cfg: ResearchConfig, index: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
+    """One row per year and feature, in the shape that ``scorecard`` reads: diagnostics, then bucket curves of the oriented factor.
+
+    One plan for all years and features: the long rows are shuffled once by
+    (date, feature); buckets are made in both orders there, so the direction
+    that a year turns out to have is chosen on the daily means. ``top_k``: each
+    year's strongest features only. Without an index the top bucket is held
+    against nothing (returns of 0).
+    """
+    keys, q = ("year", "feature"), cfg.buckets
+    daily = xs.feature_days(rows, features, cfg.target, q).withColumn("year", F.year("date"))
+    found = xs.with_direction(xs.feature_means(daily.where("rows >= 2"), keys)).withColumn("sign_flipped", F.col("direction") < 0)
+    if top_k:
+        strength = [F.abs("mean_rank_ic").desc_nulls_last(), F.col("rank_ic_ir").desc_nulls_last(), F.col("mean_top_bottom_spread").desc_nulls_last(), F.col("feature")]
+        best = F.row_number().over(Window.partitionBy("year").orderBy(*strength))  # one row per feature
+        found = found.withColumn("__r", best).where(F.col("__r") <= top_k).drop("__r")
+    sides = daily.join(found.select(*keys, "direction"), list(keys)).withColumn("means", F.when(F.col("direction") < 0, F.col("down")).otherwise(F.col("up")))
+    means = [F.col("means")[b].alias(f"Q{b + 1}") for b in range(q)]
+    returns = sides.where("means is not null").select(*keys, "date", *means, (F.col("means")[q - 1] - F.col("means")[0]).alias("long_short"))
+    top = returns.select(*keys, "date", F.coalesce(f"Q{q}", F.lit(0.0)).alias("strategy_ret"))
+    bench = top.withColumn("benchmark_ret", F.lit(0.0)) if index is None else top.join(index.select("date", "benchmark_ret"), "date")
+    over = portfolio.with_equity(bench.withColumn("portfolio_ret", F.col("strategy_ret") - F.col("benchmark_ret")), keys=keys)
+    gain = portfolio.metrics(over, keys).select(*keys, *[F.col(c).alias(f"top_bucket_official_index_excess_{c}") for c in ("annual_return_est", "sharpe_est")])
+    kept = ("direction", "sign_flipped", "mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")
+    out = found.select(*keys, *kept).join(portfolio.group_summary(returns, q, keys), list(keys), "left").join(gain, list(keys), "left")
+    return out.withColumns({f"bucket_return_monotonic_{d}": F.coalesce(f"bucket_return_monotonic_{d}", F.lit(False)) for d in ("increasing", "decreasing")})
 
 
 def single_factor_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict[str, DataFrame]:
@@ -247,15 +258,73 @@ def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str],
     }
 
 
-def rolling_scores(rows: DataFrame, features: list[str], dates: list, cfg: ResearchConfig, train_dates: int = 504) -> DataFrame:
-    """For each rebalance date a ridge fit on the ``train_dates`` dates before it, scoring that date."""
-    calendar = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
-    out = None
-    for day in dates:
-        before = [d for d in calendar if d < day][-train_dates:]
-        if not before:
-            continue
-        train = rows.where(F.col("tradable_universe") & F.col("date").between(before[0], before[-1]))
-        part = models.ridge_scores(train, rows.where(F.col("date") == day), features, cfg.target, alpha=cfg.alpha)
-        out = part if out is None else out.unionByName(part)
-    return out
+def rolling_scores(rows: DataFrame, features: list[str], cfg: ResearchConfig) -> dict[str, DataFrame]:
+    """A ridge fit for each rebalance date on the ``train_dates`` dates before it: ``fits``, and ``scores`` of that date's rows with a target.
+
+    All fits come from one pass of sums by date; see ``moments.rolling_ridge``.
+    """
+    modeling = rows.where(F.col("tradable_universe") & F.col(cfg.target).isNotNull())
+    days = labels.rebalance_dates(modeling, cfg.portfolio.rebalance_weekday)
+    fits = moments.rolling_ridge(modeling, features, cfg.target, days, cfg.train_dates, cfg.min_rows, cfg.alpha)
+    scored = modeling.join(fits.select("date", "intercept", "coefficients"), "date")
+    return {"fits": fits, "scores": scored.withColumn("ridge_score", moments.fitted_score(features)).drop("intercept", "coefficients")}
+
+
+def retrain(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str | None = None, end: str | None = None, index=None,
+            folds: int | None = None) -> dict[str, DataFrame]:
+    """The rolling retrain: predictions of every rebalance date from models of the dates before it, importances, and each score's strategy.
+
+    Ridge fits of all dates are one plan. The ranker is a fit per rebalance
+    date (``folds``: of the last so many only); both score the same dates.
+    """
+    rows = prepare(panel, features, cfg, start, end).cache()
+    try:
+        found = rolling_scores(rows, features, cfg)
+        fits = found["fits"].cache()
+        windows = fits.orderBy("date").collect()[-folds if folds else 0 :]  # one row per rebalance date
+        if not windows:
+            raise ValueError("no date has enough dates and rows before it to train on")
+        modeling = rows.where(F.col("tradable_universe") & F.col(cfg.target).isNotNull())
+        parts, importance = [], []
+        for w in windows:
+            ranker = models.fit_ranker(modeling.where(F.col("date").between(w["first"], w["last"])), features, cfg.target, cfg.ranker)
+            parts.append(ranker.scores(found["scores"].where(F.col("date") == w["date"]), output="lgbm_score"))
+            importance += [(str(w["date"]), f, v) for f, v in ranker.importance().items()]
+        scored = parts[0]
+        for p in parts[1:]:
+            scored = scored.unionByName(p)
+        kept = ["date", "symbol", "open", "is_paused", "is_limit_up", "tradable_universe", "industry", "float_mv", cfg.target, "ridge_score", "lgbm_score"]
+        scored = scored.select(*kept).cache()
+        ridge = moments.fit_coefficients(fits, features, "date").select("feature", F.col("coef").alias("importance"))
+        gain = spark.createDataFrame(importance, "date string, feature string, importance double")
+        out = {"predictions": scored, "feature_importance_summary": importance_table(ridge, gain)}
+        out |= strategies(rows, scored, cfg, index)
+        return out
+    finally:
+        rows.unpersist()
+
+
+def importance_table(ridge: DataFrame, gain: DataFrame) -> DataFrame:
+    """Per feature the mean ridge coefficient and its size, and the mean gain of the ranker, over folds."""
+    a = scorecard.importance_summary(ridge).withColumnsRenamed({"mean_importance": "ridge_coef_mean", "abs_mean_importance": "ridge_abs_coef_mean"})
+    b = scorecard.importance_summary(gain).select("feature", F.col("mean_importance").alias("lgbm_importance_mean"))
+    return a.join(b, "feature", "full")
+
+
+def strategies(panel: DataFrame, scored: DataFrame, cfg: ResearchConfig, index=None, prefix: str = "") -> dict[str, DataFrame]:
+    """Results of the ridge score, the ranker's, and the ranker's neutralised where the configuration says so, and one table of all their metrics."""
+    scores = {"ridge": ("ridge_score", scored), "lgbm": ("lgbm_score", scored)}
+    if cfg.neutralize:
+        flat = xs.neutralize(scored, "lgbm_score", cfg.neutralize_industry, cfg.neutralize_size, "lgbm_score_neutralized")
+        scores["lgbm_neutralized"] = ("lgbm_score_neutralized", flat)
+    out, tables = {}, []
+    for name, (score, rows) in scores.items():
+        found = strategy(panel, rows, score, cfg, index)
+        out |= {f"{prefix}{name}_{k}": v for k, v in found.items()}
+        for kind in ("metrics", "excess_metrics", "index_excess_metrics"):
+            if kind in found:
+                tables.append(found[kind].select(F.lit(f"{prefix}{name}").alias("strategy"), F.lit(kind).alias("kind"), "*"))
+    table = tables[0]
+    for t in tables[1:]:
+        table = table.unionByName(t)
+    return out | {f"{prefix}metrics": table}
