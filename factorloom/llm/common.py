@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def byte_count(text: str) -> int:
+    """A size setting as Spark writes them (``64m``, ``1gb``, ``8388608``) in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Hold the batches that go to Python workers to ``MAX_BATCH_BYTES``, so that long texts do not add up."""
-    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > MAX_BATCH_BYTES:
+    """Hold the batches that go to Python workers to ``MAX_BATCH_BYTES``, so that long texts do not add up.
+
+    A lower bound of the session stays; a higher one is lowered for the session,
+    since what is planned now runs later.
+    """
+    if byte_count(spark.conf.get(_BATCH_BYTES)) > MAX_BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, MAX_BATCH_BYTES)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.llm import alignment, lexical, repeats
-from factorloom.llm.common import WORD
+from factorloom.llm.common import WORD, bound_batches, byte_count
 
 VOCABULARY = "ta re mi so la do fa ut quint terz prim".split()
 ODD = [None, "", " ", "\n\n", " lead", "trail ", "a  b", "a\n\nb\n c", "don't 'store it's", "1.5 2,000 e.g.", "<|endoftext|> <s> x </s>", "Ünïcode naïve", "日本語 テスト",
@@ -184,3 +184,15 @@ def test_search_of_nothing(spark, documents):
     items = spark.createDataFrame([(1, "go")], "item_id long, text string")
     assert lexical.search(nothing, items).count() == 0 and lexical.search(documents, items.limit(0)).count() == 0
     assert lexical.search(documents.where("text is null"), items).count() == 0
+
+
+def test_sizes_of_settings(spark):
+    assert [byte_count(t) for t in ("64m", "1GB", "8388608", "512kib", "100b")] == [64 << 20, 1 << 30, 8388608, 512 << 10, 100]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        bound_batches(spark)
+        assert byte_count(spark.conf.get(key)) == 8 << 20
+    finally:
+        spark.conf.set(key, before)
