@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.windows import ratio
 from factorloom.operators.labels import add_relevance
+from factorloom.operators.ranker import Ranker, RankerConfig, fit_ranker  # noqa: F401
 
 
 def _filled(rows: DataFrame, features: list[str]) -> DataFrame:

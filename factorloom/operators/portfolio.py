@@ -21,17 +21,18 @@ class PortfolioConfig:
     max_weight: float = 0.12
 
 
-def positions(scored: DataFrame, score: str, cfg: PortfolioConfig = PortfolioConfig(), dates: DataFrame | None = None) -> DataFrame:
-    """(date, symbol, target_weight): on rebalance dates the best tradable names, evenly weighted up to a cap.
+def positions(scored: DataFrame, score: str, cfg: PortfolioConfig = PortfolioConfig(), dates: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, date, symbol, target_weight): on rebalance dates the best tradable names, evenly weighted up to a cap.
 
-    Rows without a score are left out; ties go to the smaller symbol.
+    Rows without a score are left out; ties go to the smaller symbol. With
+    ``keys`` every variant has positions of its own, and ``dates`` has them too.
     """
     days = rebalance_dates(scored, cfg.rebalance_weekday) if dates is None else dates
-    best = Window.partitionBy("date").orderBy(F.desc("__score"), "symbol")
-    rows = scored.where("tradable_universe").select("date", "symbol", F.col(score).alias("__score")).where("__score is not null")
-    top = rows.join(days, "date", "left_semi").withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= cfg.top_n)
-    weight = F.least(F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("date")), F.lit(cfg.max_weight))
-    return top.withColumn("target_weight", weight).select("date", "symbol", "target_weight")
+    best = Window.partitionBy(*keys, "date").orderBy(F.desc("__score"), "symbol")
+    rows = scored.where("tradable_universe").select(*keys, "date", "symbol", F.col(score).alias("__score")).where("__score is not null")
+    top = rows.join(days, [*keys, "date"], "left_semi").withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= cfg.top_n)
+    weight = F.least(F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*keys, "date")), F.lit(cfg.max_weight))
+    return top.withColumn("target_weight", weight).select(*keys, "date", "symbol", "target_weight")
 
 
 def universe_positions(scored: DataFrame, weekday: int = 4, dates: DataFrame | None = None) -> DataFrame:
@@ -41,22 +42,23 @@ def universe_positions(scored: DataFrame, weekday: int = 4, dates: DataFrame | N
     return rows.withColumn("target_weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("date")))
 
 
-def trades(panel: DataFrame, held: DataFrame, cfg: PortfolioConfig = PortfolioConfig(), benchmark: bool = False) -> DataFrame:
+def trades(panel: DataFrame, held: DataFrame, cfg: PortfolioConfig = PortfolioConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """Positions that could be entered, with trade_date, entry_open, exit_open, net_ret, weighted_ret.
 
     Signals trade at the next panel date's open and leave at the open after the
     next rebalance. Names that are paused, limit-up or without a price at either
-    end are dropped; their weight stays in cash.
+    end are dropped; their weight stays in cash. ``keys`` tell variants apart:
+    each has its own rebalances, all share the panel and its calendar.
     """
     calendar = panel.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))
-    signals = held.select("date").distinct().withColumn("exit_signal", F.lead("date").over(Window.orderBy("date")))
+    signals = held.select(*keys, "date").distinct().withColumn("exit_signal", F.lead("date").over(Window.partitionBy(*keys).orderBy("date")))
     signals = signals.join(calendar, "date", "left").withColumnRenamed("next", "trade_date")
     exits = calendar.select(F.col("date").alias("exit_signal"), F.col("next").alias("exit_date"))
-    schedule = signals.join(exits, "exit_signal", "left").select("date", "trade_date", "exit_date")
+    schedule = signals.join(exits, "exit_signal", "left").select(*keys, "date", "trade_date", "exit_date")
     closed = F.coalesce("is_paused", F.lit(False)) | F.coalesce("is_limit_up", F.lit(False))
     entry = panel.where(~closed).select(F.col("date").alias("trade_date"), "symbol", F.col("open").alias("entry_open"))
     leave = panel.select(F.col("date").alias("exit_date"), "symbol", F.col("open").alias("exit_open"))
-    done = held.join(schedule, "date").join(entry, ["trade_date", "symbol"]).join(leave, ["exit_date", "symbol"])
+    done = held.join(schedule, [*keys, "date"]).join(entry, ["trade_date", "symbol"]).join(leave, ["exit_date", "symbol"])
     done = done.where("entry_open is not null and exit_open is not null")
     net = ratio("exit_open", "entry_open") - 1 - 2 * (cfg.fee_rate + cfg.slippage_rate)
     return done.withColumn("net_ret", net).withColumn("weighted_ret", F.col("target_weight") * F.col("net_ret"))
@@ -68,10 +70,10 @@ def with_equity(returns: DataFrame, ret: str = "portfolio_ret", output: str = "e
     return returns.withColumn(output, cumulative_product(1 + F.coalesce(F.col(ret), F.lit(0.0)), over))
 
 
-def backtest(panel: DataFrame, held: DataFrame, cfg: PortfolioConfig = PortfolioConfig()) -> DataFrame:
-    """(date, portfolio_ret, equity) by trade date."""
-    rows = trades(panel, held, cfg).groupBy(F.col("trade_date").alias("date")).agg(F.sum("weighted_ret").alias("portfolio_ret"))
-    return with_equity(rows)
+def backtest(panel: DataFrame, held: DataFrame, cfg: PortfolioConfig = PortfolioConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, date, portfolio_ret, equity) by trade date."""
+    rows = trades(panel, held, cfg, keys).groupBy(*keys, F.col("trade_date").alias("date")).agg(F.sum("weighted_ret").alias("portfolio_ret"))
+    return with_equity(rows, keys=keys)
 
 
 def metrics(portfolio: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

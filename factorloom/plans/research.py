@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import crosssection as xs
 from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
-from factorloom.sources.panel import benchmark_on, window_dates
+from factorloom.sources.panel import benchmark_on, between_dates, window_dates
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ class ResearchConfig:
     gate: scorecard.GateConfig = field(default_factory=scorecard.GateConfig)
     ridge_gate: scorecard.RidgeGate = scorecard.RidgeGate()
     boost: models.BoostConfig = models.BoostConfig()
+    ranker: models.RankerConfig = models.RankerConfig()
 
     @property
     def target(self) -> str:
@@ -129,8 +130,9 @@ def yearly_report(rows: DataFrame, features: list[str], cfg: ResearchConfig, ind
 def single_factor_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict[str, DataFrame]:
     """Yearly report, evaluation and whitelist of a window."""
     report = yearly_report(prepare(panel, features, cfg, start, end), features, cfg, index).cache()
-    evaluation = scorecard.evaluate(report, factors.registry(spark, features), cfg.gate)
-    return {"annual_report": report, "evaluation": evaluation, "whitelist": scorecard.whitelist(evaluation, cfg.gate)}
+    registry = factors.registry(spark, features)
+    evaluation = scorecard.evaluate(report, registry, cfg.gate)
+    return {"factor_registry": registry, "annual_report": report, "evaluation": evaluation, "whitelist": scorecard.whitelist(evaluation, cfg.gate)}
 
 
 def family_lab(spark: SparkSession, panel: DataFrame, family: str, cfg: ResearchConfig, start: str, end: str, index=None) -> DataFrame:
@@ -142,77 +144,181 @@ def family_lab(spark: SparkSession, panel: DataFrame, family: str, cfg: Research
 
 
 def splits(start: str, end: str, cfg: ResearchConfig) -> list[dict[str, str]]:
-    """Rolling windows: mining before training, training, testing; ends are not included."""
+    """Rolling windows: the first test begins at ``start``, training and mining lie before it; ends are not included."""
     out, at, last = [], date.fromisoformat(start), date.fromisoformat(end)
     while True:
-        train_end = add_months(at, cfg.train_months)
-        test_end = add_months(train_end, cfg.test_months)
+        train_start, test_end = add_months(at, -cfg.train_months), add_months(at, cfg.test_months)
         if (test_end - last).days > 1:
             return out
-        bounds = {"mining_start": add_months(at, -cfg.mining_months), "train_start": at, "train_end": train_end, "test_end": test_end}
+        bounds = {"mining_start": add_months(train_start, -cfg.mining_months), "train_start": train_start, "train_end": at, "test_end": test_end}
         out.append({"split_id": str(len(out) + 1), **{k: v.isoformat() for k, v in bounds.items()}})
         at = add_months(at, cfg.step_months)
 
 
-def _selected(panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig) -> dict:
-    """A split's rows and the features, with directions, chosen on the first part of its training window; the rest validates."""
-    rows = prepare(panel, features, cfg, split["train_start"], split["test_end"]).cache()
+_SCORED = ("date", "symbol", "open", "is_paused", "is_limit_up", "tradable_universe", "industry", "float_mv")
+
+
+def _phases(rows: DataFrame, split: dict[str, str], cfg: ResearchConfig) -> dict[str, DataFrame] | None:
+    """Tradable rows with a target of training, validation and test; None where a side has too few."""
+    rows = rows.where(F.col("tradable_universe") & F.col(cfg.target).isNotNull())
     window = window_dates(rows, split["train_start"], split["train_end"])
-    train, valid = models.chronological_split(window, cfg.valid_ratio, cfg.embargo_rows)
-    train = train.where("tradable_universe")
-    found = xs.with_direction(xs.select_features(xs.feature_diagnostics(train, features, cfg.target), cfg.min_rank_ic, top_k=cfg.top_k)).cache()
-    order = found.orderBy(F.abs("mean_rank_ic").desc_nulls_last(), "feature").collect()
-    chosen = xs.drop_correlated(train, [r.feature for r in order], cfg.max_corr)
-    directions = {r.feature: r.direction for r in order if r.feature in chosen}
     test = window_dates(rows, split["train_end"], split["test_end"])
-    sides = {"train": xs.orient(train, directions), "valid": xs.orient(valid, directions), "test": xs.orient(test, directions)}
-    return sides | {"diagnostics": found.where(F.col("feature").isin(chosen)), "chosen": chosen}
+    if window.count() < max(1, cfg.min_rows) or test.isEmpty() or window.select("date").distinct().limit(2).count() < 2:
+        return None
+    train, valid = models.chronological_split(window, cfg.valid_ratio, cfg.embargo_rows)
+    return {"train": train, "valid": valid, "test": test} if train.count() >= max(1, cfg.min_rows) else None
+
+
+def _modelled(phases: dict[str, DataFrame], names: list[str], cfg: ResearchConfig) -> dict:
+    """Ridge and ranker fitted on training (the ranker stops on validation), and both other phases scored."""
+    fit = models.fit_ridge(phases["train"], names, cfg.target, cfg.alpha)
+    ranker = models.fit_ranker(phases["train"], names, cfg.target, cfg.ranker, phases["valid"])
+    scored = {p: ranker.scores(phases[p].withColumn("ridge_score", fit.column()), "lgbm_score") for p in ("valid", "test")}
+    return {"fit": fit, "ranker": ranker, **scored}
+
+
+def _fit_table(spark: SparkSession, values: dict[str, float], name: str) -> DataFrame:
+    return spark.createDataFrame(list(values.items()), f"feature string, {name} double")
+
+
+def _phase_results(spark, panel, found: dict, names: list[str], cfg: ResearchConfig, index) -> dict[str, DataFrame]:
+    """Predictions, strategies, importances and the features' diagnostics of validation and test."""
+    ridge = _fit_table(spark, found["fit"].coefficients, "importance")
+    out = {"feature_importance_summary": importance_table(ridge, _fit_table(spark, found["ranker"].importance(), "importance"))}
+    for phase in ("valid", "test"):
+        scored = found[phase].select(*_SCORED, cfg.target, "ridge_score", "lgbm_score", *names)
+        out |= {f"predictions_{phase}": scored, f"feature_diagnostics_{phase}": xs.feature_diagnostics(scored, names, cfg.target)}
+        out |= strategies(panel, scored, cfg, index, f"{phase}_")
+    return out
 
 
-def fit_split(panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig) -> tuple[DataFrame, models.RidgeFit, list[str]]:
-    """Ridge scores of a split's test window, from features chosen on the first part of its training window."""
-    got = _selected(panel, features, split, cfg)
-    fit = models.fit_ridge(got["train"], got["chosen"], cfg.target, cfg.alpha)
-    test = got["test"].withColumn("ridge_score", fit.column())
-    return (xs.neutralize(test, "ridge_score") if cfg.neutralize else test), fit, got["chosen"]
+def chosen_features(train: DataFrame, listed: DataFrame, cfg: ResearchConfig) -> DataFrame:
+    """Whitelisted features with a mining rank IC of the least size (all, if none has), without those that correlate with a better one."""
+    found = listed.where(F.abs("mean_rank_ic_mean") >= cfg.min_rank_ic)
+    found = listed if found.isEmpty() else found
+    order = [r.feature for r in found.orderBy("priority_rank").select("feature", "priority_rank").collect()]  # one row per factor
+    return found.where(F.col("feature").isin(xs.drop_correlated(train, order, cfg.max_corr)))
 
 
-def run_split(spark: SparkSession, panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig, index=None) -> dict | None:
-    """A split from its mining window to strategies on validation and test; None where one of its windows has nothing to work on.
+def run_split(spark: SparkSession, panel: DataFrame, features: list[str], split: dict[str, str], cfg: ResearchConfig, index=None) -> dict | str:
+    """A split from its mining window to strategies on validation and test; a text where one of its windows has too little to work on.
 
-    Whitelist of the mining window -> diagnostics, de-dup and directions on the
-    training side -> ridge gate -> ridge and boosted scores.
+    Whitelist of the mining window (the best by quality score where it is empty)
+    -> features over the thresholds without correlated ones, in the mining's
+    directions -> ridge gate -> ridge and ranker scores.
     """
     mining = window_dates(panel, split["mining_start"], split["train_start"])
-    sides = window_dates(panel, split["train_start"], split["train_end"]), window_dates(panel, split["train_end"], split["test_end"])
-    if mining.isEmpty() or sides[1].isEmpty() or sides[0].select("date").distinct().limit(2).count() < 2:
-        return None
+    if mining.isEmpty():
+        return "no rows to mine"
     mined = single_factor_run(spark, panel, features, cfg, split["mining_start"], split["train_start"], index)
     mined = {k: v.cache() for k, v in mined.items()}
     listed = mined["whitelist"].orderBy("priority_rank").limit(cfg.top_k or len(features))
-    names = [r.feature for r in listed.select("feature", "priority_rank").orderBy("priority_rank").collect()]
-    got = _selected(panel, names, split, cfg)
-    screen = models.fit_ridge(got["train"], got["chosen"], cfg.target, cfg.alpha)
-    coefficients = spark.createDataFrame(list(screen.coefficients.items()), "feature string, coef double")
-    pool = scorecard.ranker_pool(coefficients, got["diagnostics"]).cache()
+    if listed.isEmpty():
+        count = max(1, cfg.top_k) if cfg.top_k else cfg.fallback_top_n
+        listed = scorecard.best_by_quality(mined["evaluation"], count)
+    listed = listed.cache()
+    names = sorted(r.feature for r in listed.select("feature").collect())
+    if not names:
+        return "no feature to start from"
+    rows = prepare(panel, names, cfg, split["train_start"], split["test_end"]).cache()
+    phases = _phases(rows, split, cfg)
+    if phases is None:
+        return "too few rows to train or test on"
+    selected = chosen_features(phases["train"], listed, cfg).cache()
+    chosen = {r.feature: r.direction for r in selected.select("feature", "direction").collect()}
+    oriented = {p: xs.orient(v, chosen) for p, v in phases.items()}
+    screen = models.fit_ridge(oriented["train"], sorted(chosen), cfg.target, cfg.alpha)
+    coefficients = scorecard.coefficient_table(_fit_table(spark, screen.coefficients, "coef"), selected).cache()
+    evidence = selected.select("feature", F.col("rank_ic_ir_mean").alias("rank_ic_ir"), "quality_score")
+    pool = scorecard.split_pool(coefficients.select("feature", "coef"), evidence).cache()
     kept = sorted(r.feature for r in pool.select("feature").collect())
-    valid_labelled = got["valid"].where("tradable_universe")
-    fit = models.fit_ridge(got["train"], kept, cfg.target, cfg.alpha)
-    trees = models.fit_boosted(got["train"], kept, cfg.target, cfg.boost, valid_labelled)
-    importance = spark.createDataFrame(models.boosted_importance(trees, kept), "feature string, importance double")
-    out = mined | {"coefficients": coefficients, "ranker_pool": pool, "boosted_importance": importance}
-    for phase in ("valid", "test"):
-        scored = models.boosted_scores(trees, got[phase].withColumn("ridge_score", fit.column()), kept)
-        scores = ["ridge_score", "gbt_score"]
-        if cfg.neutralize:
-            scored = xs.neutralize(xs.neutralize(scored, "ridge_score"), "gbt_score")
-            scores += ["ridge_score_neutralized", "gbt_score_neutralized"]
-        out[f"{phase}_scores"] = scored
-        for score in scores:
-            out |= {f"{phase}_{score}_{k}": v for k, v in strategy(panel, scored, score, cfg, index).items()}
+    found = _modelled(oriented, kept, cfg)
+    gate = {"selected_features": selected, "ridge_coefficients": coefficients, "ranker_pool": pool}
+    train = {"feature_diagnostics_train": xs.feature_diagnostics(phases["train"], names, cfg.target)}
+    return mined | gate | train | _phase_results(spark, panel, found, kept, cfg, index)
+
+
+def _over(spark, done: dict[str, dict], name: str, schema: str) -> DataFrame:
+    """(split_id, ...) of a small table of every split."""
+    out = spark.createDataFrame([], f"split_id int, {schema}")
+    for k, v in done.items():
+        out = out.unionByName(v[name].select(F.lit(int(k)).alias("split_id"), *[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]))
     return out
 
 
+def split_summary(done: dict[str, dict], windows: DataFrame) -> DataFrame | None:
+    """A row per split, phase and model: its window, metrics, excess over the universe and the index, and signal summary."""
+    parts = []
+    for k, v in done.items():
+        for phase in ("valid", "test"):
+            for model in ("ridge", "lgbm", "lgbm_neutralized"):
+                at = f"{phase}_{model}_"
+                if f"{at}metrics" not in v:
+                    continue
+                pick = lambda name, prefix="", columns=("annual_return_est", "sharpe_est"): v[name].select(*[F.col(c).alias(prefix + c) for c in columns])  # noqa: B023, E731
+                row = pick(f"{at}metrics", "", ("annual_return_est", "annual_vol_est", "sharpe_est", "max_drawdown"))
+                row = row.join(pick(f"{at}excess_metrics", "excess_"), how="left")  # one row each
+                for name, prefix in (("index_metrics", "official_index_"), ("index_excess_metrics", "official_index_excess_")):
+                    part = pick(at + name, prefix) if at + name in v else None
+                    row = row.join(part, how="left") if part is not None else row.withColumns({f"{prefix}{c}": F.lit(None).cast("double") for c in ("annual_return_est", "sharpe_est")})
+                row = row.join(pick(f"{at}signal_summary", "", ("mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")), how="left")
+                row = row.join(pick(f"{at}size_summary", "", ("mean_active_avg_log_float_mv",)), how="left")
+                parts.append(row.withColumns({"split_id": F.lit(int(k)), "phase": F.lit(phase), "model": F.lit(model)}))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return None if out is None else out.join(F.broadcast(windows.drop("skipped", "reason")), "split_id")  # one row per split
+
+
+def _windows(spark, windows: list[dict], results: dict) -> DataFrame:
+    bounds = ("mining_start", "train_start", "train_end", "test_end")
+    why = {k: v if isinstance(v, str) else None for k, v in results.items()}
+    rows = [(int(s["split_id"]), *(s[c] for c in bounds), why[s["split_id"]] is not None, why[s["split_id"]]) for s in windows]
+    return spark.createDataFrame(rows, f"split_id int, {', '.join(f'{b} string' for b in bounds)}, skipped boolean, reason string")
+
+
+def pools(spark: SparkSession, done: dict[str, dict], cfg: ResearchConfig) -> dict[str, DataFrame]:
+    """What the splits say together: frequencies, coefficient stability, screening, ridge screen, final pool."""
+    n = max(1, len(done))
+    whitelists = _over(spark, done, "whitelist", "feature string, quality_score double, latest_top_bucket_official_index_excess_annual_return_est double")
+    coefficients = _over(spark, done, "ridge_coefficients", "feature string, direction int, coef double, original_coef double")
+    ranked = _over(spark, done, "ranker_pool", "feature string")
+    selected, used = scorecard.selection_frequency(coefficients, n), scorecard.selection_frequency(ranked, n)
+    stable = scorecard.coefficient_stability(coefficients.select("split_id", "feature", F.col("original_coef").alias("coef")))
+    summary = scorecard.whitelist_summary(whitelists, n)
+    screen = scorecard.ridge_screen(summary, selected, stable, n, cfg.ridge_gate)
+    diagnostics = "feature string, mean_rank_ic double, rank_ic_ir double, positive_rank_ic_ratio double, mean_top_bottom_spread double"
+    phases = [_over(spark, done, f"feature_diagnostics_{p}", diagnostics).withColumn("phase", F.lit(p)) for p in ("valid", "test")]
+    best = scorecard.best_per_phase(phases[0].unionByName(phases[1]), "mean_rank_ic")
+    best = best.withColumnsRenamed({"feature": "best_feature", **{c.split()[0]: f"best_feature_{c.split()[0]}" for c in diagnostics.split(", ")[1:]}})
+    return {
+        "ridge_coefficients": coefficients, "ridge_coefficient_stability": stable, "selected_feature_frequency": selected, "lgbm_selected_feature_frequency": used,
+        "whitelist_summary": summary, "ridge_screen": screen, "lgbm_feature_pool": scorecard.final_pool(screen, used), "feature_screening_summary": best,
+    }
+
+
+def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
+    """All splits of the chain: results by split, then ``pools`` over them, ``split_summary``, and ``windows`` with why a split was skipped."""
+    windows = [clamp(s, cfg.data_start, cfg.data_end) for s in splits(start, end, cfg)]
+    results = {s["split_id"]: run_split(spark, panel, features, s, cfg, index) for s in windows}
+    done = {k: v for k, v in results.items() if not isinstance(v, str)}
+    table = _windows(spark, windows, results)
+    return {"splits": done, "windows": table, "split_summary": split_summary(done, table)} | pools(spark, done, cfg)
+
+
+def research_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
+    """Every split with all features as they are: models on training, strategies on validation and test, and their summary."""
+    windows = [clamp(s, cfg.data_start, cfg.data_end) for s in splits(start, end, cfg)]
+    results: dict = {}
+    for s in windows:
+        rows = prepare(panel, features, cfg, s["train_start"], s["test_end"]).cache()
+        phases = _phases(rows, s, cfg)
+        results[s["split_id"]] = "too few rows to train or test on" if phases is None else _phase_results(spark, panel, _modelled(phases, features, cfg), features, cfg, index)
+    done = {k: v for k, v in results.items() if not isinstance(v, str)}
+    table = _windows(spark, windows, results)
+    return {"splits": done, "windows": table, "split_summary": split_summary(done, table)}
+
+
 def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, middle: str, end: str, trials: int = 20, seed: int = 42) -> DataFrame:
     """Random search of the boosted trees: fitted on [start, middle), judged on [middle, end); a row per trial, the best first."""
     from dataclasses import asdict
@@ -227,37 +333,6 @@ def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: Re
     return spark.createDataFrame(table, "place int, config string, trees int, ndcg_20 double, ndcg_50 double")
 
 
-def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
-    """All splits: results by split; over them coefficients and their stability, selection frequencies, the final pool and the windows.
-
-    A split without rows to mine, train or test on is skipped, and ``windows`` says so.
-    """
-    windows = [clamp(s, cfg.data_start, cfg.data_end) for s in splits(start, end, cfg)]
-    results = {s["split_id"]: run_split(spark, panel, features, s, cfg, index) for s in windows}
-    status = [(int(s["split_id"]), *(s[c] for c in ("mining_start", "train_start", "train_end", "test_end")), results[s["split_id"]] is None) for s in windows]
-    done = {k: v for k, v in results.items() if v is not None}
-
-    def over(name: str, schema: str) -> DataFrame:
-        """(split_id, ...) of a small table of every split."""
-        out = spark.createDataFrame([], f"split_id int, {schema}")
-        for k, v in done.items():
-            out = out.unionByName(v[name].select(F.lit(int(k)).alias("split_id"), *out.columns[1:]))
-        return out
-
-    n = max(1, len(done))
-    coefficients = over("coefficients", "feature string, coef double")
-    whitelisted = over("whitelist", "feature string, quality_score double").groupBy("feature").agg(
-        F.count_distinct("split_id").alias("whitelist_splits"), F.avg("quality_score").alias("quality_score")
-    )
-    stable, chosen = scorecard.coefficient_stability(coefficients), scorecard.selection_frequency(coefficients, n)
-    ranker = scorecard.selection_frequency(over("ranker_pool", "feature string"), n)
-    return {
-        "splits": done, "coefficients": coefficients, "coefficient_stability": stable, "selection_frequency": chosen, "ranker_frequency": ranker,
-        "final_pool": scorecard.final_pool(whitelisted, chosen, stable, ranker, min_ratio=0.5 if n > 1 else 1.0),
-        "windows": spark.createDataFrame(status, "split_id int, mining_start string, train_start string, train_end string, test_end string, skipped boolean"),
-    }
-
-
 def rolling_scores(rows: DataFrame, features: list[str], cfg: ResearchConfig) -> dict[str, DataFrame]:
     """A ridge fit for each rebalance date on the ``train_dates`` dates before it: ``fits``, and ``scores`` of that date's rows with a target.
 
@@ -328,3 +403,38 @@ def strategies(panel: DataFrame, scored: DataFrame, cfg: ResearchConfig, index=N
     for t in tables[1:]:
         table = table.unionByName(t)
     return out | {f"{prefix}metrics": table}
+
+
+#: The grid that is compared by default: name, horizon, weeks between rebalances.
+EXPERIMENTS = (("10d_weekly", 10, 1), ("20d_weekly", 20, 1), ("20d_biweekly", 20, 2))
+
+
+def horizon_matrix(panel: DataFrame, features: list[str], cfg: ResearchConfig, experiments=EXPERIMENTS, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
+    """Variants of horizon and rebalancing side by side: ``predictions``, ``portfolio`` and ``summary``, a row per experiment.
+
+    A horizon's rolling ridge fits serve all its variants; positions, trades, equity
+    and metrics of all variants are one plan, told apart by ``experiment``.
+    ``start`` and ``end`` (both included) bound the rebalance dates.
+    """
+    from dataclasses import replace as with_
+
+    horizons = sorted({h for _, h, _ in experiments})
+    rows = labels.add_universe(labels.add_labels(panel, tuple(horizons)), cfg.min_listed_days, cfg.min_amount)
+    rows = factors.add_factors(rows, features, as_float=False)
+    parts = []
+    for h in horizons:
+        own = with_(cfg, horizon=h)
+        scores = rolling_scores(rows, features, own)["scores"].select("date", "symbol", "tradable_universe", "ridge_score")
+        days = labels.rebalance_dates(rows.where(F.col("tradable_universe") & F.col(own.target).isNotNull()), cfg.portfolio.rebalance_weekday)
+        days = between_dates(days, start, end)
+        for name, _, every in [e for e in experiments if e[1] == h]:
+            kept = labels.every_nth_date(days, every)
+            parts.append(scores.join(kept, "date", "left_semi").withColumns({"experiment": F.lit(name), "horizon": F.lit(h), "rebalance_every_n_weeks": F.lit(every)}))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    keys = ("experiment",)
+    held = portfolio.positions(scored, "ridge_score", cfg.portfolio, scored.select("experiment", "date").distinct(), keys)
+    book = portfolio.backtest(rows, held, cfg.portfolio, keys)
+    counts = scored.groupBy("experiment", "horizon", "rebalance_every_n_weeks").agg(F.count_distinct("date").alias("prediction_dates"))
+    return {"predictions": scored, "portfolio": book, "summary": counts.join(portfolio.metrics(book, keys), "experiment", "left")}

@@ -178,17 +178,6 @@ def official_benchmark(spark: SparkSession, dates: DataFrame, index_code: str =
     return benchmark_on(found, dates)
 
 
-def write_results(frames: dict[str, DataFrame], folder: str, fmt: str = "csv", one_file: bool = True) -> None:
-    """Each result under its name: CSV with a header, JSON lines or Parquet.
-
-    ``one_file`` is for reports of bounded size; without it large results are written by all tasks.
-    """
-    for name, frame in frames.items():
-        nested = [f.name for f in frame.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-        flat = frame.withColumns({c: F.to_json(c) for c in nested}) if fmt == "csv" else frame
-        getattr((flat.coalesce(1) if one_file else flat).write.mode("overwrite"), fmt)(f"{folder}/{name}", **({"header": True} if fmt == "csv" else {}))
-
-
 def write_run_config(cfg, path: str) -> None:
     """A run's configuration as JSON."""
     from dataclasses import asdict

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,30 +31,34 @@ class RawStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: dict[tuple[str, int], list] = {}  # manifests do not change
 
     # Versions
 
-    def _manifests(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(f"{_MANIFEST}, v int").parquet(f"{self.root}/{name}/manifest")
-        except AnalysisException:
-            return None
-
     def version(self, name: str) -> int:
-        """The current version, 0 if there is no such table."""
-        found = self._manifests(name)
-        return 0 if found is None else found.agg(F.max("v")).head()[0] or 0
+        """The current version, 0 if there is no such table: the last manifest that was written whole."""
+        fs, at = self._fs(f"{self.root}/{name}/manifest")
+        if not fs.exists(at):
+            return 0
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("v=")]
+        numbers = sorted((int(p.getName()[2:]) for p in found), reverse=True)
+        return next((n for n in numbers if fs.exists(path(f"{self.root}/{name}/manifest/v={n}/_SUCCESS"))), 0)
+
+    def _manifest(self, name: str, version: int | None = None) -> list:
+        version = self.version(name) if version is None else version
+        if version and (name, version) not in self._seen:
+            self._seen[name, version] = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/{name}/manifest/v={version}").collect()  # one row per month
+        return self._seen.get((name, version), [])
 
     def parts(self, name: str, version: int | None = None) -> dict[str, tuple[str, int]]:
         """Folder and number of rows of each part of a version (the current one by default)."""
-        version = self.version(name) if version is None else version
-        rows = self._manifests(name).where(F.col("v") == version).collect() if version else []  # one row per month
-        return {r.part: (r.path, r.row_count) for r in rows if r.part is not None}
+        return {r.part: (r.path, r.row_count) for r in self._manifest(name, version) if r.part is not None}
 
     def exists(self, name: str) -> bool:
-        """A dropped table's last manifest has no parts and a row without one."""
-        version = self.version(name)
-        return bool(version) and self._manifests(name).where((F.col("v") == version) & (F.col("path") == "dropped")).isEmpty()
+        """A dropped table's last manifest has no parts and says so."""
+        rows = self._manifest(name)
+        return bool(rows) and rows[0].path != "dropped"
 
     def names(self) -> list[str]:
         """All tables under the folder, those of no known name too."""
