@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.lineage import cut
 from factorloom.operators import crosssection as xs
 from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
 from factorloom.sources.panel import benchmark_on, between_dates, window_dates
@@ -77,23 +78,28 @@ def prepare(panel: DataFrame, features: list[str], cfg: ResearchConfig, start: s
 
 
 def strategy(panel: DataFrame, scored: DataFrame, score: str, cfg: ResearchConfig, index: DataFrame | None = None, dates: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All results of one score: signal, buckets, positions, backtest, excess, exposures and their metrics."""
+    """All results of one score: signal, buckets, positions, backtest, excess, exposures and their metrics.
+
+    What several results rest on is written once: positions, curves and daily
+    statistics, a row per date or per date and name held.
+    """
     days = labels.rebalance_dates(scored, cfg.portfolio.rebalance_weekday) if dates is None else dates
-    held = portfolio.positions(scored, score, cfg.portfolio, days)
-    book = portfolio.backtest(panel, held, cfg.portfolio)
-    bench = portfolio.backtest(panel, portfolio.universe_positions(scored, dates=days), cfg.portfolio)
+    days = cut(days, "days")
+    held = cut(portfolio.positions(scored, score, cfg.portfolio, days), "positions")
+    book = cut(portfolio.backtest(panel, held, cfg.portfolio), "portfolio")
+    bench = cut(portfolio.backtest(panel, portfolio.universe_positions(scored, dates=days), cfg.portfolio), "benchmark")
     over = portfolio.excess(book, bench)
-    daily = xs.daily_signal(scored, score, cfg.target, cfg.buckets)
+    daily = cut(xs.daily_signal(scored, score, cfg.target, cfg.buckets), "signal")
     industry = portfolio.industry_exposure(scored, held)
-    size = portfolio.size_exposure(scored, held)
+    size = cut(portfolio.size_exposure(scored, held), "size")
     out = {
         "signal_daily": daily, "signal_summary": xs.signal_summary(daily), "bucket_returns": xs.bucket_returns(scored, score, cfg.target, cfg.buckets),
-        "positions": held, "portfolio": book, "metrics": portfolio.metrics(book), "benchmark": bench, "excess": over, "excess_metrics": portfolio.metrics(over),
+        "positions": held, "portfolio": book, "metrics": portfolio.metrics(book), "benchmark": bench, "benchmark_metrics": portfolio.metrics(bench), "excess": over, "excess_metrics": portfolio.metrics(over),
         "industry_exposure": industry, "industry_summary": portfolio.industry_summary(industry), "size_exposure": size,
         "size_summary": portfolio.size_summary(size),
     }
     if index is not None:
-        on = benchmark_on(index, book)
+        on = cut(benchmark_on(index, book), "index")
         vs = portfolio.excess(book, on, "benchmark_ret")
         out |= {"index": on, "index_metrics": portfolio.index_metrics(on), "index_excess": vs, "index_excess_metrics": portfolio.metrics(vs)}
     return out
@@ -129,9 +135,9 @@ def yearly_report(rows: DataFrame, features: list[str], cfg: ResearchConfig, ind
 
 def single_factor_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict[str, DataFrame]:
     """Yearly report, evaluation and whitelist of a window."""
-    report = yearly_report(prepare(panel, features, cfg, start, end), features, cfg, index).cache()
+    report = cut(yearly_report(prepare(panel, features, cfg, start, end), features, cfg, index), "annual_report")
     registry = factors.registry(spark, features)
-    evaluation = scorecard.evaluate(report, registry, cfg.gate)
+    evaluation = cut(scorecard.evaluate(report, registry, cfg.gate), "evaluation")
     return {"factor_registry": registry, "annual_report": report, "evaluation": evaluation, "whitelist": scorecard.whitelist(evaluation, cfg.gate)}
 
 
@@ -186,8 +192,8 @@ def _phase_results(spark, panel, found: dict, names: list[str], cfg: ResearchCon
     ridge = _fit_table(spark, found["fit"].coefficients, "importance")
     out = {"feature_importance_summary": importance_table(ridge, _fit_table(spark, found["ranker"].importance(), "importance"))}
     for phase in ("valid", "test"):
-        scored = found[phase].select(*_SCORED, cfg.target, "ridge_score", "lgbm_score", *names)
-        out |= {f"predictions_{phase}": scored, f"feature_diagnostics_{phase}": xs.feature_diagnostics(scored, names, cfg.target)}
+        scored = cut(found[phase].select(*_SCORED, cfg.target, "ridge_score", "lgbm_score", *names), "predictions")
+        out |= {f"predictions_{phase}": scored, f"feature_diagnostics_{phase}": cut(xs.feature_diagnostics(scored, names, cfg.target), "diagnostics")}
         out |= strategies(panel, scored, cfg, index, f"{phase}_")
     return out
 
@@ -211,26 +217,25 @@ def run_split(spark: SparkSession, panel: DataFrame, features: list[str], split:
     if mining.isEmpty():
         return "no rows to mine"
     mined = single_factor_run(spark, panel, features, cfg, split["mining_start"], split["train_start"], index)
-    mined = {k: v.cache() for k, v in mined.items()}
     listed = mined["whitelist"].orderBy("priority_rank").limit(cfg.top_k or len(features))
     if listed.isEmpty():
         count = max(1, cfg.top_k) if cfg.top_k else cfg.fallback_top_n
         listed = scorecard.best_by_quality(mined["evaluation"], count)
-    listed = listed.cache()
+    listed = cut(listed, "listed")
     names = sorted(r.feature for r in listed.select("feature").collect())
     if not names:
         return "no feature to start from"
-    rows = prepare(panel, names, cfg, split["train_start"], split["test_end"]).cache()
+    rows = cut(prepare(panel, names, cfg, split["train_start"], split["test_end"]), "rows")
     phases = _phases(rows, split, cfg)
     if phases is None:
         return "too few rows to train or test on"
-    selected = chosen_features(phases["train"], listed, cfg).cache()
+    selected = cut(chosen_features(phases["train"], listed, cfg), "selected")
     chosen = {r.feature: r.direction for r in selected.select("feature", "direction").collect()}
     oriented = {p: xs.orient(v, chosen) for p, v in phases.items()}
     screen = models.fit_ridge(oriented["train"], sorted(chosen), cfg.target, cfg.alpha)
-    coefficients = scorecard.coefficient_table(_fit_table(spark, screen.coefficients, "coef"), selected).cache()
+    coefficients = cut(scorecard.coefficient_table(_fit_table(spark, screen.coefficients, "coef"), selected), "coefficients")
     evidence = selected.select("feature", F.col("rank_ic_ir_mean").alias("rank_ic_ir"), "quality_score")
-    pool = scorecard.split_pool(coefficients.select("feature", "coef"), evidence).cache()
+    pool = cut(scorecard.split_pool(coefficients.select("feature", "coef"), evidence), "pool")
     kept = sorted(r.feature for r in pool.select("feature").collect())
     found = _modelled(oriented, kept, cfg)
     gate = {"selected_features": selected, "ridge_coefficients": coefficients, "ranker_pool": pool}
@@ -246,28 +251,33 @@ def _over(spark, done: dict[str, dict], name: str, schema: str) -> DataFrame:
     return out
 
 
-def split_summary(done: dict[str, dict], windows: DataFrame) -> DataFrame | None:
+#: Results that a split's summary takes from a strategy: the prefix of each column, and which ones.
+_SUMMARY = {
+    "metrics": ("", ("annual_return_est", "annual_vol_est", "sharpe_est", "max_drawdown")), "excess_metrics": ("excess_", ("annual_return_est", "sharpe_est")),
+    "index_metrics": ("official_index_", ("annual_return_est", "sharpe_est")), "index_excess_metrics": ("official_index_excess_", ("annual_return_est", "sharpe_est")),
+    "signal_summary": ("", ("mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")), "size_summary": ("", ("mean_active_avg_log_float_mv",)),
+}
+
+
+def split_summary(spark: SparkSession, done: dict[str, dict], windows: DataFrame) -> DataFrame | None:
     """A row per split, phase and model: its window, metrics, excess over the universe and the index, and signal summary."""
-    parts = []
+    names = [prefix + c for prefix, columns in _SUMMARY.values() for c in columns]
+    rows = []
     for k, v in done.items():
         for phase in ("valid", "test"):
             for model in ("ridge", "lgbm", "lgbm_neutralized"):
-                at = f"{phase}_{model}_"
-                if f"{at}metrics" not in v:
+                if f"{phase}_{model}_metrics" not in v:
                     continue
-                pick = lambda name, prefix="", columns=("annual_return_est", "sharpe_est"): v[name].select(*[F.col(c).alias(prefix + c) for c in columns])  # noqa: B023, E731
-                row = pick(f"{at}metrics", "", ("annual_return_est", "annual_vol_est", "sharpe_est", "max_drawdown"))
-                row = row.join(pick(f"{at}excess_metrics", "excess_"), how="left")  # one row each
-                for name, prefix in (("index_metrics", "official_index_"), ("index_excess_metrics", "official_index_excess_")):
-                    part = pick(at + name, prefix) if at + name in v else None
-                    row = row.join(part, how="left") if part is not None else row.withColumns({f"{prefix}{c}": F.lit(None).cast("double") for c in ("annual_return_est", "sharpe_est")})
-                row = row.join(pick(f"{at}signal_summary", "", ("mean_rank_ic", "rank_ic_ir", "positive_rank_ic_ratio", "mean_top_bottom_spread")), how="left")
-                row = row.join(pick(f"{at}size_summary", "", ("mean_active_avg_log_float_mv",)), how="left")
-                parts.append(row.withColumns({"split_id": F.lit(int(k)), "phase": F.lit(phase), "model": F.lit(model)}))
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return None if out is None else out.join(F.broadcast(windows.drop("skipped", "reason")), "split_id")  # one row per split
+                values: list[float | None] = []
+                for part, (_, columns) in _SUMMARY.items():
+                    found = v.get(f"{phase}_{model}_{part}")
+                    row = found.select(*columns).head() if found is not None else None  # one row each
+                    values += [None if row is None or row[c] is None else float(row[c]) for c in columns]
+                rows.append((int(k), phase, model, *values))
+    if not rows:
+        return None
+    table = spark.createDataFrame(rows, f"split_id int, phase string, model string, {', '.join(f'{n} double' for n in names)}")
+    return windows.drop("skipped", "reason").join(table, "split_id")
 
 
 def _windows(spark, windows: list[dict], results: dict) -> DataFrame:
@@ -303,7 +313,7 @@ def factor_chain_run(spark: SparkSession, panel: DataFrame, features: list[str],
     results = {s["split_id"]: run_split(spark, panel, features, s, cfg, index) for s in windows}
     done = {k: v for k, v in results.items() if not isinstance(v, str)}
     table = _windows(spark, windows, results)
-    return {"splits": done, "windows": table, "split_summary": split_summary(done, table)} | pools(spark, done, cfg)
+    return {"splits": done, "windows": table, "split_summary": split_summary(spark, done, table)} | pools(spark, done, cfg)
 
 
 def research_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, end: str, index=None) -> dict:
@@ -311,12 +321,11 @@ def research_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg
     windows = [clamp(s, cfg.data_start, cfg.data_end) for s in splits(start, end, cfg)]
     results: dict = {}
     for s in windows:
-        rows = prepare(panel, features, cfg, s["train_start"], s["test_end"]).cache()
-        phases = _phases(rows, s, cfg)
+        phases = _phases(cut(prepare(panel, features, cfg, s["train_start"], s["test_end"]), "rows"), s, cfg)
         results[s["split_id"]] = "too few rows to train or test on" if phases is None else _phase_results(spark, panel, _modelled(phases, features, cfg), features, cfg, index)
     done = {k: v for k, v in results.items() if not isinstance(v, str)}
     table = _windows(spark, windows, results)
-    return {"splits": done, "windows": table, "split_summary": split_summary(done, table)}
+    return {"splits": done, "windows": table, "split_summary": split_summary(spark, done, table)}
 
 
 def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, middle: str, end: str, trials: int = 20, seed: int = 42) -> DataFrame:
@@ -352,31 +361,26 @@ def retrain(spark: SparkSession, panel: DataFrame, features: list[str], cfg: Res
     Ridge fits of all dates are one plan. The ranker is a fit per rebalance
     date (``folds``: of the last so many only); both score the same dates.
     """
-    rows = prepare(panel, features, cfg, start, end).cache()
-    try:
-        found = rolling_scores(rows, features, cfg)
-        fits = found["fits"].cache()
-        windows = fits.orderBy("date").collect()[-folds if folds else 0 :]  # one row per rebalance date
-        if not windows:
-            raise ValueError("no date has enough dates and rows before it to train on")
-        modeling = rows.where(F.col("tradable_universe") & F.col(cfg.target).isNotNull())
-        parts, importance = [], []
-        for w in windows:
-            ranker = models.fit_ranker(modeling.where(F.col("date").between(w["first"], w["last"])), features, cfg.target, cfg.ranker)
-            parts.append(ranker.scores(found["scores"].where(F.col("date") == w["date"]), output="lgbm_score"))
-            importance += [(str(w["date"]), f, v) for f, v in ranker.importance().items()]
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-        kept = ["date", "symbol", "open", "is_paused", "is_limit_up", "tradable_universe", "industry", "float_mv", cfg.target, "ridge_score", "lgbm_score"]
-        scored = scored.select(*kept).cache()
-        ridge = moments.fit_coefficients(fits, features, "date").select("feature", F.col("coef").alias("importance"))
-        gain = spark.createDataFrame(importance, "date string, feature string, importance double")
-        out = {"predictions": scored, "feature_importance_summary": importance_table(ridge, gain)}
-        out |= strategies(rows, scored, cfg, index)
-        return out
-    finally:
-        rows.unpersist()
+    rows = cut(prepare(panel, features, cfg, start, end), "rows")
+    found = rolling_scores(rows, features, cfg)
+    fits = cut(found["fits"], "fits")
+    windows = fits.select("date", "first", "last").orderBy("date").collect()[-folds if folds else 0 :]  # one row per rebalance date
+    if not windows:
+        raise ValueError("no date has enough dates and rows before it to train on")
+    modeling = rows.where(F.col("tradable_universe") & F.col(cfg.target).isNotNull())
+    scores = modeling.join(fits.select("date", "intercept", "coefficients"), "date").withColumn("ridge_score", moments.fitted_score(features))
+    parts, importance = [], []
+    for w in windows:
+        ranker = models.fit_ranker(modeling.where(F.col("date").between(w["first"], w["last"])), features, cfg.target, cfg.ranker)
+        parts.append(cut(ranker.scores(scores.where(F.col("date") == w["date"])).select(*_SCORED, cfg.target, "ridge_score", "lgbm_score"), "fold"))
+        importance += [(str(w["date"]), f, v) for f, v in ranker.importance().items()]
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    scored = cut(scored, "predictions")
+    ridge = moments.fit_coefficients(fits, features, "date").select("feature", F.col("coef").alias("importance"))
+    gain = spark.createDataFrame(importance, "date string, feature string, importance double")
+    return {"predictions": scored, "feature_importance_summary": importance_table(ridge, gain)} | strategies(rows, scored, cfg, index)
 
 
 def importance_table(ridge: DataFrame, gain: DataFrame) -> DataFrame:
