@@ -38,7 +38,8 @@ def add_relevance(rows: DataFrame, target: str, output: str = "relevance", bins:
     """0-based quantile bucket of the target per date, in at most ``bins`` and at least 2; no target: 0."""
     day = Window.partitionBy("date")
     r, n = first_rank(target, ["date"]), F.count(target).over(day)
-    distinct = F.size(F.collect_set(target).over(day))
-    q = F.greatest(F.lit(2), F.least(F.lit(bins), distinct))
-    staged = rows.withColumns({"__r": r, "__n": n, "__q": q})
+    place = F.dense_rank().over(Window.partitionBy("date", F.col(target).isNull()).orderBy(target))
+    staged = rows.withColumns({"__r": r, "__n": n, "__p": F.when(F.col(target).isNotNull(), place)})
+    distinct = F.coalesce(F.max("__p").over(day), F.lit(0))  # the last place is the number of distinct values
+    staged = staged.withColumn("__q", F.greatest(F.lit(2), F.least(F.lit(bins), distinct))).drop("__p")
     return staged.withColumn(output, F.coalesce(bucket("__r", "__n", "__q") - 1, F.lit(0))).drop("__r", "__n", "__q")

@@ -171,17 +171,18 @@ def ranker_pool(coefficients: DataFrame, diagnostics: DataFrame, keys: tuple[str
     return rows.withColumn("pool_score", score).withColumn("__cut", cut).where("pool_score >= __cut").drop("__cut")
 
 
-def split_pool(coefficients: DataFrame, evidence: DataFrame, keep_quantile: float = 0.5) -> DataFrame:
-    """A split's features with their ridge_split_score, those at or over its quantile.
+def split_pool(coefficients: DataFrame, evidence: DataFrame, keep_quantile: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A split's features with their ridge_split_score, those at or over its quantile (within ``keys`` where given).
 
     .60 percent rank of the oriented coefficient's size, .25 of the mining rank
     IC ratio's size, .15 if the oriented coefficient is positive. One row is
     always at the quantile or over it, so no fall-back is needed.
     """
-    rows = coefficients.join(evidence, "feature", "left").withColumns({"abs_coef": F.abs("coef"), "abs_ir": F.abs("rank_ic_ir")})
-    score = 0.60 * percent_rank_average("abs_coef") + 0.25 * percent_rank_average("abs_ir") + 0.15 * F.coalesce((F.col("coef") > 0).cast("double"), F.lit(0.0))
+    rows = coefficients.join(evidence, [*keys, "feature"], "left").withColumns({"abs_coef": F.abs("coef"), "abs_ir": F.abs("rank_ic_ir")})
+    part = [F.col(k) for k in keys] or None
+    score = 0.60 * percent_rank_average("abs_coef", part) + 0.25 * percent_rank_average("abs_ir", part) + 0.15 * F.coalesce((F.col("coef") > 0).cast("double"), F.lit(0.0))
     rows = rows.withColumn("ridge_split_score", score)
-    cut = F.percentile("ridge_split_score", keep_quantile).over(Window.partitionBy())  # one row per factor
+    cut = F.percentile("ridge_split_score", keep_quantile).over(Window.partitionBy(*keys))  # one row per factor
     return rows.withColumn("__cut", cut).where("ridge_split_score >= __cut").drop("__cut")
 
 

@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.functions.lineage import cut
 from factorloom.sources.panel import FILED
 from factorloom.sources.tables import read_table
 
@@ -66,12 +67,18 @@ def duck_ctes(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_spell(_CTES[n], DUCK)})" for n in _CTES if n in wanted)
 
 
-def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the raw tables as a DataFrame."""
+def raw_table(spark: SparkSession, sf_dir: str, name: str, wk: DataFrame | None = None) -> DataFrame:
+    """One of the raw tables as a DataFrame; ``wk``: the weekly bars that several are derived from, where they are there already."""
     text = _spell(_CTES[name], SPARK)
     for s in (*_SOURCES, "wk"):
         text = re.sub(rf"(FROM|JOIN) {s}\b", rf"\1 {{{s}}}", text)
     used = {s: read_table(spark, sf_dir, s) for s in _SOURCES if "{" + s + "}" in text}
     if "{wk}" in text:
-        used["wk"] = raw_table(spark, sf_dir, "wk")
+        used["wk"] = raw_table(spark, sf_dir, "wk") if wk is None else wk
     return spark.sql(text, **used)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Several raw tables over weekly bars that are derived and written once."""
+    wk = cut(raw_table(spark, sf_dir, "wk"), "wk")
+    return {n: raw_table(spark, sf_dir, n, wk) for n in names}

@@ -9,12 +9,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.lineage import cut
 from factorloom.functions.windows import rounded
 from factorloom.operators import crosssection as xs
 from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
 from factorloom.plans import oracle as o
 from factorloom.plans import research
-from factorloom.plans.fixtures import duck_ctes, raw_table
+from factorloom.plans.fixtures import duck_ctes, raw_table, raw_tables
 from factorloom.sources import panel as panels
 from factorloom.sources import store
 from factorloom.sources.asof import as_of, as_of_dates
@@ -188,7 +189,7 @@ SELECT feature, count(DISTINCT date) AS coverage_dates, round(avg(pearson_ic), 6
   round({o.info_ratio("pearson_ic")}, 6) AS ic_ir, round({o.info_ratio("rank_ic")}, 6) AS rank_ic_ir,
   CASE WHEN avg(rank_ic) < 0 THEN -1 ELSE 1 END AS direction FROM fd GROUP BY feature""")
 def feature_diagnostics(spark, sf_dir):
-    found = xs.with_direction(xs.feature_diagnostics(_gappy(spark, sf_dir), ["ret_5", "price_zscore_20"], TARGET, batch=1))
+    found = xs.with_direction(xs.feature_diagnostics(_gappy(spark, sf_dir), ["ret_5", "price_zscore_20"], TARGET))
     return found.select("feature", "coverage_dates", "direction", *rounds(*_SUMMARY))
 
 
@@ -375,7 +376,7 @@ def size_summary(spark, sf_dir):
 # Raw tables
 
 def raw_panel(spark, sf_dir, **dates):
-    t = {n: raw_table(spark, sf_dir, n).cache() for n in ("daily_kline", "daily_basic", "stock_basic", "index_weight", "filings_raw")}
+    t = raw_tables(spark, sf_dir, ("daily_kline", "daily_basic", "stock_basic", "index_weight", "filings_raw"))
     return panels.build_panel(t["daily_kline"], t["daily_basic"], t["stock_basic"], t["index_weight"], store.clean_filings(t["filings_raw"]), **dates)
 
 
@@ -438,10 +439,14 @@ def q_trade_dates(spark, sf_dir):
     return store.trade_dates(raw_table(spark, sf_dir, "daily_kline"))
 
 
-@query("month_windows", """SELECT strftime(greatest(m, DATE '1999-11-15'), '%Y%m%d') AS first, strftime(least(last_day(m), DATE '2000-03-10'), '%Y%m%d') AS last
-FROM (SELECT unnest(generate_series(DATE '1999-11-01', DATE '2000-03-10', INTERVAL 1 MONTH))::DATE AS m)""")
+@query("month_windows", """WITH b AS (SELECT min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS z FROM lineitem)
+SELECT strftime(greatest(m, a), '%Y%m%d') AS first, strftime(least(last_day(m), z), '%Y%m%d') AS last
+FROM (SELECT a, z, unnest(generate_series(date_trunc('month', a)::DATE, z, INTERVAL 1 MONTH))::DATE AS m FROM b)""")
 def q_month_windows(spark, sf_dir):
-    return store.month_windows(spark, "19991115", "20000310")
+    """The months that a refresh of all the table's dates goes through."""
+    text = lambda c: F.date_format(c, "yyyyMMdd")
+    first, last = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(text(F.min("l_shipdate")), text(F.max("l_shipdate"))).head()
+    return store.month_windows(spark, first, last)
 
 
 @query("table_status", f"WITH {duck_ctes('daily_kline')} SELECT count(*) AS row_count, min(trade_date) AS min_date, max(trade_date) AS max_date, count(DISTINCT trade_date) AS date_count FROM daily_kline")
@@ -701,6 +706,83 @@ def best_per_phase(spark, sf_dir):
     return scorecard.best_per_phase(rows).select("split_id", "phase", "feature", rounded("sharpe_est").alias("sharpe_est"))
 
 
+_SCREEN = f"""{_SPLITS}, sn AS (SELECT count(DISTINCT split_id) AS n FROM co), wh AS (SELECT split_id, feature, positive_rank_ic_ratio AS quality, rank_ic_ir AS latest FROM co WHERE abs(rank_ic_ir) >= 0.02),
+wm AS (SELECT feature, count(DISTINCT split_id) AS whitelist_count, avg(quality) AS quality_score, avg(latest) AS latest, count(DISTINCT split_id) / n AS whitelist_rate FROM wh, sn GROUP BY feature, n),
+sf AS (SELECT feature, count(DISTINCT split_id) / n AS selection_rate FROM co, sn WHERE coef > 0 GROUP BY feature, n),
+cv AS (SELECT feature, stddev_samp(original_coef) / nullif(avg(abs(original_coef)), 0) AS cv FROM co WHERE coef > 0 GROUP BY feature),
+rp AS (SELECT split_id, feature, 0.60 * {_pct("abs(coef)", "split_id")} + 0.25 * {_pct("abs(rank_ic_ir)", "split_id")} + CASE WHEN coef > 0 THEN 0.15 ELSE 0 END AS score FROM co),
+rq AS (SELECT feature, count(DISTINCT split_id) AS used FROM (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY split_id) AS cut FROM rp) WHERE score >= cut GROUP BY feature),
+sr AS (SELECT feature, whitelist_count, quality_score, latest, whitelist_rate, coalesce(selection_rate, 0) AS selection_rate, cv,
+         coalesce(selection_rate, 0) >= CASE WHEN n > 1 THEN 0.5 ELSE 1.0 END AND coalesce(cv, 0) <= 1.5 AS pass_ridge_gate FROM wm LEFT JOIN sf USING (feature) LEFT JOIN cv USING (feature), sn)"""
+
+
+def _screened(spark, sf_dir):
+    """The ridge screen over yearly splits, and how often each feature is in a split's pool."""
+    rows = cut(_splits(spark, sf_dir), "splits")
+    n = rows.select("split_id").distinct().count()
+    listed = rows.where(F.abs("rank_ic_ir") >= 0.02).select("split_id", "feature", F.col("positive_rank_ic_ratio").alias("quality_score"), F.col("rank_ic_ir").alias(f"latest_{_EX}"))
+    chosen = rows.where("coef > 0")
+    stable = scorecard.coefficient_stability(chosen.select("split_id", "feature", F.col("original_coef").alias("coef")))
+    screen = scorecard.ridge_screen(scorecard.whitelist_summary(listed, n), scorecard.selection_frequency(chosen, n), stable, n)
+    pool = scorecard.split_pool(rows.select("split_id", "feature", "coef"), rows.select("split_id", "feature", "rank_ic_ir"), keys=("split_id",))
+    return screen, scorecard.selection_frequency(pool, n)
+
+
+@query("ridge_screen", f"{_SCREEN} SELECT feature, whitelist_count, pass_ridge_gate, {o.rounds(('whitelist_rate', 'quality_score', 'selection_rate'))}, round(cv, 5) AS ridge_original_coef_cv FROM sr")
+def q_ridge_screen(spark, sf_dir):
+    screen, _ = _screened(spark, sf_dir)
+    return screen.select("feature", "whitelist_count", "pass_ridge_gate", *rounds("whitelist_rate", "quality_score", "selection_rate"), *rounds("ridge_original_coef_cv", digits=5))
+
+
+@query("final_pool", f"{_SCREEN} SELECT feature, pass_ridge_gate, used AS lgbm_selection_count, round(used / n, 6) AS lgbm_selection_rate, 'used_by_lgbm' AS final_status FROM sr JOIN rq USING (feature), sn")
+def q_final_pool(spark, sf_dir):
+    found = scorecard.final_pool(*_screened(spark, sf_dir))
+    return found.select("feature", "pass_ridge_gate", "lgbm_selection_count", *rounds("lgbm_selection_rate"), "final_status")
+
+
+# A grid of horizons and rebalancing
+
+def _grid(h: int) -> str:
+    """Rolling ridge scores for one horizon, names ending in it."""
+    solved = _solved(f"rk{h}").replace("cn AS", f"cn{h} AS").replace("FROM cn)", f"FROM cn{h})").replace("so AS", f"so{h} AS").replace("FROM so)", f"FROM so{h})").replace("fi AS", f"fi{h} AS")
+    return f"""tr{h} AS (SELECT date, symbol, coalesce(score, 0) AS x1, coalesce(z, 0) AS x2, t{h} AS y FROM hz WHERE ok AND t{h} IS NOT NULL),
+ds{h} AS (SELECT date, count(*)::DOUBLE AS n, sum(y) AS y, sum(x1) AS x1, sum(x2) AS x2, sum(x1 * y) AS p1, sum(x2 * y) AS p2, sum(x1 * x1) AS q11, sum(x2 * x2) AS q22, sum(x1 * x2) AS q12 FROM tr{h} GROUP BY date),
+ro{h} AS (SELECT date, row_number() OVER (ORDER BY date) AS k, {_sums(f"OVER (ORDER BY date ROWS BETWEEN {TRAIN_DATES} PRECEDING AND 1 PRECEDING)")} FROM ds{h}),
+rk{h} AS (FROM ro{h} WHERE k > {TRAIN_DATES} AND n >= 100),{solved}"""
+
+
+_GRID = f"""{o.PANEL}, hz AS (SELECT symbol, date, open, is_limit_up, {o.ret(5)} AS score, {o.zs("close", 20)} AS z, {o.label(10)} AS t10, {o.label(20)} AS t20,
+  coalesce(listed_days >= {MIN_DAYS} AND {o.roll("avg", "amount", 20)} >= {MIN_AMOUNT}, FALSE) AS ok FROM s1),
+{_grid(10)}, {_grid(20)},
+pr AS ({" UNION ALL ".join(f"SELECT '{n}' AS experiment, {h} AS horizon, {e} AS every, tr{h}.date, tr{h}.symbol, intercept + b1 * x1 + b2 * x2 AS score FROM tr{h} JOIN fi{h} USING (date) JOIN ro{h} USING (date) WHERE (ro{h}.k - 1) % {e} = 0" for n, h, e in research.EXPERIMENTS)}),
+po AS (SELECT experiment, date, symbol, least(1.0 / count(*) OVER (PARTITION BY experiment, date), 0.12) AS w FROM
+       (SELECT *, row_number() OVER (PARTITION BY experiment, date ORDER BY score DESC, symbol) AS r FROM pr) WHERE r <= 12),
+nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM hz)),
+sg AS (SELECT experiment, date, lead(date) OVER (PARTITION BY experiment ORDER BY date) AS exit_sig FROM (SELECT DISTINCT experiment, date FROM po)),
+pf AS (SELECT experiment, a.nxt AS date, sum(p.w * (x.open / e.open - 1 - 0.002)) AS portfolio_ret FROM po p JOIN sg USING (experiment, date) JOIN nx a ON a.date = p.date JOIN nx b ON b.date = sg.exit_sig
+       JOIN hz e ON e.date = a.nxt AND e.symbol = p.symbol AND NOT e.is_limit_up JOIN hz x ON x.date = b.nxt AND x.symbol = p.symbol GROUP BY ALL),
+bt AS (SELECT *, product(1 + portfolio_ret) OVER (PARTITION BY experiment ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM pf),{o.metrics("bt", "experiment")},
+ct AS (SELECT experiment, horizon, every, count(DISTINCT date) AS prediction_dates FROM pr GROUP BY ALL)"""
+
+
+def _matrix(spark, sf_dir):
+    cfg = replace(research.ResearchConfig(), train_dates=TRAIN_DATES, min_rows=100, portfolio=CONFIG, min_listed_days=MIN_DAYS, min_amount=MIN_AMOUNT)
+    return research.horizon_matrix(derived_panel(spark, sf_dir), list(_MODEL_FACTORS), cfg)
+
+
+@query("horizon_matrix", f"""{_GRID} SELECT experiment, horizon, every AS rebalance_every_n_weeks, prediction_dates, status, periods, {o.rounds(('periods_per_year_est', 'annual_vol_est', 'sharpe_est', 'max_drawdown'), 5)},
+  {sql_squeezed('annual_return_est')} FROM ct LEFT JOIN mx USING (experiment)""")
+def horizon_matrix(spark, sf_dir):
+    found = _matrix(spark, sf_dir)["summary"]
+    same = ("experiment", "horizon", "rebalance_every_n_weeks", "prediction_dates", "status", "periods")
+    return found.select(*same, *rounds("periods_per_year_est", "annual_vol_est", "sharpe_est", "max_drawdown", digits=5), *squeezed("annual_return_est"))
+
+
+@query("horizon_portfolios", f"{_GRID} SELECT experiment, {o.DAY}, round(portfolio_ret, 6) + 0.0 AS portfolio_ret, {sql_squeezed('equity')} FROM bt")
+def horizon_portfolios(spark, sf_dir):
+    return _matrix(spark, sf_dir)["portfolio"].select("experiment", day(), *rounds("portfolio_ret"), *squeezed("equity"))
+
+
 # Models
 
 @query("ridge_one_factor", f"""{o.SCORED}, t AS (SELECT coalesce(score, 0) AS x, target AS y FROM sc WHERE ok AND target IS NOT NULL),
