@@ -817,3 +817,14 @@ def boosted(spark, sf_dir):
     cfg = models.BoostConfig(rounds=5, max_depth=3)
     model = models.fit_boosted(train, ["ret_5", "price_zscore_20"], TARGET, cfg)
     return models.boosted_scores(model, valid, ["ret_5", "price_zscore_20"]).select("symbol", day(), "gbt_score")
+
+
+@query("ranker_scores")
+def ranker_scores(spark, sf_dir):
+    """A small list-wise ranker, fitted on the first dates and stopped on the next, scoring the last."""
+    rows = scored(spark, sf_dir).where("tradable_universe")
+    train, test = models.chronological_split(rows)
+    train, valid = models.chronological_split(train)
+    cfg = models.RankerConfig(rounds=3, warm_up=1, patience=1, max_depth=2, min_rows=20)
+    model = models.fit_ranker(train, list(_MODEL_FACTORS), TARGET, cfg, valid)
+    return model.scores(test).select("symbol", day(), "lgbm_score")

@@ -12,6 +12,7 @@ from factorloom.functions.lineage import cut
 from factorloom.operators import crosssection as xs
 from factorloom.operators import factors, labels, models, moments, portfolio, scorecard
 from factorloom.sources.panel import benchmark_on, between_dates, window_dates
+from factorloom.sources.rawstore import RawStore
 
 
 @dataclass(frozen=True)
@@ -442,3 +443,31 @@ def horizon_matrix(panel: DataFrame, features: list[str], cfg: ResearchConfig, e
     book = portfolio.backtest(rows, held, cfg.portfolio, keys)
     counts = scored.groupBy("experiment", "horizon", "rebalance_every_n_weeks").agg(F.count_distinct("date").alias("prediction_dates"))
     return {"predictions": scored, "portfolio": book, "summary": counts.join(portfolio.metrics(book, keys), "experiment", "left")}
+
+
+#: Rows before a date that the longest factor looks back on.
+LOOK_BACK = 5 + max(int(n) for windows in factors.STANDARD_WINDOWS.values() for w in windows.split() for n in w.split("_"))
+
+
+def refresh_factors(tables: RawStore, panel: DataFrame, features: list[str], since: str, name: str = "factors") -> DataFrame:
+    """The stored factors with all rows from the month of ``since`` on computed anew; they equal those of a full run.
+
+    Only the panel's tail is read for values: from the date on which the
+    ``LOOK_BACK``-th last row before that month lies, of the symbol where it lies
+    furthest back (symbols without later rows need none). Without stored
+    factors everything is computed.
+    """
+    month = since.replace("-", "")[:6]
+    if not tables.exists(name):
+        rows = factors.add_factors(panel, features, as_float=False).select("symbol", "date", *features)
+        tables.replace(name, rows)
+        return tables.read(name)
+    first_day = F.to_timestamp(F.lit(month + "01"), "yyyyMMdd")
+    later, earlier = panel.where(F.col("date") >= first_day), panel.where(F.col("date") < first_day).select("symbol", "date")
+    back = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    known = earlier.join(later.select("symbol").distinct(), "symbol", "left_semi").withColumn("k", F.row_number().over(back)).where(F.col("k") <= LOOK_BACK)
+    start = known.agg(F.min("date")).head()[0]
+    tail = panel.where(F.col("date") >= F.lit(start)) if start else later
+    rows = factors.add_factors(tail, features, as_float=False).where(F.col("date") >= first_day).select("symbol", "date", *features)
+    tables.replace_from(name, rows, month)
+    return tables.read(name)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factorloom.functions.windows import cumulative_product, finite, ratio
 from factorloom.sources.asof import as_of, as_of_dates
@@ -147,6 +149,36 @@ def export_panel(panel: DataFrame, path: str) -> None:
     panel.write.mode("overwrite").parquet(path)
 
 
+def export_bucketed(panel: DataFrame, path: str, buckets: int | None = None) -> None:
+    """The panel for factor work: buckets of symbols, each in order of symbol and date, in folders by year.
+
+    Windows over a symbol's dates then plan without a shuffle, and filters on
+    ``year`` skip whole folders. ``buckets``: as many as shuffle partitions by default.
+    """
+    spark = panel.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bars_{uuid.uuid4().hex}"
+    rows = panel.withColumn("year", F.year("date")).repartition(n, "symbol")
+    rows.write.partitionBy("year").bucketBy(n, "symbol").sortBy("symbol", "date").format("parquet").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # a table with a path of its own leaves its files
+    spark.createDataFrame([(n, panel.schema.json())], "buckets int, columns string").coalesce(1).write.mode("overwrite").json(f"{path}_layout")
+
+
+def load_bucketed(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """What ``export_bucketed`` wrote, in any session, with its layout; bounds of dates, both included, skip years."""
+    layout = spark.read.schema("buckets int, columns string").json(f"{path}_layout").head()
+    columns, name = StructType.fromJson(json.loads(layout.columns)), f"bars_{uuid.uuid4().hex}"
+    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    spark.sql(f"CREATE TABLE {name} ({text}, year int) USING parquet PARTITIONED BY (year) CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {layout.buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    rows = spark.table(name)
+    if start:
+        rows = rows.where(F.col("year") >= int(start[:4]))
+    if end:
+        rows = rows.where(F.col("year") <= int(end[:4]))
+    return between_dates(rows.drop("year"), start, end)
+
+
 def benchmark_path(index_code: str = DEFAULT_INDEX) -> str:
     return f"data/benchmark_{index_code.replace('.', '_').lower()}.parquet"
 

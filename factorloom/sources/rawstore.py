@@ -29,8 +29,9 @@ _ALL, _NONE = "all", "none"
 class RawStore:
     """The raw tables under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, dates: dict[str, str] | None = None):
+        """``dates``: timestamp columns by whose month tables beyond the raw ones are stored."""
+        self.spark, self.root, self.dates = spark, root.rstrip("/"), dates or {}
         self._seen: dict[tuple[str, int], list] = {}  # manifests do not change
 
     # Versions
@@ -105,6 +106,8 @@ class RawStore:
     # Writing
 
     def _part(self, name: str):
+        if name in self.dates:
+            return F.coalesce(F.date_format(self.dates[name], "yyyyMM"), F.lit(_NONE))
         date = store.DATES.get(name)
         if date is None or date not in (store.COLUMNS.get(name) or date).split():
             return F.lit(_ALL)
@@ -154,6 +157,12 @@ class RawStore:
         self._commit(name, parts | written, before)
         return touched
 
+    def replace_from(self, name: str, rows: DataFrame, month: str) -> None:
+        """``rows``, all of ``month`` (``YYYYMM``) or later, in place of what the table has from that month on."""
+        before = self.version(name)
+        kept = {m: p for m, p in self.parts(name).items() if m < month or m in (_ALL, _NONE)}
+        self._commit(name, kept | self._write(name, rows), before)
+
     def drop(self, name: str) -> None:
         """The table is gone for readers; ``vacuum`` removes its files."""
         self._commit(name, {}, self.version(name), "dropped")

@@ -3,16 +3,20 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.operators import factors
+from factorloom.plans import research
 from factorloom.plans.artefacts import named, output_health, write_artefacts
 from factorloom.plans.fixtures import raw_table
 from factorloom.sources import panel as panels
 from factorloom.sources import store
 from factorloom.sources.rawstore import RawStore, prune, prune_plan, rebuild_filings, update_raw
+from factorloom.sources.tables import derived_panel
 from factorloom.streaming.refresh import upsert_stream
 
 SF, ROOT = "/root/testdata/sf0.001", str(Path(__file__).parents[1])
@@ -131,3 +135,32 @@ def test_output_health(spark, tmp_path):
     assert output_health(spark, folder, f"{tmp_path}/log").head().status == "warn"
     write_artefacts(frames | {"predictions.parquet": days.limit(0)}, folder)
     assert output_health(spark, folder).head().reason == "predictions.parquet empty"
+
+
+def test_bucketed_panel_needs_no_shuffle(spark, tmp_path):
+    rows = derived_panel(spark, SF).withColumn("symbol", F.col("symbol").cast("string"))
+    panels.export_bucketed(rows, f"{tmp_path}/bars", 4)
+    names = ["ret_5", "price_zscore_20", "close_to_ma_10"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    loaded = panels.load_bucketed(spark, f"{tmp_path}/bars")
+    done, usual = factors.add_factors(panels.normalize(loaded), names), factors.add_factors(panels.normalize(rows), names)
+    assert plan(done).count("Exchange") == 0 < plan(usual).count("Exchange hashpartitioning(symbol")
+    same = lambda df: Counter((r.symbol, r.date, *[None if r[n] is None else round(r[n], 4) for n in names]) for r in df.collect())
+    assert same(done) == same(usual)
+    part = panels.load_bucketed(spark, f"{tmp_path}/bars", "1999-03-01", "1999-12-31")
+    assert "year" in plan(part) and {r.y for r in part.select(F.year("date").alias("y")).distinct().collect()} == {1999}
+
+
+def test_refreshed_factors_equal_a_full_run(spark, tmp_path):
+    names = ["ret_5", "price_zscore_60", "vol_10", "close_to_ma_60"]
+    rows = derived_panel(spark, SF)
+    bars = rows.where("not (symbol = 3 and date between '1996-01-01' and '1999-06-01')").cache()  # a name with a long break
+    old = bars.where("date < '2000-05-10'").withColumn("close", F.when(F.col("date") >= "2000-04-03", F.col("close") * 2).otherwise(F.col("close")))
+    tables = RawStore(spark, str(tmp_path), {"factors": "date"})
+    research.refresh_factors(tables, old, names, "2000-05-01")
+    kept = {m: p for m, p in tables.parts("factors").items() if m < "200004"}
+    got = research.refresh_factors(tables, bars, names, "2000-04-10")
+    want = factors.add_factors(bars, names, as_float=False).select("symbol", "date", *names)
+    same = lambda df: Counter((r.symbol, r.date, *[None if r[n] is None else round(r[n], 9) for n in names]) for r in df.collect())
+    assert same(got) == same(want) and {m: p for m, p in tables.parts("factors").items() if m < "200004"} == kept
+    assert research.LOOK_BACK >= 125
