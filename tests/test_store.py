@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import factors
-from factorloom.plans import research
+from factorloom.plans import cli, research
 from factorloom.plans.artefacts import named, output_health, write_artefacts
 from factorloom.plans.fixtures import raw_table
 from factorloom.sources import panel as panels
@@ -164,3 +164,15 @@ def test_refreshed_factors_equal_a_full_run(spark, tmp_path):
     same = lambda df: Counter((r.symbol, r.date, *[None if r[n] is None else round(r[n], 9) for n in names]) for r in df.collect())
     assert same(got) == same(want) and {m: p for m, p in tables.parts("factors").items() if m < "200004"} == kept
     assert research.LOOK_BACK >= 125
+
+
+def test_daily_research_from_raw_rows_to_checked_output(spark, tmp_path):
+    for source, name in TABLES.items():
+        rows = raw_table(spark, SF, source)
+        (rows.where(F.col(store.DATES[name]) >= "19990101") if store.DATES[name] else rows).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    cli.main(["daily-research", "--incoming", f"{tmp_path}/in", "--store", f"{tmp_path}/store", "--start-date", "1999-01-01", "--output", f"{tmp_path}/bars.parquet", "--benchmark",
+              f"{tmp_path}/index.parquet", "--output-dir", f"{tmp_path}/daily", "--features", "ret_5", "intraday_ret_1", "--min-listed-days", "0", "--min-amount", "0", "--train-days", "40",
+              "--min-train-rows", "10", "--lgbm-n-estimators", "1", "--lgbm-max-depth", "1", "--folds", "1", "--rebalance-weekday", "0"])
+    row = output_health(spark, f"{tmp_path}/daily").head()
+    assert row.status == "ok" and row.predictions_rows > 0
+    assert spark.read.parquet(f"{tmp_path}/index.parquet").count() > 50
