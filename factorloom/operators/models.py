@@ -1,9 +1,7 @@
-"""Ridge and boosted-tree scores, ranking quality, chronological splits, random search."""
+"""Ridge and boosted-tree scores, ranking quality, chronological splits."""
 
 from __future__ import annotations
 
-import itertools
-import random
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.windows import ratio
 from factorloom.operators.labels import add_relevance
-from factorloom.operators.ranker import Ranker, RankerConfig, fit_ranker  # noqa: F401
+from factorloom.operators.ranker import Ranker, RankerConfig, fit_ranker, tune_ranker  # noqa: F401
 
 
 def _filled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -116,28 +114,3 @@ def chronological_split(rows: DataFrame, valid_ratio: float = 0.2, embargo_rows:
     numbered = dates.withColumn("__k", F.row_number().over(Window.orderBy("date")) - 1)  # one row per date
     train = rows.join(numbered.where(F.col("__k") < first - embargo_rows).select("date"), "date", "left_semi")
     return train, rows.join(numbered.where(F.col("__k") >= first).select("date"), "date", "left_semi")
-
-
-#: Values that random search draws from.
-SEARCH_SPACE = {
-    "learning_rate": (0.02, 0.05, 0.1), "max_depth": (3, 5, 7), "max_bins": (16, 32, 64), "subsample": (0.6, 0.8, 1.0), "rank_bins": (5, 10, 20),
-    "min_rows": (10, 20, 50), "rounds": (50, 100, 200),
-}
-
-
-def search_trials(trials: int = 20, seed: int = 42, space: dict[str, tuple] = SEARCH_SPACE) -> list[BoostConfig]:
-    """The first ``trials`` of all combinations in a seeded order."""
-    combos = [dict(zip(space, values, strict=True)) for values in itertools.product(*space.values())]
-    random.Random(seed).shuffle(combos)
-    return [BoostConfig(**c) for c in combos[:trials]]
-
-
-def tune_boosted(train: DataFrame, valid: DataFrame, features: list[str], target: str, trials: int = 20, seed: int = 42) -> list[dict]:
-    """Trials sorted by mean NDCG at 20, then at 50, then fewer trees."""
-    out = []
-    for cfg in search_trials(trials, seed):
-        model = fit_boosted(train, features, target, cfg, valid)
-        scored = add_relevance(boosted_scores(model, valid.where(F.col(target).isNotNull()), features), target, bins=cfg.rank_bins)
-        found = {f"ndcg_{k}": ndcg(scored, "gbt_score", k=k).agg(F.avg("ndcg")).head()[0] for k in (20, 50)}
-        out.append({"config": cfg, "trees": model.getNumTrees, **found})
-    return sorted(out, key=lambda t: (-(t["ndcg_20"] or 0), -(t["ndcg_50"] or 0), t["trees"]))

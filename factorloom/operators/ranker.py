@@ -11,6 +11,10 @@ validation dates, for early stopping.
 
 from __future__ import annotations
 
+import itertools
+import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -214,6 +218,67 @@ def _shrunk(g, l1: float):
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
 
+@dataclass
+class Lists:
+    """Binned rows by date, kept for as many fits as are wanted; ``release`` them then."""
+
+    features: list[str]
+    edges: list[np.ndarray]
+    rows: DataFrame
+    bins: int
+    has_valid: bool
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def binned_lists(train: DataFrame, features: list[str], target: str, cfg: RankerConfig = RankerConfig(), valid: DataFrame | None = None, edges: list[np.ndarray] | None = None) -> Lists:
+    """Training rows (and ``valid``) binned by the training rows' quantiles, or by ``edges``; labels have ``cfg.rank_bins`` places."""
+    rows = train.withColumn("__valid", F.lit(False))
+    edges = _edges(rows.where(F.col(target).isNotNull()), features, cfg.bins) if edges is None else edges
+    if valid is not None:
+        rows = rows.unionByName(valid.withColumn("__valid", F.lit(True)))
+    return Lists(list(features), edges, _binned(rows, features, edges, target, cfg).persist(), cfg.bins, valid is not None)
+
+
+def grow(lists: Lists, cfg: RankerConfig, init: Ranker | None = None) -> Ranker:
+    """Trees on lists that are there; see ``fit_ranker``."""
+    spark = lists.rows.sparkSession
+    model = Ranker(lists.features, lists.edges, list(init.trees) if init else [])
+    count, base, best = max(1, round(cfg.colsample * len(lists.features))), len(model.trees), (-np.inf, 0)
+    for r in range(cfg.rounds + lists.has_valid):  # one more look at the validation dates for the last tree
+        chosen = np.sort(np.random.default_rng([cfg.seed, r]).choice(len(lists.features), count, replace=False))
+        size = 2 ** (cfg.max_depth + 1) - 1
+        tree = Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size))
+        sent = spark.sparkContext.broadcast(model.trees)
+        for level in range(cfg.max_depth):
+            found = _grown(lists.rows, sent, level, tree, base + r, chosen, cfg, lists.bins, len(lists.features))
+            if level == 0:
+                model.history += [f.gain for f in found if f.feature < 0]
+            grew = False
+            for node in {f.node for f in found if f.feature >= 0}:
+                own = max((f for f in found if f.feature >= 0 and f.node == node), key=lambda f: (f.gain, -f.feature))
+                at = 2**level - 1 + node
+                leaf = lambda g, h: -cfg.learning_rate * float(_shrunk(g, cfg.l1)) / (h + cfg.l2)
+                tree.value[at] = leaf(own.g, own.h)
+                if own.gain > 1e-12 and np.isfinite(own.gain):
+                    grew, tree.feature[at], tree.cut[at] = True, own.feature, own.cut
+                    tree.value[2 * at + 1], tree.value[2 * at + 2] = leaf(own.gl, own.hl), leaf(own.g - own.gl, own.h - own.hl)
+            if not grew or (r == cfg.rounds and level == 0):
+                break
+        sent.unpersist()
+        if model.history and r >= min(cfg.warm_up, cfg.rounds):
+            if model.history[-1] > best[0]:
+                best = (model.history[-1], len(model.trees))
+            elif len(model.trees) - best[1] >= cfg.patience:
+                break
+        if r < cfg.rounds:
+            model.trees.append(tree)
+    if lists.has_valid and best[1] > base:
+        model.trees = model.trees[: best[1]]
+    return model
+
+
 def fit_ranker(train: DataFrame, features: list[str], target: str, cfg: RankerConfig = RankerConfig(), valid: DataFrame | None = None, init: Ranker | None = None) -> Ranker:
     """Trees on the per-date relevance of the target (``add_relevance``), of lambda gradients.
 
@@ -223,47 +288,71 @@ def fit_ranker(train: DataFrame, features: list[str], target: str, cfg: RankerCo
     from another model's trees and bins. A date without rows, or a list of one
     label, adds nothing.
     """
-    spark = train.sparkSession
-    rows = train.withColumn("__valid", F.lit(False))
-    edges = init.edges if init else _edges(rows.where(F.col(target).isNotNull()), features, cfg.bins)
-    if valid is not None:
-        rows = rows.unionByName(valid.withColumn("__valid", F.lit(True)))
-    lists = _binned(rows, features, edges, target, cfg).persist()
-    model = Ranker(list(features), edges, list(init.trees) if init else [])
-    n_bins, base, best = cfg.bins, len(model.trees), (-np.inf, 0)
+    lists = binned_lists(train, features, target, cfg, valid, init.edges if init else None)
+    try:
+        return grow(lists, cfg, init)
+    finally:
+        lists.release()
+
+
+#: What random search draws from (8,748 combinations). A tree's depth follows from its leaves and its bound.
+SEARCH_SPACE = {
+    "n_estimators": (800, 1000, 1200), "learning_rate": (0.05, 0.06, 0.08), "num_leaves": (127, 191), "max_depth": (-1, 6), "min_child_samples": (30, 50, 80),
+    "subsample": (0.8, 0.9, 1.0), "colsample_bytree": (0.7, 0.8, 0.9), "reg_alpha": (0.5, 1.0, 1.5), "reg_lambda": (0.25, 0.5, 1.0),
+}
+
+
+def search_trials(trials: int = 20, seed: int = 42, space: dict[str, tuple] = SEARCH_SPACE) -> list[dict]:
+    """The first ``trials`` of all combinations in a seeded order."""
+    combos = [dict(zip(space, values, strict=True)) for values in itertools.product(*space.values())]
+    random.Random(seed).shuffle(combos)
+    return combos[: max(1, trials)]
+
+
+def trial_config(cfg: RankerConfig, trial: dict) -> RankerConfig:
+    depth = int(np.log2(trial["num_leaves"]))
+    depth = min(depth, trial["max_depth"]) if trial["max_depth"] > 0 else depth
+    return replace(cfg, rounds=trial["n_estimators"], learning_rate=trial["learning_rate"], max_depth=depth, min_rows=trial["min_child_samples"], subsample=trial["subsample"],
+                   colsample=trial["colsample_bytree"], l1=trial["reg_alpha"], l2=trial["reg_lambda"])
+
+
+def validation_ndcg(lists: Lists, model: Ranker, at: tuple[int, ...] = (20, 50)) -> list[float | None]:
+    """Mean NDCG over the validation dates."""
+    sent, p = lists.rows.sparkSession.sparkContext.broadcast(model.trees), len(lists.features)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for labels, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                label = np.frombuffer(labels, np.uint8).astype(np.float64)
+                bins = np.frombuffer(data, np.uint8).reshape(len(label), p)
+                margin = sum((t.value[t.nodes(bins)] for t in sent.value), np.zeros(len(label)))
+                rows.append([ndcg_at(margin, label, k) for k in at])
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.float64()) for k in range(len(at))], names=[f"k{k}" for k in at])
+
+    means = lists.rows.where("valid").mapInArrow(run, ", ".join(f"k{k} double" for k in at)).agg(*[F.avg(f"k{k}") for k in at]).head()
+    return list(means)
+
+
+def tune_ranker(train: DataFrame, valid: DataFrame, features: list[str], target: str, cfg: RankerConfig = RankerConfig(), trials: int = 20, seed: int = 42,
+                space: dict[str, tuple] = SEARCH_SPACE, at_once: int = 4) -> list[dict]:
+    """Trials by mean NDCG at 20, then at 50, then fewer trees; each with its values, ``trees``, ``ndcg_20``, ``ndcg_50`` and ``seconds``.
+
+    The panel is read and binned once for all; ``at_once`` trials run side by
+    side on these bins, each ended early by the validation dates.
+    """
+    lists = binned_lists(train, features, target, cfg, valid)
+
+    def one(trial: dict) -> dict:
+        began = time.perf_counter()
+        model = grow(lists, trial_config(cfg, trial))
+        found = validation_ndcg(lists, model)
+        return {**trial, "trees": len(model.trees), "ndcg_20": found[0], "ndcg_50": found[1], "seconds": round(time.perf_counter() - began, 3)}
+
     try:
-        for r in range(cfg.rounds + (valid is not None)):  # one more look at the validation dates for the last tree
-            rng = np.random.default_rng([cfg.seed, r])
-            count = max(1, round(cfg.colsample * len(features)))
-            chosen = np.sort(rng.choice(len(features), count, replace=False))
-            size = 2 ** (cfg.max_depth + 1) - 1
-            tree = Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size))
-            sent = spark.sparkContext.broadcast(model.trees)
-            for level in range(cfg.max_depth):
-                found = _grown(lists, sent, level, tree, base + r, chosen, cfg, n_bins, len(features))
-                if level == 0 and valid is not None:
-                    model.history += [f.gain for f in found if f.feature < 0]
-                grew = False
-                for node in {f.node for f in found if f.feature >= 0}:
-                    own = max((f for f in found if f.feature >= 0 and f.node == node), key=lambda f: (f.gain, -f.feature))
-                    at = 2**level - 1 + node
-                    leaf = lambda g, h: -cfg.learning_rate * float(_shrunk(g, cfg.l1)) / (h + cfg.l2)
-                    tree.value[at] = leaf(own.g, own.h)
-                    if own.gain > 1e-12 and np.isfinite(own.gain):
-                        grew, tree.feature[at], tree.cut[at] = True, own.feature, own.cut
-                        tree.value[2 * at + 1], tree.value[2 * at + 2] = leaf(own.gl, own.hl), leaf(own.g - own.gl, own.h - own.hl)
-                if not grew:
-                    break
-            sent.unpersist()
-            if valid is not None and model.history and r >= min(cfg.warm_up, cfg.rounds):
-                if model.history[-1] > best[0]:
-                    best = (model.history[-1], len(model.trees))
-                elif len(model.trees) - best[1] >= cfg.patience:
-                    break
-            if r < cfg.rounds:
-                model.trees.append(tree)
-        if valid is not None and best[1] > base:
-            model.trees = model.trees[: best[1]]
+        lists.rows.count()
+        with ThreadPoolExecutor(at_once) as pool:
+            out = list(pool.map(one, search_trials(trials, seed, space)))
     finally:
-        lists.unpersist()
-    return replace(model)
+        lists.release()
+    return sorted(out, key=lambda t: (-(t["ndcg_20"] or 0), -(t["ndcg_50"] or 0), t["trees"]))

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.operators import factors, scorecard
+from factorloom.operators.ranker import SEARCH_SPACE
 from factorloom.plans import research
 from factorloom.plans.artefacts import named, output_health, write_artefacts
 from factorloom.sources import panel as panels
@@ -213,7 +214,10 @@ def research_command(spark: SparkSession, args, cfg: research.ResearchConfig, pa
         return research.horizon_matrix(panel, names, cfg, start=a, end=b)
     middle = research.date.fromisoformat(a)
     first, last = research.add_months(middle, -cfg.train_months), research.add_months(middle, cfg.test_months)
-    return {"tuning": research.tune_run(spark, panel, names, cfg, first.isoformat(), a, last.isoformat(), args.tune_trials or 20)}
+    space = None
+    if args.lgbm_n_estimators:  # as many rounds for every trial
+        space = SEARCH_SPACE | {"n_estimators": (args.lgbm_n_estimators,)}
+    return {"tuning_trials": research.tune_run(spark, panel, names, cfg, first.isoformat(), a, last.isoformat(), args.tune_trials or 20, space=space)}
 
 
 if __name__ == "__main__":

@@ -329,18 +329,17 @@ def research_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg
     return {"splits": done, "windows": table, "split_summary": split_summary(spark, done, table)}
 
 
-def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, middle: str, end: str, trials: int = 20, seed: int = 42) -> DataFrame:
-    """Random search of the boosted trees: fitted on [start, middle), judged on [middle, end); a row per trial, the best first."""
-    from dataclasses import asdict
+def tune_run(spark: SparkSession, panel: DataFrame, features: list[str], cfg: ResearchConfig, start: str, middle: str, end: str, trials: int = 20, seed: int = 42,
+             space: dict[str, tuple] | None = None) -> DataFrame:
+    """Random search of the ranker: fitted on [start, middle), judged on [middle, end); a row per trial, the best first."""
     from json import dumps
 
-    rows = prepare(panel, features, cfg, start, end).where("tradable_universe").cache()
-    try:
-        found = models.tune_boosted(window_dates(rows, start, middle), window_dates(rows, middle, end), features, cfg.target, trials, seed)
-    finally:
-        rows.unpersist()
-    table = [(k + 1, dumps(asdict(t["config"]), sort_keys=True), int(t["trees"]), t["ndcg_20"], t["ndcg_50"]) for k, t in enumerate(found)]
-    return spark.createDataFrame(table, "place int, config string, trees int, ndcg_20 double, ndcg_50 double")
+    rows = cut(prepare(panel, features, cfg, start, end).where(F.col("tradable_universe") & F.col(cfg.target).isNotNull()), "rows")
+    sides = window_dates(rows, start, middle), window_dates(rows, middle, end)
+    found = models.tune_ranker(*sides, features, cfg.target, cfg.ranker, trials, seed, **({"space": space} if space else {}))
+    results = ("trees", "ndcg_20", "ndcg_50", "seconds")
+    table = [(k + 1, dumps({n: v for n, v in t.items() if n not in results}), *(t[n] for n in results)) for k, t in enumerate(found)]
+    return spark.createDataFrame(table, "place int, config string, trees int, ndcg_20 double, ndcg_50 double, seconds double")
 
 
 def rolling_scores(rows: DataFrame, features: list[str], cfg: ResearchConfig) -> dict[str, DataFrame]:

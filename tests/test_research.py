@@ -245,7 +245,12 @@ def test_benchmark_from_file_then_table_then_nothing(spark, tmp_path):
 
 
 def test_tuning_orders_its_trials(spark):
-    cfg = replace(research.ResearchConfig(), min_listed_days=60, min_amount=MIN_AMOUNT / 100)
-    got = research.tune_run(spark, derived_panel(spark, SF), ["ret_5", "trend_5_20"], cfg, "1998-01-01", "1999-01-01", "1999-07-01", trials=1).collect()
-    assert [r.place for r in got] == [1] and 0 <= got[0].ndcg_20 <= 1 and "max_depth" in got[0].config
+    cfg = replace(research.ResearchConfig(), min_listed_days=60, min_amount=MIN_AMOUNT / 100, ranker=models.RankerConfig(warm_up=1, patience=1, min_rows=5))
+    assert len(ranker.search_trials(10**6)) == 8748 and ranker.search_trials(3) == ranker.search_trials(5)[:3]
+    space = {k: v[:1] for k, v in ranker.SEARCH_SPACE.items()} | {"n_estimators": (1, 2), "num_leaves": (2, 4), "min_child_samples": (5,)}
+    got = research.tune_run(spark, derived_panel(spark, SF), ["ret_5", "trend_5_20"], cfg, "1998-01-01", "1999-01-01", "1999-07-01", trials=3, space=space).collect()
+    assert [r.place for r in got] == [1, 2, 3] and [r.ndcg_20 for r in got] == sorted((r.ndcg_20 for r in got), reverse=True)
+    assert all(0 <= r.ndcg_20 <= 1 and 1 <= r.trees <= 2 and "num_leaves" in r.config for r in got) and len({r.config for r in got}) == 3
+    deep = ranker.trial_config(models.RankerConfig(), {k: v[-1] for k, v in ranker.SEARCH_SPACE.items()})
+    assert (deep.rounds, deep.max_depth, deep.l1, deep.colsample) == (1200, 6, 1.5, 0.9)
     assert {"run", "research-run", "daily-research", "update-index-weight", "update-index-daily", "tune-lgbm", "check-registry"} <= set(cli.COMMANDS)
