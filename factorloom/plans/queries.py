@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from itertools import combinations
@@ -105,10 +106,21 @@ def factor_fundamental(spark, sf_dir):
     return rows.select("symbol", F.date_format("date", "yyyyMMdd").alias("trade_date"), *off_edge(factors.FUNDAMENTAL_FACTORS))
 
 
-@query("factor_registry", "SELECT * FROM (VALUES ('growth', 9), ('liquidity', 16), ('path', 20), ('quality', 12), ('reversal', 12), ('size', 1), ('sma', 33), "
-                          "('value', 4), ('volatility', 17)) t(family, features)")
+_NEEDS = {n: json.loads(factors.describe(n)["data_dependencies"]) for n in factors.STANDARD_FACTORS}
+_COUNTED = factors.dependencies()
+_AS_RAW = {"volume": "vol", "turnover_rate": "coalesce(turnover_rate, 0)", "float_mv": "coalesce(circ_mv, 0)"}
+
+
+@query("factor_registry", f"""{o.RAW_PANEL}, vl AS (UNPIVOT (SELECT {", ".join(f"count({_AS_RAW.get(c, c)}) AS {c}" for c in _COUNTED)} FROM full_panel) ON COLUMNS(*) INTO NAME need VALUE filled),
+rg AS (SELECT * FROM (VALUES {", ".join(f"('{factors.describe(n)['family']}', '{n}', '{d}')" for n, ds in _NEEDS.items() for d in ds)}) t(family, feature, need)),
+ft AS (SELECT family, feature, min(filled) AS filled FROM rg JOIN vl USING (need) GROUP BY ALL)
+SELECT family, count(DISTINCT feature)::INTEGER AS features, min(filled) AS least_values, sum(filled)::BIGINT AS all_values FROM ft GROUP BY family""")
 def factor_registry(spark, sf_dir):
-    return factors.registry(spark).groupBy("family").agg(F.count_distinct("feature").cast("int").alias("features"))
+    """Per family: its factors, and how many values the whole raw panel has of what they need."""
+    filled = raw_panel(spark, sf_dir).agg(*[F.count(c).alias(c) for c in _COUNTED]).unpivot([], _COUNTED, "need", "filled")  # one row per column
+    needs = factors.registry(spark).select("family", "feature", F.explode(F.from_json("data_dependencies", "array<string>")).alias("need"))
+    per = needs.join(filled, "need").groupBy("family", "feature").agg(F.min("filled").alias("filled"))
+    return per.groupBy("family").agg(F.count("feature").cast("int").alias("features"), F.min("filled").alias("least_values"), F.sum("filled").alias("all_values"))
 
 
 # Labels, universe, calendars

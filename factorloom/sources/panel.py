@@ -14,10 +14,10 @@ from factorloom.functions.windows import cumulative_product, finite, ratio
 from factorloom.sources.asof import as_of, as_of_dates
 from factorloom.sources.tables import FUNDAMENTALS
 
+#: Column names of a panel by kind, and what stands for a column that is absent.
 REQUIRED = ("date", "symbol", "open", "high", "low", "close", "volume", "amount")
 FLOATS = ("open", "high", "low", "close", "volume", "amount", "turnover_rate", "float_mv", "index_weight")
 FLAGS = ("is_st", "is_paused", "is_limit_up", "is_limit_down", "in_universe")
-#: Values of columns that are absent.
 DEFAULTS = {
     "turnover_rate": 0.0, "float_mv": 0.0, "index_weight": 0.0, "industry": "UNKNOWN", "is_st": False, "is_paused": False, "is_limit_up": False,
     "is_limit_down": False, "listed_days": 9999, "in_universe": True,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fundamental columns of a panel.
+#: Fundamental columns of a panel.
 FUNDAMENTALS = (
     "pe_ttm", "pb", "ps_ttm", "dv_ttm", "eps", "bps", "cfps", "ocfps", "roe", "roe_dt", "roa", "roic", "grossprofit_margin", "netprofit_margin",
     "debt_to_assets", "current_ratio", "quick_ratio", "profit_dedt", "basic_eps_yoy", "dt_eps_yoy", "netprofit_yoy", "dt_netprofit_yoy", "ocf_yoy",
