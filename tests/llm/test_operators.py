@@ -413,10 +413,14 @@ def test_near_duplicates_of_nothing(spark, documents):
     assert near_dedup.near_duplicates(documents.limit(0)).count() == 0
 
 
-def test_components_again_with_more_edges(spark):
-    """A path, a hub, a cycle and loose ends against plain merging; results given again as edges, with and without new ones."""
+@pytest.mark.parametrize("sent", [0, 250_000])
+def test_components_again_with_more_edges(spark, monkeypatch, sent):
+    """A path, a hub, a cycle and loose ends against plain merging, with joined and with sent minima; results given again as edges, with and without new ones."""
+    from factorloom.llm import components
     from factorloom.llm.components import connected_components
 
+    monkeypatch.setattr(components, "MAX_BROADCAST_EDGES", sent)
+
     def merged(edges):
         part = {}
         for a, b in edges:
