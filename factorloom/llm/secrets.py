@@ -113,18 +113,23 @@ def log_ratio(table_: np.ndarray, run: str) -> float:
     return float(table_[codes[:-1], codes[1:]].sum())
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the fixed patterns; an assignment's span is the value it assigns."""
+def base_matches(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, match) of the fixed patterns: an assignment's start is that of the value, its match begins at the name."""
     spans = []
     low = text.encode("utf-8", "replace").lower()
     if any(w in low for w in _ASSIGN_WORDS):
-        spans += [(m.start(2), 0, m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        spans += [(m.start(2), 0, m.end(2), m.start()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
-        spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+        spans += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text)]
+    spans += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
     return sorted(spans)
 
 
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the fixed patterns; an assignment's span is the value it assigns."""
+    return [m[:3] for m in base_matches(text)]
+
+
 def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """The parts of a run that no base span covers."""
     for s, _, e in base:
@@ -236,13 +241,19 @@ def find_spans(text: str | None, model: Model) -> tuple[list, list]:
     """The base spans, and those with what the models add beside them."""
     if not text:
         return [], []
-    base, more = base_spans(text), []
+    base = base_spans(text)
+    return base, sorted(base + _added(text, base, model))
+
+
+def _added(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
+    """The spans that the models add to the base ones."""
+    more = []
     for m in _RUN.finditer(text):
         for start, end in _uncovered(m.start(), m.end(), base):
             piece = text[start:end].rstrip(_JOINTS)
             start += len(piece) - len(piece.lstrip(_JOINTS))
             more += [(start + a, 3, start + b) for a, b in random_stretches(piece.lstrip(_JOINTS), model)]
-    return base, sorted(base + more)
+    return more
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -256,22 +267,27 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", samples: tuple[list[str], list[str]] | None = None) -> DataFrame:
-    """Add ``secrets``: spans (array of kind, start, end) and base (those of the fixed patterns).
+    """Add ``secrets``: spans (array of kind, start, end, match) and base (those of the fixed patterns).
 
     Positions are code points, ends exclusive; spans lie in order of start,
-    then kind. Null and empty texts have none; rows that repeat are scanned each;
+    then kind. ``match`` is where the whole match begins: for an assignment
+    its name, else the span's start. Null and empty texts have none; rows that repeat are scanned each;
     a column named ``secrets`` is replaced. One map-side pass. ``samples`` are
     labelled (random strings, identifiers), of a caller's own (``samples_from``)
     or those of ``labelled_samples``.
     """
     model = fit_model(samples)
-    named = lambda found: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
+    span = "array<struct<kind string, start long, end long, match long>>"
+    named = lambda found: [{"kind": KINDS[k], "start": s, "end": e, "match": m} for s, k, e, m in found]
+
+    def both(text: str | None) -> tuple[list, list]:
+        base = base_matches(text or "")
+        return named(base), named(sorted(base + [(*a, a[0]) for a in _added(text or "", [b[:3] for b in base], model)]))
 
-    @F.pandas_udf("base array<struct<kind string, start long, end long>>, spans array<struct<kind string, start long, end long>>")
+    @F.pandas_udf(f"base {span}, spans {span}")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [find_spans(t, model) for t in texts]
-            yield pd.DataFrame({"base": [named(b) for b, _ in found], "spans": [named(a) for _, a in found]})
+            yield pd.DataFrame([both(t) for t in texts], columns=["base", "spans"])
 
     return docs.withColumn("secrets", scan(F.col(f"`{text}`").cast("string")))
 
@@ -290,9 +306,11 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """Secrets in every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans. An assignment is written as its whole match, name included."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
-    text_of = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    place = F.array(*[F.lit(k) for k in KINDS])
+    keyed = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["match"].alias("a"), F.array_position(place, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"))))
+    text_of = lambda c: F.array_join(F.transform(keyed(c), lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
