@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from factorloom.llm import secrets
+from factorloom.llm import secrets, url_filters
 
 #: Kind, pattern, the group that a length is asked of, that length. A span is the whole match.
 PATTERNS = (
@@ -36,3 +36,14 @@ def test_secret_digest_is_of_whole_matches(spark, tmp_path):
 def test_values_alone_are_redacted():
     text = "Password: hunter2secret"
     assert secrets.redact_text(text, secrets.find_spans(text, secrets.fit_model())[1], "[S]") == "Password: [S]"
+
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    """Each rule's word, on its host, a subdomain, and beside its path."""
+    words = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    rules = {name: word for word, name in (r.split() for r in words.split(", "))}
+    assert {h + p: v for h, p, v in url_filters.RULES} == rules
+    urls = [("http://" + name + "x", name) for name in rules] + [("http://SUB." + name, name) for name in rules]
+    urls += [("http://example.net/de/7", "net/de/"), ("http://notexample.net/de/8", "net/de/"), ("http://example.net/d", None), ("http://porn.net/de/", "net/de/")]
+    spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.op6_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {k: (name, rules.get(name, "allow")) for k, (_, name) in enumerate(urls)}
