@@ -18,6 +18,23 @@ def long_features(rows: DataFrame, features: list[str], target: str) -> DataFram
     return base.unpivot(["date", "symbol", "target"], features, "feature", "value")
 
 
+def by_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a group in one task, for all windows that follow: as many tasks as shuffle partitions, however small they look when packed."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def in_order(rows: DataFrame, keys: list[str], value: str, gap: str, first: str, mean: str, descending: bool = False) -> DataFrame:
+    """Add ``first`` (1..n by value, ties by symbol) and ``mean`` (the average of tied places), NULL where ``gap`` is true, in one sort.
+
+    ``gap`` is a column that says where ``value`` is missing: an expression
+    would be a new column of each window, and ask for a sort of its own.
+    """
+    over, by = Window.partitionBy(*keys, gap), F.col(value).desc() if descending else F.col(value).asc()
+    rows = rows.withColumn(first, F.when(~F.col(gap), F.row_number().over(over.orderBy(by, "symbol"))))
+    tied = over.orderBy(by)
+    return rows.withColumn(mean, F.when(~F.col(gap), (F.rank().over(tied) + F.count(F.lit(1)).over(tied)).cast("double") / 2)) if mean else rows
+
+
 def with_buckets(rows: DataFrame, keys: list[str], value: str, q: int) -> DataFrame:
     """Add ``n`` (values per group) and ``bucket`` (1..q; NULL without a value)."""
     n = F.count(value).over(Window.partitionBy(*keys))
@@ -67,8 +84,12 @@ def feature_daily(rows: DataFrame, features: list[str], target: str) -> DataFram
     """
     long = long_features(rows, features, target)
     keys = ["date", "feature"]
-    ranks = {"vr": average_rank("value", keys), "tr": average_rank("target", keys), "rows": F.count(F.lit(1)).over(Window.partitionBy(*keys))}
-    ranked = with_buckets(long.withColumns(ranks), keys, "value", 5)
+    over = Window.partitionBy(*keys)
+    ranked = by_groups(long, keys).withColumn("__gap", F.col("value").isNull())
+    ranked = in_order(ranked, keys, "value", "__gap", "__r", "vr")
+    # the largest place, since a plain count would be moved below the sort and bring one of its own
+    ranked = ranked.withColumns({"rows": F.count(F.lit(1)).over(over), "n": F.coalesce(F.max("__r").over(over), F.lit(0)).cast("long")})
+    ranked = ranked.withColumn("tr", average_rank("target", keys)).withColumn("bucket", bucket("__r", "n", 5))
     mean = lambda b: F.avg(F.when((F.col("bucket") == b) & (F.col("n") >= 5), F.col("target")))
     return ranked.where((F.col("rows") >= 2) & (F.col("n") > 0)).groupBy(*keys).agg(
         correlation("value", "target").alias("pearson_ic"), correlation("vr", "tr").alias("rank_ic"), (mean(5) - mean(1)).alias("top_bottom_spread")

@@ -1,7 +1,9 @@
 """Steps that several queries share: what is computed once, and what a task holds."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from factorloom.operators import crosssection as xs
 from factorloom.operators import factors
 
 
@@ -19,3 +21,20 @@ def test_factors_share_rolling_statistics(spark):
     alone = factors.stage(_bars(spark)).select("symbol", "date", *[factors.factor_column(n).alias(n) for n in names])
     assert sorted(map(tuple, rows.select(alone.columns).collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
     assert set(rows.columns) == {*_bars(spark).columns, *names}
+
+
+def test_feature_ranks_share_sorts(spark):
+    """Ranks, places and counts of a feature come from one sort, those of the target from another; ties, gaps and both zeros are averaged."""
+    values = [(1, 0.0), (2, -0.0), (3, None), (4, 2.0), (5, 2.0), (6, 2.0), (7, 1.0), (8, None)]
+    rows = spark.createDataFrame([(s, "2020-01-01", v, s % 3 * 1.0, True) for s, v in values], "symbol long, date string, x double, target double, tradable_universe boolean")
+    assert _sorts(xs.feature_daily(rows, ["x"], "target")) == 2
+    has = [(s, v) for s, v in values if v is not None]
+    mean_place = lambda v, among: sum(w < v for w in among) + (sum(w == v for w in among) + 1) / 2
+    targets = [s % 3 * 1.0 for s, _ in values]
+    a, b = [mean_place(v, [w for _, w in has]) for _, v in has], [mean_place(s % 3 * 1.0, targets) for s, _ in has]
+    got = xs.feature_daily(rows, ["x"], "target").head()
+    assert abs(got.rank_ic - np.corrcoef(a, b)[0, 1]) < 1e-12
+
+
+def _sorts(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Sort [")
