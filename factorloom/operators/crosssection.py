@@ -107,15 +107,16 @@ def feature_days(rows: DataFrame, features: list[str], target: str, q: int = 5,
     base = rows.where("tradable_universe").select("date", "symbol", F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(f) for f in features])
     long = base.unpivot(["date", "symbol", "target"], features, "feature", "value").withColumn("__t", F.col("target").isNotNull())
     keys, labelled = ["date", "feature"], ["date", "feature", "__t"]
-    cuts = F.percentile("value", F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
-    long = long.withColumn("__q", cuts)
+    over = Window.partitionBy(*labelled)
+    long = by_groups(long, keys).withColumn("__gap", F.col("value").isNull())
+    long = in_order(long, labelled, "value", "__gap", "__raw", "vr")
+    long = long.withColumns({"rows": F.count(F.lit(1)).over(over), "n": F.coalesce(F.max("__raw").over(over), F.lit(0)).cast("long")})
+    cuts = F.percentile(F.when(F.col("__raw") > 0, F.col("value")), F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
+    long = long.withColumn("__q", cuts).where("__t")
     clipped = F.when(F.col("value").isNotNull(), F.least(F.greatest("value", F.col("__q")[0]), F.col("__q")[1]))
     long = long.withColumn("__x", clipped).drop("__q")
-    over = Window.partitionBy(*labelled)
-    long = long.withColumns({
-        "vr": average_rank("value", labelled), "tr": average_rank("target", labelled), "rows": F.count(F.lit(1)).over(over), "n": F.count("value").over(over),
-        "__raw": first_rank("value", labelled), "__up": first_rank("__x", labelled), "__down": first_rank("__x", labelled, descending=True),
-    }).where("__t")
+    long = in_order(in_order(long, labelled, "__x", "__gap", "__up", ""), labelled, "__x", "__gap", "__down", "", descending=True)
+    long = long.withColumn("tr", average_rank("target", labelled))
     long = long.withColumns({"bucket": bucket("__raw", "n", 5), "__up": bucket("__up", "n", q), "__down": bucket("__down", "n", q)})
     mean = lambda side, b, least: F.avg(F.when((F.col(side) == b) & (F.col("n") >= least), F.col("target")))
     curve = lambda side: F.when(F.max("n") >= q, F.array(*[mean(side, b, q) for b in range(1, q + 1)]))

@@ -109,14 +109,15 @@ def strategy(panel: DataFrame, scored: DataFrame, score: str, cfg: ResearchConfi
 def yearly_report(rows: DataFrame, features: list[str], cfg: ResearchConfig, index: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
     """One row per year and feature, in the shape that ``scorecard`` reads: diagnostics, then bucket curves of the oriented factor.
 
-    One plan for all years and features: the long rows are shuffled once by
-    (date, feature); buckets are made in both orders there, so the direction
+    One pass for all years and features: the long rows are shuffled once by
+    (date, feature) and condensed to a row each, which is written, as all that
+    follows reads it several times; buckets are made in both orders there, so the direction
     that a year turns out to have is chosen on the daily means. ``top_k``: each
     year's strongest features only. Without an index the top bucket is held
     against nothing (returns of 0).
     """
     keys, q = ("year", "feature"), cfg.buckets
-    daily = xs.feature_days(rows, features, cfg.target, q).withColumn("year", F.year("date"))
+    daily = cut(xs.feature_days(rows, features, cfg.target, q).withColumn("year", F.year("date")), "feature_days")
     found = xs.with_direction(xs.feature_means(daily.where("rows >= 2"), keys)).withColumn("sign_flipped", F.col("direction") < 0)
     if top_k:
         strength = [F.abs("mean_rank_ic").desc_nulls_last(), F.col("rank_ic_ir").desc_nulls_last(), F.col("mean_top_bottom_spread").desc_nulls_last(), F.col("feature")]
