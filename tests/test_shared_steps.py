@@ -38,3 +38,9 @@ def test_feature_ranks_share_sorts(spark):
 
 def _sorts(rows):
     return rows._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_yearly_ranks_share_sorts(spark):
+    """Raw places, counts and quantiles come from one sort; clipped places in both directions and the target have one each."""
+    rows = spark.createDataFrame([(s, "2020-01-01", s * 1.0, s % 3 * 1.0, True) for s in range(7)], "symbol long, date string, x double, target double, tradable_universe boolean")
+    assert _sorts(xs.feature_days(rows, ["x"], "target")) == 4
