@@ -1,15 +1,18 @@
 """Exact token ids of whole texts through the ``tokenizers`` library, with a word cache.
 
 ``word_bpe_49k`` drops white space before its merges, so a text's ids are the
-ids of its white-space separated pieces in a row. Pieces repeat a great deal;
-each worker keeps their ids as bytes and a text costs one dictionary lookup per
-piece. Any tokenizer of another shape is called on the whole text instead.
+ids of its words (runs of letters, digits, marks) in a row. Lower-cased words
+without their marks repeat far more than white-space separated pieces do; each
+worker keeps their ids as bytes and a text costs one lookup per word in a small
+dictionary. Texts with other than Latin characters go piece by piece, and any
+tokenizer of another shape is called on the whole text instead.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -20,7 +23,11 @@ END_BYTES = np.array([END_ID], dtype="<u4").tobytes()
 _PIECE = re.compile(r"[^ \t\n\r]+")
 #: Pieces of these characters are unchanged by NFC and lower-cased one by one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PRE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+#: A text of such pieces only.
+_PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\r]+")
+#: Longer pieces and words are not kept.
+_KEPT = 200
 
 # The steps of a tokenizer file for which the cache is exact.
 _STEPS = ["NFC", "Replace", "Lowercase"]
@@ -59,6 +66,26 @@ class _Bounded(dict):
         return value
 
 
+class _Recent(_Bounded):
+    """A dictionary that fills itself, up to twice ``limit``: when full it keeps the newest entries beside what is asked for again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__(make, limit)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > _KEPT:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without an end id."""
 
@@ -72,19 +99,20 @@ class Encoder:
         self.by_piece = steps == _STEPS and splits[:1] == [_SPLIT] and not spec.get("post_processor")
         self.letters = _byte_letters()
         self.added = tuple(t["content"] for t in spec.get("added_tokens", []))
-        self.words = _Bounded(self._word, cache // 2)
+        self.words = _Recent(self._word, cache // 4)
         self.pieces = _Bounded(self._piece, cache)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join([self.letters[b] for b in word.encode()])
-        return np.array([t.id for t in self.tok.model.tokenize(word)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.tok.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(piece) > 200 or not _PLAIN.fullmatch(piece) or any(a in piece for a in self.added):
+        if len(piece) > _KEPT or not _PLAIN.fullmatch(piece) or any(a in piece for a in self.added):
             return self._whole(piece)
         return b"".join([self.words[w] for w in _PRE.findall(piece.lower())])
 
@@ -93,6 +121,8 @@ class Encoder:
             return b""
         if not self.by_piece:
             return self._whole(text)
+        if _PLAIN_TEXT.fullmatch(text) and not any(a in text for a in self.added):
+            return b"".join(map(self.words.__getitem__, _PRE.findall(text.lower())))
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
