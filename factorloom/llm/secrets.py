@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import bound_batches, table
+from factorloom.llm.words import give_back
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -301,6 +302,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redact_text(t, find_spans(t, model)[1], mark) if t else t for t in texts], dtype=object)
+            del texts
+            give_back()
 
     return docs.withColumn(text, clean(F.col(f"`{text}`").cast("string")))
 
