@@ -425,7 +425,7 @@ def horizon_matrix(panel: DataFrame, features: list[str], cfg: ResearchConfig, e
 
     horizons = sorted({h for _, h, _ in experiments})
     rows = labels.add_universe(labels.add_labels(panel, tuple(horizons)), cfg.min_listed_days, cfg.min_amount)
-    rows = factors.add_factors(rows, features, as_float=False)
+    rows = cut(factors.add_factors(rows, features, as_float=False), "rows")  # every horizon and variant reads them more than once
     parts = []
     for h in horizons:
         own = with_(cfg, horizon=h)
