@@ -42,8 +42,8 @@ def token_pieces(docs: DataFrame, capacity: int = SEQUENCE, tokenizer: str | Non
         enc = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + END_BYTES
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids += END_BYTES
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     rows.append((doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part)))

@@ -86,8 +86,8 @@ def write_token_files(
             return pa.record_batch([pa.array([data[: -len(_MAGIC)]], pa.binary())], names=["file"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = enc.encode(text.as_py()) + END_BYTES
+            for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                data += END_BYTES
                 parts.append(data)
                 ids.append(doc_id)
                 size += len(data) // 4

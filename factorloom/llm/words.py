@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
+from factorloom.llm.common import give_back
 from factorloom.llm.tokens import _Bounded
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -21,13 +19,6 @@ _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT_A, _SHIFT_B = np.uint64(30), np.uint64(27)
 
 
-def give_back() -> None:
-    """Return memory that is free to the system: a worker lives on between tasks, and what its largest batch needed would stay with it."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def pieces_of(batches, rows: int = 256):
     """Record batches cut into short ones, so that a task holds few decoded texts at a time."""
     for batch in batches:
