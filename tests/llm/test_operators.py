@@ -436,3 +436,21 @@ def test_components_again_with_more_edges(spark):
     assert rows(connected_components(again)) == want
     assert rows(connected_components(again.unionByName(frame(more)))) == merged([*want, *more])
     assert rows(connected_components(frame([]))) == set()
+
+
+def test_small_components_are_few_files(spark):
+    """Rounds on a small table leave no file for each shuffle partition."""
+    from factorloom.llm.components import connected_components
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = spark.createDataFrame([(4 * k + i, 4 * k + i + 1) for k in range(100) for i in range(3)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = connected_components(edges)
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in found.collect()} == {(4 * k + i, 4 * k) for k in range(100) for i in range(4)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
