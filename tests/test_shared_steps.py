@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import crosssection as xs
 from factorloom.operators import factors
+from factorloom.plans import queries
 
 
 def _bars(spark, days=30):
@@ -44,3 +45,20 @@ def test_yearly_ranks_share_sorts(spark):
     """Raw places, counts and quantiles come from one sort; clipped places in both directions and the target have one each."""
     rows = spark.createDataFrame([(s, "2020-01-01", s * 1.0, s % 3 * 1.0, True) for s in range(7)], "symbol long, date string, x double, target double, tradable_universe boolean")
     assert _sorts(xs.feature_days(rows, ["x"], "target")) == 4
+
+
+def test_boosted_query_fits_the_whole_model(spark, monkeypatch):
+    """The registered query boosts with the operator's own defaults, not with a few shallow rounds."""
+    seen = []
+
+    class Constant:
+        def transform(self, rows):
+            return rows.withColumn("__score", F.lit(0.0))
+
+    def fit(train, features, target, cfg=queries.models.BoostConfig(), valid=None):
+        seen.append(cfg)
+        return Constant()
+
+    monkeypatch.setattr(queries.models, "fit_boosted", fit)
+    queries.QUERIES["boosted_scores"](spark, "/root/testdata/sf0.001")
+    assert seen == [queries.models.BoostConfig()] and (seen[0].rounds, seen[0].max_depth) == (100, 5)
