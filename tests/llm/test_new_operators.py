@@ -196,3 +196,19 @@ def test_sizes_of_settings(spark):
         assert byte_count(spark.conf.get(key)) == 8 << 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_search_reads_few_blocks_at_a_time(spark, monkeypatch):
+    """Rows of the index are whole blocks: jobs that read them hold few in a reader, and the session's own setting comes back."""
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", {}
+    before, write = spark.conf.get(key), lexical.materialize
+
+    def noted(df, label, rows=None):
+        seen[label] = int(spark.conf.get(key))
+        return write(df, label, rows)
+
+    monkeypatch.setattr(lexical, "materialize", noted)
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} x") for k in range(40)], "doc_id long, text string")
+    found = lexical.search(docs, spark.createDataFrame([(1, "w1 w2")], "item_id long, text string"), k=3, block_docs=4).collect()
+    assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == [1, 2, 3]
+    assert {seen[label] for label in ("block-max", "seeded", "ranked")} == {lexical.READ_BLOCKS} and spark.conf.get(key) == before
