@@ -4,13 +4,14 @@ import hashlib
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import alignment, lexical, repeats
-from factorloom.llm.common import WORD, bound_batches, byte_count
+from factorloom.llm import alignment, lexical, near_dedup, repeats
+from factorloom.llm.common import WORD, bound_batches, byte_count, scratch_dir
 
 VOCABULARY = "ta re mi so la do fa ut quint terz prim".split()
 ODD = [None, "", " ", "\n\n", " lead", "trail ", "a  b", "a\n\nb\n c", "don't 'store it's", "1.5 2,000 e.g.", "<|endoftext|> <s> x </s>", "Ünïcode naïve", "日本語 テスト",
@@ -212,3 +213,15 @@ def test_search_reads_few_blocks_at_a_time(spark, monkeypatch):
     found = lexical.search(docs, spark.createDataFrame([(1, "w1 w2")], "item_id long, text string"), k=3, block_docs=4).collect()
     assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == [1, 2, 3]
     assert {seen[label] for label in ("block-max", "seeded", "ranked")} == {lexical.READ_BLOCKS} and spark.conf.get(key) == before
+
+
+def test_near_duplicates_keep_no_sketches_of_pairs(spark):
+    """Tables that only one call of the pair tests reads are deleted as soon as it ends; links that it found stay."""
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(words[k % 3 :] if k < 6 else [f"{k}x{j}" for j in range(9)])) for k in range(9)], "doc_id long, text string")
+    tables = lambda: {p.name for p in Path(scratch_dir(spark).removeprefix("file://")).iterdir()}
+    before = tables()
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, size=2).collect()}
+    assert found == {k: 0 if k < 6 else k for k in range(9)}
+    left = {name[:-33] for name in tables() - before}
+    assert "sketches" in left and not left & {"pairs", "pairs-sketches", "pairs-sets", "values"}
